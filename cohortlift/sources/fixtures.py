@@ -112,38 +112,42 @@ class Fixtures:
         )
 
     def _daily(self, measures) -> DataFrame:
+        """One row per (user, signup date) with ``day{k}_{measure}`` columns.
+
+        Measures are taken per day first and spread into columns after, so a
+        distinct count needs no copy of the rows for each of the eight days.
+        """
         lines = self._read("lineitem").select(
             "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
         )
         orders = self._read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        columns = [
-            make(F.col("l_linenumber") - 1 == day).alias(f"day{day}_{name}")
-            for name, make in measures.items()
-            for day in range(8)
-        ]
-        return (
+        per_day = (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(
                 F.col("o_custkey").alias("hs_user_id"),
                 F.col("o_orderdate").cast("date").alias("signup_date"),
+                (F.col("l_linenumber") - 1).alias("day"),
             )
-            .agg(*columns)
+            .agg(*[measure.alias(name) for name, measure in measures.items()])
         )
+        spread = [
+            F.coalesce(F.max(F.when(F.col("day") == day, F.col(name))),
+                       F.lit(0).cast("bigint")).alias(f"day{day}_{name}")
+            for name in measures
+            for day in range(8)
+        ]
+        return per_day.groupBy("hs_user_id", "signup_date").agg(*spread)
 
     @property
     def engagement_features(self) -> DataFrame:
-        quantity = F.col("l_quantity").cast("bigint")
         return self._daily({
-            "content_starts": lambda on_day: F.coalesce(
-                F.sum(F.when(on_day, quantity)), F.lit(0).cast("bigint")),
-            "distinct_parts": lambda on_day: F.countDistinct(
-                F.when(on_day, F.col("l_partkey"))),
+            "content_starts": F.sum(F.col("l_quantity").cast("bigint")),
+            "distinct_parts": F.countDistinct("l_partkey"),
         })
 
     @property
     def event_features(self) -> DataFrame:
-        returned = F.col("l_returnflag") == "R"
-        return self._daily({"returns": lambda on_day: F.count_if(on_day & returned)})
+        return self._daily({"returns": F.count_if(F.col("l_returnflag") == "R")})
 
     @property
     def pseudo_scores(self) -> DataFrame:
