@@ -45,7 +45,7 @@ class ForestSettings:
     folds: int = 8
     max_depth: int = 30
     seed: int = 1234
-    parallel_folds: int = 4
+    parallel_folds: int = 8
 
 
 # Fixed values of the two variants in use.
@@ -154,7 +154,7 @@ def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PROD
         if held < settings.folds:
             raise ValueError(f"{held} rows with {label} = {value} for {settings.folds} folds")
 
-    @inheritable_thread_target
+    @inheritable_thread_target(train.sparkSession)
     def fit(fold: int):
         model = forest(settings, label).fit(dealt.filter(F.col("_fold") != fold))
         held_out = _raw_score(model, dealt.filter(F.col("_fold") == fold), "_raw")
@@ -168,10 +168,23 @@ def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PROD
 
 
 def fit_both_arms(labelled: DataFrame, settings: ForestSettings = PRODUCTION):
-    """Models of response with the offer (TR) and without it (CR)."""
-    treatment, control = split_by_arm(labelled)
-    return (fit_propensity(treatment, "experiment_group_TR", settings),
-            fit_propensity(control, "experiment_group_CR", settings))
+    """Models of response with the offer (TR) and without it (CR).
+
+    The labelled users are stored first: every stage of the preparation passes
+    over them, and none of that should repeat the joins behind them.
+    """
+    spark = labelled.sparkSession
+    use_checkpoint_folder(spark)
+    treatment, control = split_by_arm(labelled.checkpoint())
+    arms = [(treatment, "experiment_group_TR"), (control, "experiment_group_CR")]
+
+    @inheritable_thread_target(spark)
+    def fit(arm):
+        return fit_propensity(*arm, settings)
+
+    # A fit is a chain of short jobs; side by side they fill a cluster better.
+    with ThreadPool(2) as pool:
+        return tuple(pool.map(fit, arms))
 
 
 def add_uplift(df: DataFrame) -> DataFrame:
