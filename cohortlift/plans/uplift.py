@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from cohortlift.functions.expressions import uplift
 from cohortlift.operators.binning import quantile_bins
 from cohortlift.operators.features import CATEGORIES, feature_columns
-from cohortlift.operators.numbering import number_rows, use_checkpoint_folder
+from cohortlift.operators.numbering import (
+    number_rows, partition_count, use_checkpoint_folder)
 from cohortlift.plans.export import SCORE_COLUMNS
 from cohortlift.plans.frames import KEYS, split_by_arm
 
 FEATURES = "_features"
+# Training rows worth a task of their own.
+ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -135,8 +138,12 @@ def _in_folds(ready: DataFrame, label: str, folds: int) -> DataFrame:
     frame, so the fits below start from stored rows.
     """
     shuffled = ready.withColumn("_mix", F.xxhash64(*KEYS))
-    numbered, _ = number_rows(shuffled, label, "_mix", *KEYS, name="_turn")
-    return numbered.select(FEATURES, label, (F.col("_turn") % folds).cast("int").alias("_fold"))
+    numbered, rows = number_rows(shuffled, label, "_mix", *KEYS, name="_turn")
+    # A forest passes over its rows once per level of depth; with few rows the
+    # tasks of a pass cost more than their work, so use no more than needed.
+    return numbered.select(
+        FEATURES, label, (F.col("_turn") % folds).cast("int").alias("_fold")
+    ).coalesce(max(1, rows // ROWS_PER_TASK))
 
 
 def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PRODUCTION) -> PropensityModel:
@@ -195,9 +202,15 @@ def add_uplift(df: DataFrame) -> DataFrame:
 
 
 def score_users(frame: DataFrame, treatment: PropensityModel, control: PropensityModel) -> DataFrame:
-    """Propensities and uplift; stored once, since binning reads them often."""
-    use_checkpoint_folder(frame.sparkSession)
-    scored = control.score(treatment.score(frame, "propensity_TR"), "propensity_CR")
+    """Propensities and uplift; stored once, since binning reads them often.
+
+    Rows are few bytes but pass through thousands of trees, so partitions sized
+    by bytes would hold far too much work. They are spread evenly first.
+    """
+    spark = frame.sparkSession
+    use_checkpoint_folder(spark)
+    spread = frame.repartition(partition_count(spark))
+    scored = control.score(treatment.score(spread, "propensity_TR"), "propensity_CR")
     return add_uplift(scored).checkpoint()
 
 

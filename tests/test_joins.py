@@ -5,12 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlift.functions.expressions import FAR_FUTURE, or_far_future
+from cohortlift.functions.expressions import FAR_FUTURE
 from cohortlift.operators.campaigns import dropout_rollup, winback_group_rollup, winback_rollup
 from cohortlift.operators.intervals import join_running
-from cohortlift.plans.funnel import ARMS, MEASURES, campaign_funnel, subscription_sequence
+from cohortlift.plans.funnel import MEASURES, campaign_funnel, subscription_sequence
 from cohortlift.plans.winback import winback_target
 from conftest import day, rows
+from registry.long_forms import funnel_by_fan_out, running_by_range
 from test_labels import EVENT, SUB, event
 
 
@@ -48,17 +49,12 @@ def campaigns_table(spark):
     ).withColumns({"first_entry": F.col("created_at"), "last_entry": F.col("created_at")})
 
 
-def direct_running(events, sequenced):
-    return events.join(sequenced, "hs_user_id").filter(F.col("event_date").between(
-        F.col("dt"), or_far_future("next_subscription_start_date")))
-
-
 def test_running_subscriptions_on_edges(events, subs):
     """Ties on the start day, boundary days, days before the first start."""
     asked = events.select(F.col("external_user_id").alias("hs_user_id"),
                           F.col("dt").alias("event_date"), "event_name")
     sequenced = subscription_sequence(subs)
-    got, want = join_running(asked, sequenced), direct_running(asked, sequenced)
+    got, want = join_running(asked, sequenced), running_by_range(asked, sequenced)
     assert rows(got) == rows(want) and got.count() > 100
 
 
@@ -73,32 +69,9 @@ def test_boundary_event_matches_two(spark):
         ("2021-01-05", 1), ("2021-01-10", 1), ("2021-01-10", 2)]
 
 
-def fan_out_funnel(events, campaigns_table, subs):
-    entries = (
-        events.filter("event_name = 'users_canvas_entry'")
-        .join(campaigns_table.filter("lower(name) like '%winback%'")
-              .select(F.col("id").alias("canvas_id"), F.col("created_at").alias("made")), "canvas_id")
-        .select(F.col("external_user_id").alias("hs_user_id"), F.col("dt").alias("event_date"),
-                "canvas_id", "canvas_name", "canvas_variation_name", "made"))
-    matched = direct_running(entries, subscription_sequence(subs)).select(
-        *entries.columns, "next_paid_subscription_start_date")
-    fanned = matched.join(
-        events.select(F.col("external_user_id").alias("hs_user_id"), "canvas_id", "event_name"),
-        ["hs_user_id", "canvas_id"])
-    report = []
-    for arm, in_arm in zip(ARMS, (F.lower("canvas_variation_name") != "control",
-                                  F.lower("canvas_variation_name") == "control")):
-        report += [F.count(F.when(in_arm & (F.col("event_name") == e), 1)).alias(f"{arm}_{m}")
-                   for m, e in MEASURES.items()]
-        soon = F.datediff(or_far_future("next_paid_subscription_start_date"), "event_date") <= 28
-        report.append(F.countDistinct(F.when(in_arm & soon, F.col("hs_user_id")))
-                      .alias(f"{arm}_conversions"))
-    return fanned.groupBy("canvas_name", F.col("made").alias("canvas_created_date")).agg(*report)
-
-
 def test_funnel_is_the_fan_out(events, campaigns_table, subs):
     got = campaign_funnel(events, campaigns_table, subs, heavy=[])
-    want = fan_out_funnel(events, campaigns_table, subs)
+    want = funnel_by_fan_out(events, campaigns_table, subs)
     assert rows(got) == rows(want)
     assert rows(campaign_funnel(events, campaigns_table, subs, heavy=[1])) == rows(want)
     assert got.first()["treatment_canvas_entries"] > 0 and got.first()["control_conversions"] > 0

@@ -1,16 +1,13 @@
 """Label rules, one edge per clause, and the four-pass form as a check."""
 
-from functools import reduce
-
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.functions.expressions import or_far_future, voucher_discount
-from cohortlift.plans.labels import LABEL_COLUMNS, experiment_labels, label_groups
+from cohortlift.plans.labels import experiment_labels, label_groups
 from cohortlift.sources.fixtures import Fixtures
 from conftest import SMALL, day, plan_of, rows
 from registry import queries as registered
+from registry.long_forms import labels_by_group
 
 NEAREST = (
     "hs_user_id long, dt date, canvas_variation_name string, free_trial_start_date date,"
@@ -60,32 +57,8 @@ def test_each_clause(nearest):
     assert got == want
 
 
-def four_passes(nearest: DataFrame, horizon: int) -> DataFrame:
-    variation, wait = F.col("canvas_variation_name"), F.datediff(
-        or_far_future("next_paid_subscription_start_date"), "free_trial_end_date")
-    trial = nearest.filter("free_trial_start_date IS NOT NULL")
-    unpaid = trial.filter("paid_subscription_start_date IS NULL")
-    once = unpaid.filter("next_free_trial_start_date IS NULL")
-    groups = {
-        "CN": trial.filter((variation == "Control") & (wait > horizon) & (
-            F.col("free_trial_end_date") != or_far_future("paid_subscription_start_date"))),
-        "TN": unpaid.filter((variation != "Control") & (wait > horizon)),
-        "CR": once.filter((variation == "Control") & (wait <= horizon)),
-        "TR": once.filter((variation != "Control") & (wait <= horizon)),
-    }
-    parts = []
-    for group, df in groups.items():
-        discount = voucher_discount("next_voucher_code")
-        parts.append(
-            df.withColumn("experiment_group", F.lit(group))
-            .withColumn("discount_redeemed",
-                        discount if group == "TR" else F.coalesce(discount, F.lit(0)))
-            .withColumnRenamed("dt", "signup_date").select(*LABEL_COLUMNS))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def test_one_pass_is_the_union_of_four(nearest):
-    assert rows(label_groups(nearest, 42)) == rows(four_passes(nearest, 42))
+    assert rows(label_groups(nearest, 42)) == rows(labels_by_group(nearest, 42))
 
 
 EVENT = ("external_user_id long, dt date, canvas_id long, canvas_name string,"

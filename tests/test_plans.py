@@ -16,6 +16,7 @@ from cohortlift.sources import tables
 from cohortlift.sources.fixtures import Fixtures
 from conftest import SMALL, day, plan_of, rows
 from registry import queries as registered
+from registry.long_forms import control_curve_by_day
 
 
 @pytest.fixture(scope="module")
@@ -25,16 +26,8 @@ def data(spark):
 
 def test_control_curve_is_the_user_day_table(spark, data):
     lapsed = registered._lapsed(data)
-    exploded = (
-        takerate.held_out_users(lapsed)
-        .withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(365))))
-        .withColumn("hit", F.expr(
-            "datediff(coalesce(next_paid_subscription_start_date, date'9999-12-31'),"
-            " date_add(paid_subscription_end_date, d)) <= 28").cast("int"))
-        .groupBy(F.col("d").alias("days_since_cancel"))
-        .agg(F.count("*").alias("users"), F.sum("hit").alias("converted")))
     curve = takerate.control_curve(lapsed)
-    assert rows(curve) == rows(exploded) and curve.count() == 365
+    assert rows(curve) == rows(control_curve_by_day(lapsed)) and curve.count() == 365
 
 
 @pytest.mark.parametrize("users,q", [(1, 8), (7, 8), (213, 8), (40, 5)])
