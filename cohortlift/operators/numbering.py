@@ -40,7 +40,7 @@ def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_chunks(df: DataFrame, *order: Column | str) -> DataFrame:
+def in_chunks(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
     """Sort ``df`` into range chunks, adding ``_chunk`` and ``_position``.
 
     Range bounds come from a sample, so a second run could cut elsewhere. The
@@ -50,7 +50,7 @@ def in_chunks(df: DataFrame, *order: Column | str) -> DataFrame:
     spark = df.sparkSession
     use_checkpoint_folder(spark)
     placed = (
-        df.repartitionByRange(partition_count(spark), *order)
+        df.repartitionByRange(parts or partition_count(spark), *order)
         .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id())
         .checkpoint()

@@ -23,7 +23,8 @@ def events_by_uplift_bin(events: DataFrame, scores: DataFrame, *, name_pattern=N
     return (
         per_user.join(latest_scores(scores), "hs_user_id")
         .groupBy("canvas_variation_name", "in_control_group", "uplift_score_bin")
-        .agg(F.sum("count").alias("events"), F.countDistinct("hs_user_id").alias("users"))
+        # A user has one row per variation and flag, and one score.
+        .agg(F.sum("count").alias("events"), F.count("hs_user_id").alias("users"))
         .orderBy("canvas_variation_name", "in_control_group", "uplift_score_bin")
     )
 

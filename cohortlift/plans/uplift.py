@@ -28,6 +28,7 @@ from cohortlift.operators.binning import quantile_bins
 from cohortlift.operators.features import CATEGORIES, feature_columns
 from cohortlift.operators.numbering import (
     number_rows, partition_count, use_checkpoint_folder)
+from cohortlift.operators.oversampling import oversample
 from cohortlift.plans.export import SCORE_COLUMNS
 from cohortlift.plans.frames import KEYS, split_by_arm
 
@@ -42,10 +43,12 @@ class ForestSettings:
 
     ``split_share`` is the least share of the rows a node needs to be split.
     Spark has no such setting; it limits the children instead, to half of it.
+    With ``oversampled`` the rarer class is filled up by synthetic rows first.
     """
     trees: int = 120
     split_share: float = 0.03
     folds: int = 8
+    oversampled: bool = False
     max_depth: int = 30
     seed: int = 1234
     parallel_folds: int = 8
@@ -53,7 +56,7 @@ class ForestSettings:
 
 # Fixed values of the two variants in use.
 PRODUCTION = ForestSettings()
-STAGING = ForestSettings(trees=150, split_share=0.05, folds=5)
+STAGING = ForestSettings(trees=150, split_share=0.05, folds=5, oversampled=True)
 
 
 def preparation(columns: list[str]) -> Pipeline:
@@ -130,15 +133,15 @@ class PropensityModel:
         return scored.select(*keep, mean.alias(name))
 
 
-def _in_folds(ready: DataFrame, label: str, folds: int) -> DataFrame:
+def _in_folds(ready: DataFrame, label: str, folds: int, ids: list[str]) -> DataFrame:
     """Deal rows to folds so that each gets its share of both classes.
 
-    Rows are numbered by class and, inside a class, by a hash of their key;
+    Rows are numbered by class and, inside a class, by a hash of their ids;
     taking turns along that order is stratified. The numbering checkpoints the
     frame, so the fits below start from stored rows.
     """
-    shuffled = ready.withColumn("_mix", F.xxhash64(*KEYS))
-    numbered, rows = number_rows(shuffled, label, "_mix", *KEYS, name="_turn")
+    shuffled = ready.withColumn("_mix", F.xxhash64(*ids))
+    numbered, rows = number_rows(shuffled, label, "_mix", *ids, name="_turn")
     # A forest passes over its rows once per level of depth; with few rows the
     # tasks of a pass cost more than their work, so use no more than needed.
     return numbered.select(
@@ -149,10 +152,17 @@ def _in_folds(ready: DataFrame, label: str, folds: int) -> DataFrame:
 def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PRODUCTION) -> PropensityModel:
     """Fit per fold: a forest on the other folds, a sigmoid on this one."""
     columns = feature_columns(train.columns)
+    ids = KEYS
+    if settings.oversampled:
+        numbers = [c for c in columns if c not in CATEGORIES]
+        # Synthetic rows have no user; they are numbered once and stored.
+        ids = ["_row_id"]
+        train = oversample(train, label, numbers, CATEGORIES, seed=settings.seed).withColumn(
+            "_row_id", F.monotonically_increasing_id()).checkpoint()
     prepared = preparation(columns).fit(train)
     ready = prepared.transform(train).select(
-        *KEYS, F.col(FEATURES), F.col(label).cast("double").alias(label))
-    dealt = _in_folds(ready, label, settings.folds)
+        *ids, F.col(FEATURES), F.col(label).cast("double").alias(label))
+    dealt = _in_folds(ready, label, settings.folds, ids)
 
     sizes = {(r["_fold"], int(r[label])): r["count"]
              for r in dealt.groupBy("_fold", label).count().collect()}

@@ -734,6 +734,27 @@ chained AS (SELECT r, p, lag(r, 1, 0.0) OVER up AS r0, lag(p, 1, 1.0) OVER up AS
             FROM points WINDOW up AS (ORDER BY r, p DESC)),
 pr AS (SELECT sum((r - r0) * (p + p0) / 2) AS pr_auc FROM chained)
 SELECT round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM roc, pr"""),
+        "feature_neighbours": _with_tail((SUBS, COHORT, ENGAGEMENT, EVENT_FEATURES), f"""
+profiles AS (SELECT {_CATEGORIES}, free_trial_days FROM cohort {_FEATURE_JOINS}),
+points AS (SELECT *, count(*) AS copies, row_number() OVER () AS id FROM profiles GROUP BY ALL),
+pairs AS (
+  SELECT a.id, (a.week1_content_starts - b.week1_content_starts) ** 2
+             + (a.week1_returns - b.week1_returns) ** 2 + (a.renewal_count - b.renewal_count) ** 2
+             + (a.free_trial_days - b.free_trial_days) ** 2
+             + 50 * ((a.plan_renewal_term_months_c <> b.plan_renewal_term_months_c)::INTEGER
+                     + (a.subscription_platform <> b.subscription_platform)::INTEGER
+                     + (a.renewal_c <> b.renewal_c)::INTEGER) AS d,
+         b.copies - (a.id = b.id)::INTEGER AS others
+  FROM points a, points b),
+nearest AS (
+  SELECT id, list(d ORDER BY d)[1:5] AS d
+  FROM pairs, range(5) AS copy(i) WHERE i < others GROUP BY id)
+SELECT week1_content_starts::DOUBLE AS week1_content_starts, week1_returns::DOUBLE AS week1_returns,
+       renewal_count::DOUBLE AS renewal_count, free_trial_days::DOUBLE AS free_trial_days,
+       plan_renewal_term_months_c, renewal_c, subscription_platform, copies,
+       d[1]::DOUBLE AS d1, d[2]::DOUBLE AS d2, d[3]::DOUBLE AS d3, d[4]::DOUBLE AS d4,
+       d[5]::DOUBLE AS d5
+FROM points JOIN nearest USING (id)"""),
         "calibration_table": _plain(
             """SELECT (1 + (SELECT count(*) FROM range(1, 10) AS inner_edges(i)
                          WHERE score > i * 0.1::DOUBLE))::INTEGER AS bin,

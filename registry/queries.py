@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.functions.expressions import days_from
-from cohortlift.operators import binning, campaigns, features
+from cohortlift.operators import binning, campaigns, features, oversampling
 from cohortlift.operators.intervals import join_running
 from cohortlift.operators.numbering import number_rows
 from cohortlift.operators.sequences import BY_DATE, BY_START, with_ordinal
@@ -462,6 +462,33 @@ def calibration_table(data):
         "mean_score", "actual_rate")
 
 
+NEIGHBOUR_NUMBERS = ["week1_content_starts", "week1_returns", "renewal_count", "free_trial_days"]
+NEIGHBOUR_APART = 50.0
+
+
+def feature_neighbours(data):
+    """Squared distances from each distinct user profile to its five nearest."""
+    profiles = _scoring(data).select(
+        *[F.col(c).cast("double").alias(c) for c in NEIGHBOUR_NUMBERS], *features.CATEGORIES)
+    points = profiles.groupBy(*profiles.columns).agg(F.count("*").alias("copies"))
+    placed, near = oversampling.nearest_neighbours(
+        points, NEIGHBOUR_NUMBERS, features.CATEGORIES, NEIGHBOUR_APART)
+    take = F.least(F.col("copies"), 5 - (F.col("upto") - F.col("copies"))).cast("int")
+    distances = near.groupBy("point").agg(F.sort_array(F.flatten(F.collect_list(
+        F.array_repeat("distance", take)))).alias("d"))
+    return placed.join(distances, "point").select(
+        *profiles.columns, "copies", *[F.get("d", F.lit(i)).alias(f"d{i + 1}") for i in range(5)])
+
+
+def oversampled_training(data):
+    """The labelled treatment users, filled up to equal classes."""
+    treatment, _ = frames.split_by_arm(_training(data))
+    numbers = [c for c in features.feature_columns(treatment.columns)
+               if c not in features.CATEGORIES]
+    return oversampling.oversample(
+        treatment, "experiment_group_TR", numbers, features.CATEGORIES)
+
+
 def uplift_scores(data):
     """Train both arms on all labelled users, score everyone, bin and date."""
     labelled = frames.feature_part(
@@ -486,7 +513,8 @@ ALL = [
     histogram_return_window, histogram_shared_edges, score_histogram, kernel_density, box_summary,
     email_delay_mean, tenure_return_pairs, email_delay_steps, scores, tracking_by_bin,
     high_uplift_signups, latest_score, row_numbers, payload_batches, classification_report,
-    threshold_curve, curve_areas, calibration_table, uplift_scores,
+    threshold_curve, curve_areas, calibration_table, feature_neighbours, oversampled_training,
+    uplift_scores,
 ]
 
 

@@ -206,7 +206,7 @@ def test_numbers_are_centred_components(models, labelled_users):
 def test_folds_are_stratified(labelled_users):
     ready = labelled_users.withColumn("_features", F.lit(0)).select(
         "hs_user_id", "signup_date", "_features", F.col("experiment_group_TR").cast("double"))
-    sizes = uplift._in_folds(ready, "experiment_group_TR", 5).groupBy("experiment_group_TR", "_fold").count()
+    sizes = uplift._in_folds(ready, "experiment_group_TR", 5, uplift.KEYS).groupBy("experiment_group_TR", "_fold").count()
     for value in (0.0, 1.0):
         counts = [r["count"] for r in sizes.filter(F.col("experiment_group_TR") == value).collect()]
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
@@ -219,6 +219,15 @@ def test_too_few_of_a_class(labelled_users):
         uplift.fit_propensity(few, "experiment_group_TR", QUICK)
 
 
+def test_fit_on_level_classes(labelled_users):
+    """Oversampling lifts the scores of the rarer class and keeps the ranking."""
+    control = labelled_users.filter("experiment_group in ('CR', 'CN')")
+    settings = uplift.ForestSettings(trees=5, folds=2, max_depth=4, oversampled=True)
+    model = uplift.fit_propensity(control, "experiment_group_CR", settings)
+    mean, rate = model.score(control, "p").agg(F.avg("p"), F.avg("experiment_group_CR")).first()
+    assert rate < .4 and .4 < mean < .6
+
+
 def test_grid_search_picks_from_the_grid(labelled_users):
     found = uplift.grid_search(
         labelled_users.filter("experiment_group in ('TR', 'TN')"), "experiment_group_TR",
