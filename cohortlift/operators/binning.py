@@ -264,8 +264,9 @@ def box_summary(df: DataFrame, bin_column: str, column: str) -> DataFrame:
 def kernel_density(df: DataFrame, column: str, group: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density per group on an even grid from min to max.
 
-    Bandwidth is the sample deviation times n**(-1/5). Equal values are one
-    row with a weight; each then adds to every grid point, summed in the map.
+    Bandwidth is the sample deviation times n**(-1/5); a group whose values are
+    all equal has none and is left out. Equal values are one row with a weight;
+    each then adds to every grid point, summed before the shuffle.
     """
     counted = (
         df.filter(F.col(column).isNotNull())
@@ -276,7 +277,8 @@ def kernel_density(df: DataFrame, column: str, group: str, points: int = 200) ->
         F.sum(weight * v).alias("s1"), F.sum(weight * v * v).alias("s2"))
     n = F.col("rows")
     spread = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))
-    stats = stats.withColumn("bandwidth", spread * F.pow(n, F.lit(-0.2)))
+    stats = stats.filter(F.col("low") < F.col("high")).withColumn(
+        "bandwidth", spread * F.pow(n, F.lit(-0.2)))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)
     z = (x - v) / F.col("bandwidth")

@@ -10,27 +10,28 @@ subscriptions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlift.operators.sequences import BY_DATE
+
+def starts_last_that_day() -> Column:
+    """True for the last of a user's subscriptions that start on one day."""
+    following = F.col("next_subscription_start_date")
+    return F.col("dt").isNotNull() & (following.isNull() | (following != F.col("dt")))
 
 
 def running_on(days: DataFrame, subscriptions: DataFrame, key: str = "hs_user_id",
                day: str = "event_date") -> DataFrame:
     """The subscription rows running on each (user, day) of ``days``.
 
-    ``days`` has distinct (key, day) rows. The result repeats a day once per
+    ``days`` has distinct (key, day) rows; ``subscriptions`` are in sequence,
+    with ``next_subscription_start_date``. The result repeats a day once per
     running subscription and has no row for a day before the first one.
     """
     carried = F.struct(*[c for c in subscriptions.columns if c != key])
-    order = F.struct(*BY_DATE)
-    # The last subscription of each start day: one row per (user, day).
-    last_of_day = (
-        subscriptions.groupBy(key, "dt")
-        .agg(F.max_by(carried, order).alias("_subscription"))
-        .select(key, F.col("dt").alias(day), "_subscription", F.lit(1).alias("_kind"))
-    )
+    # One row per (user, day): the one that keeps running after that day.
+    last_of_day = subscriptions.filter(starts_last_that_day()).select(
+        key, F.col("dt").alias(day), carried.alias("_subscription"), F.lit(1).alias("_kind"))
     asked = days.select(
         key, day, F.lit(None).cast(last_of_day.schema["_subscription"].dataType)
         .alias("_subscription"), F.lit(0).alias("_kind"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlift.functions.expressions import days_from, name_like, or_far_future
-from cohortlift.operators.campaigns import ENTRY, WINBACK_NAMES
+from cohortlift.operators.campaigns import WINBACK_NAMES
+from cohortlift.operators.intervals import starts_last_that_day
 from cohortlift.operators.sequences import BY_DATE, with_next
 from cohortlift.operators.skew import broadcast_checked
 from cohortlift.plans.labels import heavy_users
@@ -60,10 +61,11 @@ def _subscription_days(sequenced: DataFrame) -> DataFrame:
     one that keeps running.
     """
     next_paid = or_far_future("next_paid_subscription_start_date")
-    days = sequenced.groupBy("hs_user_id", "dt").agg(
+    days = sequenced.filter(F.col("dt").isNotNull()).groupBy("hs_user_id", "dt").agg(
         F.count("*").alias("starts"),
         F.min(next_paid).alias("soonest"),
-        F.max_by(next_paid, F.struct(*BY_DATE)).alias("after_next"),
+        # One row per day; a maximum of it keeps the aggregate hashed.
+        F.max(F.when(starts_last_that_day(), next_paid)).alias("after_next"),
     )
     previous = F.lag("after_next").over(Window.partitionBy("hs_user_id").orderBy("dt"))
     return days.select(

@@ -12,11 +12,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.functions.expressions import days_from
 from cohortlift.operators import binning, campaigns, features, oversampling
 from cohortlift.operators.intervals import join_running
 from cohortlift.operators.numbering import number_rows
-from cohortlift.operators.sequences import BY_DATE, BY_START, with_ordinal
+from cohortlift.operators.sequences import BY_DATE, with_ordinal
 from cohortlift.operators.skew import heavy_keys
 from cohortlift.plans import (
     engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
@@ -371,7 +370,7 @@ def box_summary(data):
 def email_delay_mean(data):
     treated = winback.treatment_responders(_lapsed(data))
     email = "days_until_email__from_subscription_end_date"
-    return treated.agg((F.sum(email) / F.count(email)).alias("mean_days_until_email"))
+    return treated.agg(F.avg(email).alias("mean_days_until_email"))
 
 
 def tenure_return_pairs(data):

@@ -121,6 +121,11 @@ def test_kernel_density_integrates_to_most_of_one(spark):
     assert ys == pytest.approx(expected) and 0.9 < np.trapezoid(ys, xs) < 1.01
 
 
+def test_no_density_without_spread(spark):
+    df = frame(spark, [4.0, 4.0, 1.0, 2.0]).withColumn("g", F.col("i") < 2)
+    assert {r["g"] for r in binning.kernel_density(df, "x", "g").collect()} == {False}
+
+
 def test_small_helpers(spark):
     df = frame(spark, [0.0, 4.0, 5.0, -1.0])
     assert [r[0] for r in df.select(binning.floor_to_step("x", 5)).collect()] == [0, 0, 5, -5]
