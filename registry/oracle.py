@@ -496,9 +496,18 @@ SELECT bin, count(*) AS users, avg(days_since_cancel) AS mean_days_since_cancel,
        avg(convert_28day_ind) AS convert_28day_rate, e[bin] AS lower, e[bin + 1] AS upper
 FROM binned GROUP BY bin, e"""),
         "take_rate_treatment_equal_width": _with_tail((*WINBACK_CHAIN, TREATED), f"""
-span AS (SELECT min(days_since_cancel)::DOUBLE AS lo, max(days_since_cancel)::DOUBLE AS hi
+-- A single value is widened by a thousandth of itself to both sides, and the
+-- lowest edge then stays where it is.
+ends AS (SELECT min(days_since_cancel)::DOUBLE AS a, max(days_since_cancel)::DOUBLE AS b
          FROM treated_year),
-cut_list AS (SELECT [lo - (hi - lo) * 0.001::DOUBLE, lo + 1 * ((hi - lo) / 5),
+span AS (
+  SELECT a = b AS single,
+         CASE WHEN a < b THEN a WHEN a = 0 THEN -0.001::DOUBLE
+              ELSE a - 0.001::DOUBLE * abs(a) END AS lo,
+         CASE WHEN a < b THEN b WHEN a = 0 THEN 0.001::DOUBLE
+              ELSE b + 0.001::DOUBLE * abs(b) END AS hi
+  FROM ends),
+cut_list AS (SELECT [CASE WHEN single THEN lo ELSE lo - (hi - lo) * 0.001::DOUBLE END, lo + 1 * ((hi - lo) / 5),
     lo + 2 * ((hi - lo) / 5), lo + 3 * ((hi - lo) / 5), lo + 4 * ((hi - lo) / 5), hi] AS e
   FROM span),
 binned AS (SELECT *, {_bin('days_since_cancel', 'e', '5')} AS bin FROM treated_year, cut_list)
@@ -602,7 +611,11 @@ FROM pseudo, span"""),
              " AS back_within_35 FROM treatment_responders)"),
             _histogram("marked", "tenure_at_cancellation", "back_within_35", 28)),
         "histogram_shared_edges": _with_tail((*WINBACK_CHAIN, TREATED), """
-span AS (SELECT min(days_since_cancel)::DOUBLE AS lo, max(days_since_cancel)::DOUBLE AS hi
+-- A histogram over a single value spans half a unit to either side of it.
+span AS (SELECT min(days_since_cancel) - (CASE WHEN min(days_since_cancel)
+                  = max(days_since_cancel) THEN 0.5::DOUBLE ELSE 0 END) AS lo,
+                max(days_since_cancel) + (CASE WHEN min(days_since_cancel)
+                  = max(days_since_cancel) THEN 0.5::DOUBLE ELSE 0 END) AS hi
          FROM treated_year),
 placed AS (
   SELECT convert_28day_ind, lo, (hi - lo) / 50 AS w,
