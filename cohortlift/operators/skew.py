@@ -65,7 +65,8 @@ def join_spread(many: DataFrame, few: DataFrame, key: str, deal_on: str,
 
 
 def broadcast_checked(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast if it has few rows; else leave it to Spark."""
-    if df.limit(most_rows + 1).count() > most_rows:
-        return df
-    return F.broadcast(df)
+    """Mark ``df`` for broadcast if it has few rows; else leave it to Spark.
+
+    A plain count, since a limit would gather rows of a large table in one task.
+    """
+    return df if df.count() > most_rows else F.broadcast(df)

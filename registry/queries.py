@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlift.operators import binning, campaigns, features, oversampling
 from cohortlift.operators.intervals import join_running
-from cohortlift.operators.numbering import number_rows
+from cohortlift.operators.numbering import number_rows, use_checkpoint_folder
 from cohortlift.operators.sequences import BY_DATE, with_ordinal
 from cohortlift.operators.skew import heavy_keys
 from cohortlift.plans import (
@@ -49,6 +49,12 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Compute once what is read several times, as for edges and then bins."""
+    use_checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 # ---- sources ---------------------------------------------------------------
 
 def user_cohort(data):
@@ -197,13 +203,13 @@ def _conversions(data):
 
 def take_rate_treatment(data):
     """Take rate per eighth of the days since lapsing."""
-    year = takerate.within_year(_conversions(data))
+    year = _stored(takerate.within_year(_conversions(data)))
     edges = binning.quantile_edges(year, "days_since_cancel", 8, "drop")
     return takerate.treatment_rate_by_bin(year, edges)
 
 
 def take_rate_treatment_equal_width(data):
-    year = takerate.within_year(_conversions(data))
+    year = _stored(takerate.within_year(_conversions(data)))
     return takerate.treatment_rate_by_bin(
         year, binning.equal_width_edges(year, "days_since_cancel", 5))
 
@@ -217,7 +223,7 @@ def take_rate_control_curve(data):
 
 
 def take_rate_control(data):
-    curve = takerate.control_curve(_lapsed(data))
+    curve = _stored(takerate.control_curve(_lapsed(data)))
     users = curve.agg(F.max("users")).first()[0] or 1
     return takerate.control_rate_by_bin(curve, takerate.control_quantile_edges(users, 8))
 
@@ -344,7 +350,8 @@ def histogram_return_window(data):
 
 def histogram_shared_edges(data):
     return binning.shared_edge_histogram(
-        takerate.within_year(_conversions(data)), "days_since_cancel", 50, "convert_28day_ind")
+        _stored(takerate.within_year(_conversions(data))), "days_since_cancel", 50,
+        "convert_28day_ind")
 
 
 def score_histogram(data):
@@ -361,7 +368,7 @@ def kernel_density(data):
 def box_summary(data):
     """Days from first email to return, per tenth of the days to that email."""
     email = "days_until_email__from_subscription_end_date"
-    treated = winback.treatment_responders(_lapsed(data))
+    treated = _stored(winback.treatment_responders(_lapsed(data)))
     edges = binning.quantile_edges(treated, email, 10, "drop")
     binned = treated.withColumn("bin", binning.assign_bins(email, edges)).filter(F.col(email) > 0)
     return binning.box_summary(binned, "bin", "days_until_return__from_first_email_date")
