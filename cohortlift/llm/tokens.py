@@ -27,6 +27,7 @@ PIECE = re.compile(r"\s*\S+|\s+")
 # White space to Python but not to the tokenizer: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
 UNUSUAL = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+POINTS = ".,;:!?*%&#$|)"   # after a letter these are a token of their own, or several
 FIRST = "\0"   # marks a text's first word, which has no space in front
 REMEMBERED = 700_000      # pieces a worker keeps, about 150 MB
 TEXTS_AT_ONCE = 4_000_000  # characters
@@ -55,6 +56,13 @@ def _spelled(word: str) -> str:
     return word if word[0] == "\n" else " " + word
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every stretch, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
 class _Slots(dict):
     """Piece to slot; an unknown piece gets the next slot and is noted."""
 
@@ -63,7 +71,7 @@ class _Slots(dict):
 
     def __missing__(self, piece: str) -> int:
         slot = self[piece] = len(self)
-        self.fresh.append(_spelled(piece))
+        self.fresh.append(piece)
         return slot
 
 
@@ -75,6 +83,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        spelled = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(size, np.int64)     # byte-level: one character a byte
+        for token, number in spelled.items():
+            self.bytes_of[number] = len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -84,25 +96,86 @@ class Encoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
 
-    def _learn(self) -> None:
-        fresh = self.slots.fresh
-        if not fresh:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        while self.used + total > len(self.ids):
+    def _room(self, slots: int, ids: int) -> None:
+        while self.used + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        first = len(self.slots) - len(fresh)
-        while len(self.slots) > len(self.starts):
+        while slots > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used:self.used + total] = np.fromiter(
-            (i for ids in found for i in ids), self.kind, total)
-        self.lengths[first:first + len(found)] = lengths
-        self.starts[first:first + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
+
+    def _put(self, slots: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self._room(len(self.slots), len(ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[slots] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[slots] = lengths
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Encode what is new. A word with points after it is put together from both."""
+        fresh, look = self.slots.fresh, self.slots.__getitem__
+        if not fresh:
+            return
+        whole, pairs, done = [], [], 0
+        while done < len(fresh):     # parts may be new themselves and join the list
+            piece = fresh[done]
+            done += 1
+            stem = piece.rstrip(POINTS)
+            if len(stem) == len(piece) or not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
+                whole.append(piece)
+            else:
+                pairs += (self.slots[piece], look(stem), look(FIRST + piece[len(stem):]))
         fresh.clear()
+        slots = np.fromiter(map(look, whole), np.int64, len(whole))
+        spelled = list(map(_spelled, whole))
+        ids, lengths = self._encoded(spelled)
+        self._put(slots, ids, lengths)
+        if pairs:
+            joined = np.array(pairs, np.int64).reshape(-1, 3)
+            parts = joined[:, 1:].ravel()
+            self._put(joined[:, 0], self._gathered(parts), self.lengths[parts].reshape(-1, 2).sum(axis=1))
+
+    def _encoded(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece); pieces after a space are encoded in rows.
+
+        Joined pieces keep their ids, as the tokenizer cuts before such a
+        space anyway; lengths in bytes tell which ids belong to which piece.
+        """
+        rows, row, loose = [], [], []
+        for i, piece in enumerate(spelled):
+            if piece[0] == " " and len(piece) > 1 and not (piece[1].isspace() or piece[-1].isspace()):
+                row.append(i)
+                if len(row) == 256:
+                    rows.append(row)
+                    row = []
+            else:
+                loose.append(i)
+        if row:
+            rows.append(row)
+        texts = ["".join([spelled[i] for i in r]) for r in rows] + [spelled[i] for i in loose]
+        found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.zeros(len(spelled), np.int64)
+        order, parts = [], []
+        for r, ids in zip(rows, found):
+            ends = np.cumsum(self.bytes_of[ids])
+            sizes = np.cumsum([len(spelled[i].encode()) for i in r])
+            stops = np.searchsorted(ends, sizes) + 1
+            lengths[r] = np.diff(stops, prepend=0)
+            order += r
+            parts.append(ids)
+        for i, ids in zip(loose, found[len(rows):]):
+            lengths[i] = len(ids)
+            order.append(i)
+            parts.append(ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        # From the order of encoding to the order of the pieces.
+        order = np.array(order, np.int64)
+        own = lengths[order]
+        starts = np.empty(len(spelled), np.int64)
+        starts[order] = np.cumsum(own) - own
+        return flat[_ragged(starts, lengths)].astype(self.kind), lengths
+
+    def _gathered(self, slots: np.ndarray) -> np.ndarray:
+        return self.ids[_ragged(self.starts[slots], self.lengths[slots])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
@@ -117,11 +190,7 @@ class Encoder:
             if slots is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind))
                 continue
-            lengths = self.lengths[slots]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(total)
-            out.append(self.ids[at])
+            out.append(self._gathered(slots))
         return out
 
 

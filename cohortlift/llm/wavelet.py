@@ -48,8 +48,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: list, planes: int) -> b
 
     current = ids
     for plane in range(planes - 1, -1, -1):
-        bit = (current >> current.dtype.type(plane)) & current.dtype.type(1)
-        mask = bit.astype(bool)
+        mask = (current & current.dtype.type(1 << plane)) != 0
         packed = np.packbits(mask, bitorder="little")
         step = BLOCK // 8
         blocks = [packed[a:a + step] for a in range(0, len(packed), step)]
@@ -57,7 +56,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: list, planes: int) -> b
         ones.append([0, *np.cumsum(counts).tolist()])
         starts.append([put(press(b.tobytes())) for b in blocks] + [at])
         zeros.append(len(current) - ones[-1][-1])
-        current = np.concatenate([current[~mask], current[mask]])
+        current = np.concatenate([np.compress(~mask, current), np.compress(mask, current)])
     docs = put(press(lengths.astype("<i8").tobytes()))
     names = put(press(json.dumps(doc_ids).encode()))
     header = press(json.dumps({
@@ -177,8 +176,8 @@ class Shard:
             mask = np.unpackbits(np.frombuffer(packed, np.uint8), count=n, bitorder="little").view(bool)
             zeros = self.head["zeros"][plane]
             above = np.empty(n, kind)
-            above[~mask] = current[:zeros]
-            above[mask] = current[zeros:]
+            above[np.flatnonzero(~mask)] = current[:zeros]
+            above[np.flatnonzero(mask)] = current[zeros:]
             # Below this plane the ids hold the lower bits; add this plane's.
             above |= mask.astype(kind) << kind.type(self.head["planes"] - 1 - plane)
             current = above
