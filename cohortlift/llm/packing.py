@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,20 +106,16 @@ def on_curve(rows: DataFrame) -> DataFrame:
         for k in range(DIMENSIONS)]).first()
     cuts = [np.array(found[f"v{k}"] or []) for k in range(DIMENSIONS)]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = np.stack([
-                np.searchsorted(cut, batch.column(f"v{k}").to_numpy(zero_copy_only=False), side="right")
-                for k, cut in enumerate(cuts)], axis=1)
-            key = hilbert_keys(places, CURVE_BITS)
-            spread = batch.column("spread").to_numpy(zero_copy_only=False).astype(np.int64)
-            key = key << 31 | (spread & ((1 << 31) - 1))
-            yield record_batch({
-                **{c: batch.column(c) for c in ("id", "ids", "width", "n")}, "key": pa.array(key)})
+    # A column and not a pass over whole rows: where only the key is asked for,
+    # the ids are not even read.
+    @F.pandas_udf("bigint")
+    def place(v0: pd.Series, v1: pd.Series, v2: pd.Series, v3: pd.Series, spread: pd.Series) -> pd.Series:
+        places = np.stack([np.searchsorted(cut, v.to_numpy(), side="right")
+                           for cut, v in zip(cuts, (v0, v1, v2, v3))], axis=1)
+        return pd.Series(hilbert_keys(places, CURVE_BITS) << 31 | (spread.to_numpy() & ((1 << 31) - 1)))
 
-    keep = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in ("id", "ids", "width", "n")}
-    schema = ", ".join(f"{c} {keep[c]}" for c in ("id", "ids", "width", "n")) + ", key bigint"
-    return rows.withColumn("spread", F.xxhash64("id", "n", "v0")).mapInArrow(work, schema)
+    return rows.select("id", "ids", "width", "n", place(
+        "v0", "v1", "v2", "v3", F.xxhash64("id", "n", "v0")).alias("key"))
 
 
 def _pieces_of(first: int, total: int, length: int, sequence: int) -> list[tuple[int, int, int, int]]:
@@ -177,29 +174,26 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQ
     ).first()[0])) if groups > 1 else []
     cuts = np.array(bounds, np.int64)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = np.searchsorted(cuts, batch.column("key").to_numpy(zero_copy_only=False), side="right")
-            yield record_batch({
-                **{c: batch.column(c) for c in batch.schema.names}, "grp": pa.array(group, pa.int64())})
+    @F.pandas_udf("bigint")
+    def group(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right"))
 
-    keyed_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema)
-    grouped = keyed.mapInArrow(dealt, keyed_schema + ", grp bigint")
+    grouped = keyed.withColumn("grp", group("key"))
     sums = {r["grp"]: r["n"] for r in grouped.groupBy("grp").agg(F.sum("n").alias("n")).collect()}
     before, running = {}, 0
-    for group in sorted(sums):
-        before[group] = running
-        running += sums[group]
+    for number in sorted(sums):
+        before[number] = running
+        running += sums[number]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, place = None, 0
+        current, place = None, 0
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("grp", "n", "width")]
             names, data = batch.column("id"), batch.column("ids")
             source, out, ids = [], [], []
             for k, (g, n, width) in enumerate(zip(*columns)):
-                if g != group:
-                    group, place = g, before[g]
+                if g != current:
+                    current, place = g, before[g]
                 own = np.frombuffer(data[k].as_py(), np.uint16 if width == 2 else np.uint32)
                 for piece in _pieces_of(place, total, n, sequence):
                     out.append((*piece, n))
@@ -213,6 +207,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQ
                 "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(n, pa.int64()),
                 "sequence_id": pa.array(number, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
+    # A row each of bounds and sums comes to the driver per group of 2 million ids.
     moved = grouped.repartitionByRange(groups, "grp").sortWithinPartitions("grp", "key", "id", "ids")
     return moved.mapInArrow(pack, schema).withColumnRenamed("id", id_column)
 

@@ -29,8 +29,8 @@ ODD = re.compile("[\x1c-\x1f]")
 UNUSUAL = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 POINTS = ".,;:!?*%&#$|)"   # after a letter these are a token of their own, or several
 FIRST = "\0"   # marks a text's first word, which has no space in front
-REMEMBERED = 700_000      # pieces a worker keeps, about 150 MB
-TEXTS_AT_ONCE = 4_000_000  # characters
+REMEMBERED = 500_000      # pieces a worker keeps, about 100 MB
+TEXTS_AT_ONCE = 2_000_000  # characters
 
 _encoders: dict[str, Encoder] = {}
 
