@@ -176,10 +176,14 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, size: int = GRAM, id_colu
         pairs.groupBy(F.col("place.key").alias("key"), F.col("first.key").alias("first_key"))
         .agg(F.collect_set(F.struct(F.col("place.at").alias("at"), F.col("first.at").alias("first_at")))
              .alias("places")))
-    # Repeated rows share a key and are one text here.
-    texts = stored(profile.groupBy("key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words")))
+    # Only texts in a match are moved. Repeated rows share a key and are one text
+    # here. None of these tables has a bound, so no side is ever broadcast.
+    involved = matches.select("key").unionByName(matches.select(F.col("first_key").alias("key"))).distinct()
+    texts = stored(
+        profile.select("key", "hashes", "words").join(involved.hint("merge"), "key", "left_semi")
+        .groupBy("key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words")))
     sources = texts.select(F.col("key").alias("first_key"), F.col("hashes").alias("first_hashes"))
-    both = matches.join(texts, "key").join(sources, "first_key")
+    both = matches.join(texts.hint("merge"), "key").join(sources.hint("merge"), "first_key")
     found = both.select("key", "first_key", "places", "hashes", "words", "first_hashes").mapInArrow(
         _matched(least), "key string, spans array<struct<a:int,b:int>>")
     return stored(found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
@@ -214,7 +218,7 @@ def _changed(docs: DataFrame, spans: DataFrame, id_column: str, text_column: str
         F.struct(*docs.columns).alias("_row"), text_of(text_column).alias("_text"),
         F.col(id_column).alias("_id"))
     joined = rows.withColumn("key", row_key("_id", "_text")).join(
-        spans.withColumnRenamed("spans", "_spans"), "key", "left").select("_row", "_text", "_spans")
+        spans.withColumnRenamed("spans", "_spans").hint("merge"), "key", "left").select("_row", "_text", "_spans")
     kind = rows.schema["_row"].dataType.simpleString()
     return joined.mapInArrow(
         _cut_out, f"_row {kind}, _new string, _removed array<string>, _removed_words bigint")
