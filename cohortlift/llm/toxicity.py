@@ -30,7 +30,7 @@ CLEAN_LANDMARKS = 8  # and common ones from the others
 WIDTH = 8             # characters in a window
 DECAY = 0.7           # per character that a subsequence spans
 LETTERS_SHARED = 0.7  # of a landmark's letters; below that the kernel counts as zero
-REMEMBERED = 400_000  # words whose values a worker keeps
+REMEMBERED = 600_000  # words whose values a worker keeps
 
 SENTENCE = re.compile(r"[.!?…\n]+(?=\s|$)|\n")
 EDGES = "\"'`´“”‘’«»()[]{}<>,.;:!?…*_~|#%&$^=+-/\\"
@@ -109,11 +109,13 @@ class Landmarks:
         """Normalised kernel of every string with every landmark."""
         codes = _codes(strings)
         masks, out = _masks(codes), np.zeros((len(strings), len(self.strings)), np.float32)
-        norms = np.zeros(len(strings), np.float32)
-        for a in range(0, len(strings), 2_000):
-            norms[a:a + 2_000] = np.sqrt(raw_kernel(codes[a:a + 2_000], codes[a:a + 2_000]))
-        shared = np.bitwise_count(masks[:, None] & self.masks[None, :])
-        row, column = np.nonzero((shared >= self.need[None, :]) & (norms > 0)[:, None])
+        shared = np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.need[None, :]
+        norms = np.ones(len(strings), np.float32)
+        some = np.flatnonzero(shared.any(axis=1))
+        for a in range(0, len(some), 2_000):
+            at = some[a:a + 2_000]
+            norms[at] = np.sqrt(raw_kernel(codes[at], codes[at]))
+        row, column = np.nonzero(shared & (norms > 0)[:, None])
         for a in range(0, len(row), 2_000):
             r, c = row[a:a + 2_000], column[a:a + 2_000]
             out[r, c] = raw_kernel(codes[r], self.codes[c]) / (norms[r] * self.norms[c])
