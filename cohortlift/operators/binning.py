@@ -141,7 +141,10 @@ def value_range(df: DataFrame, column: str) -> tuple[float, float]:
 
 
 def equal_width_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    return cut_edges(*value_range(df, column), bins)
+    low, high = value_range(df, column)
+    if low is None:
+        raise ValueError(f"{column} has no values to bin")
+    return cut_edges(low, high, bins)
 
 
 # ---- bins ------------------------------------------------------------------

@@ -131,3 +131,9 @@ def test_small_helpers(spark):
     assert [r[0] for r in df.select(binning.floor_to_step("x", 5)).collect()] == [0, 0, 5, -5]
     means = binning.mean_per_bin(df.withColumn("bin", F.col("i") % 2), ["x"])
     assert rows(means, ["bin", "mean_x"]) == [(0, 2.5), (1, 1.5)]
+
+
+def test_equal_width_edges_need_a_value(spark):
+    nothing = spark.createDataFrame([(None,)], "x double")
+    with pytest.raises(ValueError, match="no values"):
+        binning.equal_width_edges(nothing, "x", 4)

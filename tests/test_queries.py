@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as entry_point
 from conftest import SMALL, plan_of
+from registry import oracle, queries
 
 TABLES = ["customer", "orders", "lineitem"]
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+QUERIES = queries.queries()
+ORACLE = oracle.oracle_sql()
 # Models and random draws; tested by their properties.
 NO_SQL = {"uplift_scores", "oversampled_training"}
 
@@ -34,6 +35,11 @@ def ordered(records):
     return sorted(records, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+def test_all_are_offered():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert ORACLE.items() <= entry_point.oracle_sql().items()
+
+
 def test_every_query_has_sql_but_the_random_ones():
     assert set(QUERIES) - set(ORACLE) == NO_SQL
     assert set(ORACLE) <= set(QUERIES)
