@@ -11,6 +11,7 @@ document is as toxic as its worst sentence.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ CLEAN_LANDMARKS = 8  # and common ones from the others
 WIDTH = 8             # characters in a window
 DECAY = 0.7           # per character that a subsequence spans
 LETTERS_SHARED = 0.7  # of a landmark's letters; below that the kernel counts as zero
+CLEAN_SHARE = 0.25    # how often a landmark may be in clean documents, next to toxic ones
+MOST = 6.0            # of the sum of fourth powers over a sentence's words
 REMEMBERED = 600_000  # words whose values a worker keeps
 
 SENTENCE = re.compile(r"[.!?…\n]+(?=\s|$)|\n")
@@ -138,7 +141,9 @@ def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     """Windows that tell toxic documents apart, each for documents the others miss.
 
     Word beginnings and whole words count per document; greedily the one that
-    covers most toxic documents not covered yet and hardly any clean one.
+    covers most toxic documents not covered yet and few clean ones. Among
+    so many strings some fall on toxic documents by chance alone: a string must
+    be in so many of them that not one in a hundred such tables has one like it.
     """
     def strings(words: set[str]) -> set[str]:
         return {w[:k] for w in words for k in range(4, min(len(w), WIDTH) + 1)}
@@ -151,14 +156,24 @@ def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
         for s in strings(words):
             where.setdefault(s, []).append(i)
     ratio = max(len(toxic), 1) / max(len(clean), 1)
-    useful = {s: set(at) for s, at in where.items()
-              if len(at) >= max(3, len(toxic) // 100) and in_clean[s] * ratio <= 0.02 * len(at)}
+    share = min(max(len(toxic) / max(len(toxic) + len(clean), 1), 1e-9), 1 - 1e-9)
+    least = math.log(100 * max(len(where), 1))
+
+    def telling(k: int, m: int) -> bool:
+        """k toxic and m clean documents: Chernoff's bound on that happening by chance."""
+        if k < max(3, len(toxic) // 100) or m * ratio > CLEAN_SHARE * k:
+            return False
+        p = k / (k + m)
+        gain = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if m else 0.0)
+        return (k + m) * gain >= least
+
+    useful = {s: set(at) for s, at in where.items() if telling(len(at), in_clean[s])}
     found: list[str] = []
     left = {s: set(at) for s, at in useful.items()}
     # Each document may be covered three times, so that every insult in use is seen.
     seen = Counter()
     while left and len(found) < most:
-        best = max(left, key=lambda s: (len(left[s]), len(s), s))
+        best = max(left, key=lambda s: (len(left[s]) - 2 * ratio * in_clean[s], len(s), s))
         if len(left[best]) < max(3, len(toxic) // 200):
             break
         found.append(best)
@@ -182,43 +197,60 @@ class Model:
         roots, vectors = np.linalg.eigh(k)
         roots = np.maximum(roots, 0.05)
         self.whiten = vectors @ np.diag(roots ** -0.5) @ vectors.T
-        self.weights, self.bias = np.zeros(len(landmarks.strings)), 0.0
-        self.slope, self.shift = 4.0, 0.0
+        self.weights, self.bias = np.zeros(2 * len(landmarks.strings)), 0.0
+        self.curve = np.zeros(len(landmarks.strings) + 3)
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(landmarks.strings)), np.float32)
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": self.table[:0]}
 
-    def fit(self, values: np.ndarray, truth: np.ndarray, epochs: int = 60, decay: float = 1e-4) -> None:
-        """A linear SVM on the whitened values by stochastic subgradients; classes weigh alike."""
-        x, y = values @ self.whiten, np.where(truth, 1.0, -1.0)
-        weight = np.where(truth, 0.5 / max(truth.mean(), 1e-9), 0.5 / max(1 - truth.mean(), 1e-9))
-        w, b, total, count = self.weights.copy(), 0.0, np.zeros_like(self.weights), 0
-        bias, rng, step = 0.0, np.random.default_rng(3), 0
-        for epoch in range(epochs):
-            order = rng.permutation(len(x))
-            for a in range(0, len(x), 256):
-                step += 1
-                i = order[a:a + 256]
-                short = y[i] * (x[i] @ w + b) < 1
-                pull = (weight[i] * y[i] * short)[:, None]
-                rate = 0.5 / (1 + 0.002 * step)
-                w = (1 - rate * decay) * w + rate * (pull * x[i]).mean(axis=0)
-                b += rate * float(pull.mean())
-                if epoch >= epochs // 2:
-                    total, bias, count = total + w, bias + b, count + 1
-        self.weights, self.bias = total / max(count, 1), bias / max(count, 1)
-
-    def calibrate(self, worst: np.ndarray, truth: np.ndarray) -> None:
-        """A logistic curve over documents' worst margins (Platt)."""
-        slope, shift = 2.0, 0.0
+    def _white(self, values: np.ndarray) -> np.ndarray:
+        half = values.shape[1] // 2
+        return np.hstack([values[:, :half] @ self.whiten, values[:, half:] @ self.whiten])
+
+    def fit(self, values: np.ndarray, truth: np.ndarray, rounds: int = 30, decay: float = 1e-3) -> None:
+        """A linear SVM with squared hinge on the whitened values; classes weigh alike.
+
+        Newton steps over the rows inside the margin reach the one optimum.
+        """
+        x = np.hstack([self._white(values), np.ones((len(values), 1))])
+        y = np.where(truth, 1.0, -1.0)
+        weight = np.where(truth, 0.5 / max(truth.sum(), 1), 0.5 / max((~truth).sum(), 1))
+        keep = np.full(x.shape[1], decay)
+        keep[-1] = 1e-9          # the bias is free
+        w = np.zeros(x.shape[1])
+
+        def loss(v: np.ndarray) -> float:
+            return float((weight * np.maximum(1 - y * (x @ v), 0) ** 2).sum() + (keep * v * v).sum())
+
+        for _ in range(rounds):
+            inside = y * (x @ w) < 1
+            near = x[inside] * weight[inside][:, None]
+            best = np.linalg.solve(near.T @ x[inside] + np.diag(keep), near.T @ y[inside])
+            step, now = 1.0, loss(w)
+            while step > 1e-4 and loss(w + step * (best - w)) > now:
+                step /= 2
+            moved = step * (best - w)
+            w = w + moved
+            if np.abs(moved).max() < 1e-6:
+                break
+        self.weights, self.bias = w[:-1], float(w[-1])
+
+    def calibrate(self, inputs: np.ndarray, truth: np.ndarray, decay: float = 0.5) -> None:
+        """A logistic curve over documents' measures (Platt's targets), by Newton steps."""
         goal = np.where(truth, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((~truth).sum() + 2))
-        for _ in range(2000):
-            p = 1 / (1 + np.exp(-np.clip(slope * worst + shift, -30, 30)))
-            slope -= 0.5 * float(((p - goal) * worst).mean())
-            shift -= 0.5 * float((p - goal).mean())
-        self.slope, self.shift = slope, shift
+        x = np.hstack([inputs, np.ones((len(inputs), 1))])
+        keep, w = np.full(x.shape[1], decay), np.zeros(x.shape[1])
+        keep[-1] = 1e-6          # the bias is free
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep)
+            moved = np.linalg.solve(slope, x.T @ (p - goal) + keep * w)
+            w = w - np.clip(moved, -2, 2)
+            if np.abs(moved).max() < 1e-8:
+                break
+        self.curve = w
 
     def _slots(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
@@ -233,7 +265,12 @@ class Model:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def sentence_values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Kernel values of every sentence, and how many sentences each text has."""
+        """Kernel values of every sentence, and how many sentences each text has.
+
+        Of its words' values with a landmark, the largest and the sum of fourth powers,
+        in which only close matches count.
+        """
+        half = len(self.landmarks.strings)
         bags, counts = [], []
         for text in texts:
             own = [b for b in map(words_of, SENTENCE.split(text)) if b]
@@ -247,26 +284,35 @@ class Model:
         out = np.empty((len(bags), len(self.weights)), np.float32)
         for a in range(0, len(bags), 5000):     # a stretch of sentences at a time
             b = min(a + 5000, len(bags))
-            piece = self.table[slots[starts[a]:starts[b]]]
-            out[a:b] = np.maximum.reduceat(piece, starts[a:b] - starts[a], axis=0)
+            piece, at = self.table[slots[starts[a]:starts[b]]].astype(np.float32), starts[a:b] - starts[a]
+            out[a:b, :half] = np.maximum.reduceat(piece, at, axis=0)
+            out[a:b, half:] = np.minimum(np.add.reduceat(piece ** 4, at, axis=0), MOST)
         return out, np.array(counts, np.int64)
 
     def margins(self, values: np.ndarray) -> np.ndarray:
-        return values @ (self.whiten @ self.weights) + self.bias
+        return self._white(values) @ self.weights + self.bias
+
+    def measures(self, texts: list[str]) -> np.ndarray:
+        """Largest sentence margin, logarithm of the positive ones' sum, and of close matches per landmark.
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of each text's sentences; -1 for a text without words."""
+        -1 and zeros for a text without words.
+        """
         values, counts = self.sentence_values(texts)
-        margins = self.margins(values)
-        out, at = np.full(len(texts), -1.0), 0
+        margins, half = self.margins(values), len(self.landmarks.strings)
+        out, at = np.zeros((len(texts), half + 2)), 0
+        out[:, 0] = -1.0
         for i, n in enumerate(counts.tolist()):
             if n:
-                out[i] = margins[at:at + n].max()
+                own = margins[at:at + n]
+                out[i, 0] = max(own.max(), -3.0)
+                out[i, 1] = np.maximum(own, 0).sum()
+                out[i, 2:] = values[at:at + n, half:].sum(axis=0)
             at += n
+        out[:, 1:] = np.log1p(out[:, 1:])
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.measures(texts) @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def fitted(toxic: list[str], clean: list[str]) -> Model | None:
@@ -284,7 +330,8 @@ def fitted(toxic: list[str], clean: list[str]) -> Model | None:
     model = Model(Landmarks(strings))
     bad, bad_counts = model.sentence_values(toxic)
     good, _ = model.sentence_values(clean)
-    good = good[np.argsort(-good.max(axis=1), kind="stable")[:60_000]]   # the hardest clean sentences
+    half = len(strings)
+    good = good[np.argsort(-good[:, :half].max(axis=1), kind="stable")[:60_000]]   # the hardest clean sentences
     owner = np.repeat(np.arange(len(toxic)), bad_counts)
     told = len(strings) - min(CLEAN_LANDMARKS, len(strings))
     rank = bad[:, :told].max(axis=1) if told else bad.max(axis=1)
@@ -296,8 +343,8 @@ def fitted(toxic: list[str], clean: list[str]) -> Model | None:
         values = np.concatenate([bad[is_bad], good]).astype(float)
         model.fit(values, np.arange(len(values)) < is_bad.sum())
         rank = model.margins(bad)
-    worst = np.concatenate([model.worst(toxic), model.worst(clean)])
-    model.calibrate(worst, np.arange(len(worst)) < len(toxic))
+    measures = np.concatenate([model.measures(toxic), model.measures(clean)])
+    model.calibrate(measures, np.arange(len(measures)) < len(toxic))
     model.known, model.table = {}, model.table[:0]
     return model
 
