@@ -33,8 +33,8 @@ from cohortlift.plans.export import SCORE_COLUMNS
 from cohortlift.plans.frames import KEYS, split_by_arm
 
 FEATURES = "_features"
-# Training rows worth a task of their own.
-ROWS_PER_TASK = 10_000
+# Of a component of unit-variance numbers; below that it is rounding noise.
+LEAST_VARIANCE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,11 @@ class ForestSettings:
     ``split_share`` is the least share of the rows a node needs to be split.
     Spark has no such setting; it limits the children instead, to half of it.
     With ``oversampled`` the rarer class is filled up by synthetic rows first.
+    ``fit_tasks`` is part of the model: Spark draws a tree's rows partition by
+    partition, so the same rows are always dealt to as many partitions, by a
+    hash of their ids, whatever their number or the session's settings. Set it
+    once for the size of a deployment. ``max_bins`` is the number of values
+    that a numeric feature is cut into when splits are searched.
     """
     trees: int = 120
     split_share: float = 0.03
@@ -52,6 +57,8 @@ class ForestSettings:
     max_depth: int = 30
     seed: int = 1234
     parallel_folds: int = 8
+    fit_tasks: int = 8
+    max_bins: int = 32
 
 
 # Fixed values of the two variants in use.
@@ -76,7 +83,7 @@ def preparation(columns: list[str]) -> Pipeline:
         StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         PCA(inputCol="_scaled", outputCol="_components", k=len(numbers)),
         VarianceThresholdSelector(featuresCol="_components", outputCol="_varying",
-                                  varianceThreshold=0.0),
+                                  varianceThreshold=LEAST_VARIANCE),
         VectorAssembler(inputCols=slots + ["_varying"], outputCol="_joined"),
         PolynomialExpansion(degree=2, inputCol="_joined", outputCol=FEATURES),
     ])
@@ -85,7 +92,7 @@ def preparation(columns: list[str]) -> Pipeline:
 def forest(settings: ForestSettings, label: str) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol=FEATURES, labelCol=label, numTrees=settings.trees,
-        maxDepth=settings.max_depth, featureSubsetStrategy="sqrt",
+        maxDepth=settings.max_depth, maxBins=settings.max_bins, featureSubsetStrategy="sqrt",
         minWeightFractionPerNode=settings.split_share / 2, seed=settings.seed,
         # Only the probability is used; empty names skip the other outputs.
         probabilityCol="_probability", rawPredictionCol="", predictionCol="")
@@ -133,24 +140,25 @@ class PropensityModel:
         return scored.select(*keep, mean.alias(name))
 
 
-def _in_folds(ready: DataFrame, label: str, folds: int, ids: list[str]) -> DataFrame:
+def _in_folds(ready: DataFrame, label: str, folds: int, tasks: int, ids: list[str]) -> DataFrame:
     """Deal rows to folds so that each gets its share of both classes.
 
     Rows are numbered by class and, inside a class, by a hash of their ids;
-    taking turns along that order is stratified. The numbering checkpoints the
-    frame, so the fits below start from stored rows.
+    taking turns along that order is stratified. They are then dealt to
+    ``tasks`` partitions by the same hash, sorted and stored, so that every
+    fit sees the same rows in the same order in the same partition.
     """
     shuffled = ready.withColumn("_mix", F.xxhash64(*ids))
-    numbered, rows = number_rows(shuffled, label, "_mix", *ids, name="_turn")
-    # A forest passes over its rows once per level of depth; with few rows the
-    # tasks of a pass cost more than their work, so use no more than needed.
+    numbered, _ = number_rows(shuffled, label, "_mix", *ids, name="_turn")
     return numbered.select(
-        FEATURES, label, (F.col("_turn") % folds).cast("int").alias("_fold")
-    ).coalesce(max(1, rows // ROWS_PER_TASK))
+        FEATURES, label, "_mix", *ids, (F.col("_turn") % folds).cast("int").alias("_fold")
+    ).repartition(tasks, "_mix").sortWithinPartitions("_mix", *ids).select(
+        FEATURES, label, "_fold").checkpoint()
 
 
 def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PRODUCTION) -> PropensityModel:
     """Fit per fold: a forest on the other folds, a sigmoid on this one."""
+    use_checkpoint_folder(train.sparkSession)
     columns = feature_columns(train.columns)
     ids = KEYS
     if settings.oversampled:
@@ -159,10 +167,15 @@ def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PROD
         ids = ["_row_id"]
         train = oversample(train, label, numbers, CATEGORIES, seed=settings.seed).withColumn(
             "_row_id", F.monotonically_increasing_id()).checkpoint()
+    # Sums behind the preparation are rounded partition by partition as well.
+    train = (
+        train.repartition(settings.fit_tasks, F.xxhash64(*ids))
+        .sortWithinPartitions(*ids).checkpoint()
+    )
     prepared = preparation(columns).fit(train)
     ready = prepared.transform(train).select(
         *ids, F.col(FEATURES), F.col(label).cast("double").alias(label))
-    dealt = _in_folds(ready, label, settings.folds, ids)
+    dealt = _in_folds(ready, label, settings.folds, settings.fit_tasks, ids)
 
     sizes = {(r["_fold"], int(r[label])): r["count"]
              for r in dealt.groupBy("_fold", label).count().collect()}

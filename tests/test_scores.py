@@ -190,6 +190,22 @@ def test_same_seed_same_scores(models, labelled_users):
     assert [r["p"] for r in first] == pytest.approx([r["p"] for r in second], abs=1e-9)
 
 
+def test_fits_do_not_depend_on_partitions(spark, labelled_users):
+    arm = labelled_users.filter("experiment_group in ('TR', 'TN')")
+    times = -(-60_000 // arm.count())
+    many = arm.crossJoin(spark.range(times).withColumnRenamed("id", "_n")).withColumn(
+        "hs_user_id", F.col("hs_user_id") * times + F.col("_n")).drop("_n")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            model = uplift.fit_propensity(many, "experiment_group_TR", QUICK)
+            got.append([r["p"] for r in model.score(arm, "p").orderBy("hs_user_id").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == pytest.approx(got[1], abs=1e-9)
+
+
 def test_unknown_category_is_all_zeros(models, labelled_users):
     odd = labelled_users.limit(1).withColumn("subscription_platform", F.lit("fridge"))
     slots = models[0].preparation.transform(odd).select(
@@ -206,7 +222,7 @@ def test_numbers_are_centred_components(models, labelled_users):
 def test_folds_are_stratified(labelled_users):
     ready = labelled_users.withColumn("_features", F.lit(0)).select(
         "hs_user_id", "signup_date", "_features", F.col("experiment_group_TR").cast("double"))
-    sizes = uplift._in_folds(ready, "experiment_group_TR", 5, uplift.KEYS).groupBy("experiment_group_TR", "_fold").count()
+    sizes = uplift._in_folds(ready, "experiment_group_TR", 5, 8, uplift.KEYS).groupBy("experiment_group_TR", "_fold").count()
     for value in (0.0, 1.0):
         counts = [r["count"] for r in sizes.filter(F.col("experiment_group_TR") == value).collect()]
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
