@@ -34,6 +34,7 @@ LETTERS_SHARED = 0.7  # of a landmark's letters; below that the kernel counts as
 CLEAN_SHARE = 0.25    # how often a landmark may be in clean documents, next to toxic ones
 MOST = 6.0            # of the sum of fourth powers over a sentence's words
 REMEMBERED = 600_000  # words whose values a worker keeps
+NOTHING, LETTER, UNLIKE = 0, 1, 2   # rows of no word, a single letter, a word like no landmark
 
 SENTENCE = re.compile(r"[.!?…\n]+(?=\s|$)|\n")
 EDGES = "\"'`´“”‘’«»()[]{}<>,.;:!?…*_~|#%&$^=+-/\\"
@@ -199,11 +200,20 @@ class Model:
         self.whiten = vectors @ np.diag(roots ** -0.5) @ vectors.T
         self.weights, self.bias = np.zeros(2 * len(landmarks.strings)), 0.0
         self.curve = np.zeros(len(landmarks.strings) + 3)
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(landmarks.strings)), np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}      # tokens as written: their row of the table
+        self.rows: dict[str, int] = {}       # bare words: their row
+        self.table = np.zeros((UNLIKE + 1, len(self.landmarks.strings)), np.float16)
+        self.used = UNLIKE + 1               # rows of the table in use
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "table": self.table[:0]}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows", "table", "used")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
 
     def _white(self, values: np.ndarray) -> np.ndarray:
         half = values.shape[1] // 2
@@ -252,42 +262,75 @@ class Model:
                 break
         self.curve = w
 
-    def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known, self.table = {}, self.table[:0]
-        fresh = list(dict.fromkeys(w for w in words if w not in self.known))
+    def _row(self, word: str) -> int:
+        """Where the table holds a bare word's values; single letters and nothing have rows of their own."""
+        return NOTHING if not word else LETTER if len(word) == 1 else self.rows.get(word, -1)
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Remember the rows of tokens not met before, and the values of new words."""
+        bare = {token: token.translate(_BARE) for token in tokens if token not in self.known}
+        fresh = list(dict.fromkeys(w for w in bare.values() if self._row(w) < 0))
         if fresh:
-            self.known.update({w: len(self.known) + i for i, w in enumerate(fresh)})
             values = self.landmarks.word_values(fresh)
-            while len(self.known) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(len(self.table), 50_000), values.shape[1]), np.float16)])
-            self.table[len(self.known) - len(fresh):len(self.known)] = values
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            like = values.any(axis=1)
+            at, values = self.used + np.cumsum(like) - 1, values[like]
+            self.rows.update(zip(fresh, np.where(like, at, UNLIKE).tolist()))
+            end = self.used + len(values)
+            if end > len(self.table):
+                more = np.zeros((max(end, 2 * len(self.table), 50_000), values.shape[1]), np.float16)
+                more[:self.used] = self.table[:self.used]
+                self.table = more
+            self.table[self.used:end], self.used = values, end
+        self.known.update((token, self._row(word)) for token, word in bare.items())
+
+    def _found(self, tokens: list[str]) -> np.ndarray:
+        self._learn(tokens)
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
     def sentence_values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values of every sentence, and how many sentences each text has.
 
         Of its words' values with a landmark, the largest and the sum of fourth powers,
-        in which only close matches count.
+        in which only close matches count. Sentences without a word are left out. Words
+        are those of ``words_of``.
         """
+        if len(self.known) > REMEMBERED:
+            self.forget()
         half = len(self.landmarks.strings)
-        bags, counts = [], []
-        for text in texts:
-            own = [b for b in map(words_of, SENTENCE.split(text)) if b]
-            bags += own
-            counts.append(len(own))
-        flat = [w for b in bags for w in b]
-        if not flat:
-            return np.zeros((0, len(self.weights)), np.float32), np.array(counts, np.int64)
-        slots = self._slots(flat)
-        starts = np.cumsum([0, *map(len, bags)])
-        out = np.empty((len(bags), len(self.weights)), np.float32)
-        for a in range(0, len(bags), 5000):     # a stretch of sentences at a time
-            b = min(a + 5000, len(bags))
-            piece, at = self.table[slots[starts[a]:starts[b]]].astype(np.float32), starts[a:b] - starts[a]
-            out[a:b, :half] = np.maximum.reduceat(piece, at, axis=0)
-            out[a:b, half:] = np.minimum(np.add.reduceat(piece ** 4, at, axis=0), MOST)
-        return out, np.array(counts, np.int64)
+        owner, tokens, sizes = [], [], []
+        for i, text in enumerate(texts):
+            for sentence in SENTENCE.split(text):
+                split = sentence.lower().split()
+                if split:
+                    tokens += split
+                    sizes.append(len(split))
+                    owner.append(i)
+        place = np.repeat(np.arange(len(sizes)), sizes)      # the sentence of each token
+        row = self._found(tokens)
+        # Single letters in a row of a sentence: the first stands for the word they spell.
+        letter = np.concatenate([[False], row == LETTER, [False]])
+        same = np.concatenate([[False], place[1:] == place[:-1], [False]])
+        begins = np.flatnonzero(letter[1:-1] & ~(letter[:-2] & same[:len(row)]))
+        ends = np.flatnonzero(letter[1:-1] & ~(letter[2:] & same[1:len(row) + 1])) + 1
+        spelled = [(a, "".join(tokens[a:b]).translate(_BARE)) for a, b in zip(begins.tolist(), ends.tolist()) if b - a > 2]
+        if spelled:
+            row[[a for a, _ in spelled]] = self._found([word for _, word in spelled])
+        told = np.zeros(len(sizes), bool)
+        told[place[row >= UNLIKE]] = True
+        out = np.zeros((len(sizes), len(self.weights)), np.float32)
+        at = np.flatnonzero(row > UNLIKE)                     # other words' values are all zero
+        for a in range(0, len(at), 100_000):                  # a stretch of words at a time
+            part = at[a:a + 100_000]
+            piece, own = self.table[row[part]].astype(np.float32), place[part]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            to = own[starts]                                  # a sentence may go on in the next stretch
+            out[to, :half] = np.maximum(out[to, :half], np.maximum.reduceat(piece, starts, axis=0))
+            np.square(piece, out=piece)
+            np.square(piece, out=piece)
+            out[to, half:] += np.add.reduceat(piece, starts, axis=0)
+        np.minimum(out[:, half:], MOST, out=out[:, half:])
+        counts = np.bincount(np.array(owner, np.int64)[told], minlength=len(texts))
+        return out[told], counts
 
     def margins(self, values: np.ndarray) -> np.ndarray:
         return self._white(values) @ self.weights + self.bias
@@ -345,7 +388,7 @@ def fitted(toxic: list[str], clean: list[str]) -> Model | None:
         rank = model.margins(bad)
     measures = np.concatenate([model.measures(toxic), model.measures(clean)])
     model.calibrate(measures, np.arange(len(measures)) < len(toxic))
-    model.known, model.table = {}, model.table[:0]
+    model.forget()
     return model
 
 
