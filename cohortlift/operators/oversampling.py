@@ -30,10 +30,17 @@ CHUNK_POINTS = 256
 # Synthetic rows one task makes at a time from one point.
 ROWS_PER_BLOCK = 100_000
 NEIGHBOURS = 5
+# Features that place a point on the curve; a place has 60 bits. Distances use all.
+CURVE_FEATURES = 60
 
 
 def _curve(numbers: list[str], low: dict, high: dict) -> Column:
-    """Place along a curve that keeps near points near: interleaved bits."""
+    """Place along a curve that keeps near points near: interleaved bits.
+
+    Of more than ``CURVE_FEATURES`` features the first ones count. Where points
+    are cut into chunks decides what is searched, not what is found.
+    """
+    numbers = numbers[:CURVE_FEATURES]
     bits = max(1, min(8, 60 // max(1, len(numbers))))
     top = (1 << bits) - 1
     levels = []

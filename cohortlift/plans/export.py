@@ -6,7 +6,7 @@ import datetime as dt
 import math
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlift.operators.numbering import number_rows
@@ -15,6 +15,7 @@ from cohortlift.operators.sequences import first_per
 # Fixed value: users the receiving service takes in one request.
 USERS_PER_REQUEST = 50
 
+# The columns of the stored score table.
 SCORE_COLUMNS = [
     "hs_user_id", "signup_date", "propensity_TR", "propensity_CR", "propensity_TN",
     "propensity_CN", "uplift_score", "uplift_score_bin", "run_date",
@@ -26,19 +27,48 @@ def write_scores(scores: DataFrame, path: str, *, replace_dates: bool = False) -
 
     Columns may be added later; readers merge the schemas. With
     ``replace_dates`` the dates in ``scores`` are overwritten and no others, so
-    that a date can be run again.
+    that a date can be run again. Rows of a date are brought together first, so
+    that a task does not write a file for every date; large dates are split.
     """
-    writer = scores.write.partitionBy("signup_date")
+    writer = scores.hint("rebalance", "signup_date").write.partitionBy("signup_date")
     if replace_dates:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         writer.mode("append").parquet(path)
 
 
+def append_to_table(scores: DataFrame, table: str) -> None:
+    """Append scores to a table of the catalog, made by the first call; ``load(name=table)`` reads it.
+
+    Columns are matched by name and are those of the first call.
+    """
+    scores.hint("rebalance", "signup_date").write.partitionBy("signup_date").format(
+        "parquet").mode("append").saveAsTable(table)
+
+
 def backfill(dates: Iterable[dt.date], job: Callable[[dt.date], DataFrame], path: str) -> None:
-    """Run ``job`` for each date; every run replaces its own date only."""
+    """Run ``job`` for each date; every run replaces its own date only.
+
+    A date for which ``job`` gives no rows has none afterwards.
+    """
     for date in dates:
-        write_scores(job(date), path, replace_dates=True)
+        scores = job(date)
+        system, folder = _date_folder(scores.sparkSession, path, date)
+        before = _file_names(system, folder)
+        write_scores(scores, path, replace_dates=True)
+        # Names of written files are new, so the same ones mean that nothing was written.
+        if before and _file_names(system, folder) == before:
+            system.delete(folder, True)
+
+
+def _date_folder(spark: SparkSession, path: str, date: dt.date):
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path, f"signup_date={date}")
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
+
+
+def _file_names(system, folder) -> set[str]:
+    return {f.getPath().getName() for f in system.listStatus(folder)} if system.exists(folder) else set()
 
 
 def latest_scores(scores: DataFrame, signup_date: str | None = None) -> DataFrame:
@@ -62,6 +92,7 @@ def payload_batches(scores: DataFrame, signup_date: str | None = None,
     """
     numbered, users = number_rows(latest_scores(scores, signup_date), "hs_user_id")
     batches = max(1, math.ceil(users / size))
+    # The field names that the receiver reads.
     payload = F.struct(
         F.col("hs_user_id").cast("string").alias("external_id"),
         F.col("uplift_score_bin").cast("int").alias("uplift_score_bin"),

@@ -610,6 +610,26 @@ FROM pseudo, span"""),
              "marked AS (SELECT *, days_until_return__from_previous_subscription_end_date <= 35"
              " AS back_within_35 FROM treatment_responders)"),
             _histogram("marked", "tenure_at_cancellation", "back_within_35", 28)),
+        "histogram_density_monthly": _with_tail(
+            (*WINBACK_CHAIN, CONTROL_RESPONDERS, TREATMENT_RESPONDERS, RESPONDERS,
+             "monthly AS (SELECT * FROM responders WHERE plan_initial_term_months = 1)"),
+            _histogram("monthly", "tenure_at_cancellation", "arm", 28)),
+        "histogram_return_window_monthly": _with_tail(
+            (*WINBACK_CHAIN, TREATMENT_RESPONDERS,
+             "marked AS (SELECT *, days_until_return__from_previous_subscription_end_date <= 35"
+             " AS back_within_35 FROM treatment_responders WHERE plan_initial_term_months = 1)"),
+            _histogram("marked", "tenure_at_cancellation", "back_within_35", 28)),
+        "histogram_email_return_delay": _with_tail(
+            (*WINBACK_CHAIN, CONTROL_RESPONDERS, TREATMENT_RESPONDERS, RESPONDERS,
+             "mailed AS (SELECT * FROM responders"
+             " WHERE days_until_return__from_first_email_date > 0)"),
+            _histogram("mailed", "days_until_return__from_first_email_date", "arm", 3)),
+        "tenure_return_pairs_monthly": _plain(
+            "SELECT tenure_at_cancellation,"
+            " days_until_return__from_previous_subscription_end_date, count(*) AS count"
+            " FROM treatment_responders WHERE tenure_at_cancellation > 0"
+            " AND plan_initial_term_months = 1 GROUP BY 1, 2",
+            *WINBACK_CHAIN, TREATMENT_RESPONDERS),
         "histogram_shared_edges": _with_tail((*WINBACK_CHAIN, TREATED), """
 -- A histogram over a single value spans half a unit to either side of it.
 span AS (SELECT min(days_since_cancel) - (CASE WHEN min(days_since_cancel)

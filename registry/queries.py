@@ -348,6 +348,35 @@ def histogram_return_window(data):
     return binning.density_histogram(treated, "tenure_at_cancellation", 28, "back_within_35")
 
 
+def histogram_density_monthly(data):
+    """Tenure at cancellation in 28-day bars, by arm, for monthly plans."""
+    monthly = _responders(data).filter(F.col("plan_initial_term_months") == 1)
+    return binning.density_histogram(monthly, "tenure_at_cancellation", 28, "arm")
+
+
+def histogram_return_window_monthly(data):
+    """Tenure of treated users of monthly plans back within 35 days against later ones."""
+    treated = winback.treatment_responders(_lapsed(data)).filter(
+        F.col("plan_initial_term_months") == 1
+    ).withColumn(
+        "back_within_35", F.col("days_until_return__from_previous_subscription_end_date") <= 35)
+    return binning.density_histogram(treated, "tenure_at_cancellation", 28, "back_within_35")
+
+
+def histogram_email_return_delay(data):
+    """Days from first email to return in 3-day bars, by arm."""
+    email = "days_until_return__from_first_email_date"
+    return binning.density_histogram(_responders(data).filter(F.col(email) > 0), email, 3, "arm")
+
+
+def tenure_return_pairs_monthly(data):
+    """Tenure and days until return of treated users of monthly plans."""
+    treated = winback.treatment_responders(_lapsed(data)).filter(
+        (F.col("tenure_at_cancellation") > 0) & (F.col("plan_initial_term_months") == 1))
+    return binning.value_pairs(treated, "tenure_at_cancellation",
+                               "days_until_return__from_previous_subscription_end_date")
+
+
 def histogram_shared_edges(data):
     return binning.shared_edge_histogram(
         _stored(takerate.within_year(_conversions(data))), "days_since_cancel", 50,
@@ -516,7 +545,8 @@ ALL = [
     take_rate_10day_control, campaign_funnel, daily_features_week1, feature_trends,
     median_daily_total, median_week1, training_frame, scoring_frame, quantile_bins,
     quantile_bins_falling, equal_width_bins, histogram_density, histogram_return_delay,
-    histogram_return_window, histogram_shared_edges, score_histogram, kernel_density, box_summary,
+    histogram_return_window, histogram_density_monthly, histogram_return_window_monthly,
+    histogram_email_return_delay, tenure_return_pairs_monthly, histogram_shared_edges, score_histogram, kernel_density, box_summary,
     email_delay_mean, tenure_return_pairs, email_delay_steps, scores, tracking_by_bin,
     high_uplift_signups, latest_score, row_numbers, payload_batches, classification_report,
     threshold_curve, curve_areas, calibration_table, feature_neighbours, oversampled_training,

@@ -45,6 +45,21 @@ def test_neighbours_are_exact_however_small_the_chunks(spark, chunk):
         assert got[point] == pytest.approx(distances)
 
 
+@pytest.mark.parametrize("wide", [64, 100])
+def test_neighbours_of_wide_points(spark, wide):
+    names = [f"n{i}" for i in range(wide)]
+    values = np.random.default_rng(5).integers(0, 9, (40, wide)).astype(float)
+    points = spark.createDataFrame([(*map(float, v), 1) for v in values], [*names, "copies"])
+    placed, near = nearest_neighbours(points, names, [], APART, 3, 16)
+    who = {r["point"]: tuple(r[n] for n in names) for r in placed.collect()}
+    got = {}
+    for r in near.collect():
+        got.setdefault(who[r["point"]], []).append(r["distance"])
+    for v in values:
+        want = sorted(((values - v) ** 2).sum(axis=1))[1:4]     # the first is the point itself
+        assert sorted(got[tuple(v)])[:3] == pytest.approx(want)
+
+
 @pytest.fixture(scope="module")
 def lopsided(spark):
     pick = random.Random(8)

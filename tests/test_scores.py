@@ -86,6 +86,27 @@ def test_backfill_leaves_other_dates(spark, scores, tmp_path):
     assert counts == {"2022-05-31": 12, "2022-05-30": 1, "2022-05-29": 12}
 
 
+def test_backfill_of_a_date_without_users_empties_it(spark, scores, tmp_path):
+    path = str(tmp_path / "scores")
+    export.write_scores(scores, path)
+    others = scores.filter("signup_date <> '2022-05-30'").count()
+    for _ in range(2):      # the second time there is nothing to remove
+        export.backfill([day("2022-05-30")], lambda date: scores.filter("hs_user_id < 0"), path)
+    left = spark.read.parquet(path)
+    assert left.filter("signup_date = '2022-05-30'").isEmpty() and left.count() == others
+
+
+def test_scores_go_to_a_table_of_the_catalog(spark, scores, tmp_path):
+    spark.sql(f"CREATE DATABASE kept LOCATION '{tmp_path / 'kept'}'")
+    try:
+        for _ in range(2):
+            export.append_to_table(scores, "kept.user_scores")
+        stored = tables.load(spark, "scores", name="kept.user_scores")
+        assert stored.count() == 2 * scores.count() and set(stored.columns) == set(scores.columns)
+    finally:
+        spark.sql("DROP DATABASE kept CASCADE")
+
+
 def test_high_uplift_signups(scores):
     got = rows(tracking.high_uplift_signups(scores), ["signup_date", "count"])
     assert got == [("2022-05-30", 1), ("2022-05-31", 60)]
