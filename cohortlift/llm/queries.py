@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlift.llm import (
-    decontamination, exact_dedup, line_dedup, main_text, packing, quality, simhash, toxicity, warc,
-    wavelet)
+    decontamination, exact_dedup, filter_audit, line_dedup, main_text, packing, quality, simhash, toxicity,
+    url_filters, vector_codes, warc, wavelet)
 from cohortlift.llm.shared import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,8 +77,29 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("full_hash", "text_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    flags = filter_audit.document_flags(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit(flags, "ABCDE", losses=("good", "toxic"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.coded(table(spark, folder, "embeddings"))
+
+
+# host, beginning of the path, verdict
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judged(table(spark, folder, "pages"), rules)
+
+
 ALL = [op1_simhash, op2_warc, op3_packing, op4_line_dedup, op5_main_text, op6_quality,
-       op7_decontamination, op8_token_shards, op9_toxicity, op10_exact_dedup]
+       op7_decontamination, op8_token_shards, op9_toxicity, op10_exact_dedup, op11_filter_audit,
+       op12_vector_codes, op13_url_filters]
 
 
 def shipped(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,7 +117,107 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _PUNCTUATION = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~ \t\n\v\f\r]+"""
 
+
+def _vector_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry, round by round."""
+    steps = ["""
+        kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""
+        cut AS (
+            SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+            FROM kept, range({parts}) AS r(p))""", f"""
+        c0 AS (
+            SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+            FROM cut WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := d, e := e)) AS best FROM (
+                SELECT vec_id, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                FROM cut JOIN c{k} USING (p))
+            GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""
+        m{k} AS (
+            SELECT p, e, list(m ORDER BY i) AS c FROM (
+                SELECT p, best.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m
+                FROM a{k}, range(1, (SELECT max(len(x)) FROM cut) + 1) AS r(i) GROUP BY p, best.e, i) GROUP BY p, e),
+        c{k + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))""")
+    return f"""
+        WITH {",".join(steps)},
+        book AS (
+            SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+        r AS (
+            SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code,
+                   CAST(sum(best.d) AS BIGINT) AS error
+            FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM r JOIN kept USING (vec_id), book
+    """
+
+
 ORACLE = {
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+        l AS (
+            SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, CAST(len(words) < 200 AS INTEGER)
+                   + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS mask, good, toxic
+            FROM w LEFT JOIN l USING (doc_id)),
+        cells AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f GROUP BY part, mask),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(l, bit)),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        steps AS (
+            SELECT filter_order, CAST(s AS INTEGER) AS step, bits[s] AS own,
+                   CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INTEGER) AS before
+            FROM orders, range(1, 6) AS r(s)),
+        counted AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept,
+                   coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0) AS removed,
+                   coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0) AS redundant,
+                   coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & before = 0 AND mask & own > 0), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0) AS toxic_lost
+            FROM cells, steps GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM counted
+    """,
+    "op12_vector_codes": _vector_sql(),
+    "op13_url_filters": """
+        WITH rules AS (
+            SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+                ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+            ) AS t(rule_host, rule_path, verdict)),
+        p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        u AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM p),
+        h AS (
+            SELECT page_id, path, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+        m AS (
+            SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
+            FROM h LEFT JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,

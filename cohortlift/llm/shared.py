@@ -39,30 +39,38 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder made here. Results that read it end with it."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: its folder goes with the cluster's own clean-up
+        pass
+
+
 def release() -> None:
     """Delete every folder made so far. Results that read them end with it."""
     while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: its folder goes with the cluster's own clean-up
-            pass
+        delete(*_made.pop())
 
 
 atexit.register(release)
 
 
+def stored_at(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``stored``, and the folder, for tables that ``delete`` is to end early."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return the table that reads it.
 
     Cuts the lineage: what follows survives the loss of any executor, and
     rows that are read several times are computed once.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df, codec)[0]
 
 
 def ship(spark: SparkSession) -> None:
