@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlift.operators.numbering import number_rows
 from cohortlift.operators.sequences import first_per
@@ -37,13 +38,66 @@ def write_scores(scores: DataFrame, path: str, *, replace_dates: bool = False) -
         writer.mode("append").parquet(path)
 
 
-def append_to_table(scores: DataFrame, table: str) -> None:
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _unlike(field: T.StructField, stored: T.StructField) -> bool:
+    return field.dataType.simpleString() != stored.dataType.simpleString()
+
+
+def _fitted(scores: DataFrame, table: str) -> DataFrame:
+    """``scores`` in the columns of ``table``, which gains those it lacks."""
+    spark = scores.sparkSession
+    stored = {f.name.lower(): f for f in spark.table(table).schema}
+    unlike = [f"{f.name}: {f.dataType.simpleString()}, stored {stored[f.name.lower()].dataType.simpleString()}"
+              for f in scores.schema if f.name.lower() in stored and _unlike(f, stored[f.name.lower()])]
+    if unlike:
+        raise ValueError(f"types differ from those of {table}: {'; '.join(unlike)}")
+    new = [f for f in scores.schema if f.name.lower() not in stored]
+    if new:
+        listed = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
+    given = {c.lower() for c in scores.columns}
+    # As stored: new columns come last but one, before the one the table is partitioned by.
+    return scores.select(*[
+        F.col(_quoted(f.name)) if f.name.lower() in given else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in spark.table(table).schema])
+
+
+def append_to_table(scores: DataFrame, table: str, *, replace_dates: bool = False) -> None:
     """Append scores to a table of the catalog, made by the first call; ``load(name=table)`` reads it.
 
-    Columns are matched by name and are those of the first call.
+    Columns are matched by name. New ones are added to the table, where rows
+    written before read null; ones that ``scores`` lacks are null in its rows.
+    A column that changes its type is refused before anything is written. With
+    ``replace_dates`` the dates in ``scores`` are overwritten and no others.
     """
-    scores.hint("rebalance", "signup_date").write.partitionBy("signup_date").format(
-        "parquet").mode("append").saveAsTable(table)
+    spark = scores.sparkSession
+    if not spark.catalog.tableExists(table):
+        scores.hint("rebalance", "signup_date").write.partitionBy("signup_date").format(
+            "parquet").saveAsTable(table)
+        return
+    fitted = _fitted(scores, table).hint("rebalance", "signup_date")
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")      # insertInto has no option for it
+    try:
+        fitted.write.insertInto(table, overwrite=replace_dates)
+    finally:
+        spark.conf.set(key, before)
+
+
+def backfill_table(dates: Iterable[dt.date], job: Callable[[dt.date], DataFrame], table: str) -> None:
+    """``backfill`` into a table of the catalog.
+
+    A date for which ``job`` gives no rows has none afterwards.
+    """
+    for date in dates:
+        scores = job(date)
+        append_to_table(scores, table, replace_dates=True)
+        if scores.isEmpty():
+            scores.sparkSession.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (signup_date = '{date}')")
 
 
 def backfill(dates: Iterable[dt.date], job: Callable[[dt.date], DataFrame], path: str) -> None:
@@ -92,7 +146,7 @@ def payload_batches(scores: DataFrame, signup_date: str | None = None,
     """
     numbered, users = number_rows(latest_scores(scores, signup_date), "hs_user_id")
     batches = max(1, math.ceil(users / size))
-    # The field names that the receiver reads.
+    # The field names that the receiver reads, and the two columns of a batch.
     payload = F.struct(
         F.col("hs_user_id").cast("string").alias("external_id"),
         F.col("uplift_score_bin").cast("int").alias("uplift_score_bin"),
@@ -114,6 +168,7 @@ def deliver(batches: DataFrame, send: Callable[[list[dict]], None]) -> None:
 
     A lost task is run again and sends its batches again; ``send`` must accept
     repeats. Deliver from written batches, so that a retry sees the same ones.
+    ``delivery.deliver`` keeps a ledger and sends none of them again.
     """
 
     def each(rows):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from cohortlift.functions.dates import HORIZON_DAYS, Windows, windows_for
-from cohortlift.plans import evaluation, export, uplift
+from cohortlift.plans import delivery, evaluation, export, uplift
 from cohortlift.plans.frames import (
     feature_part, scoring_frame, split_by_arm, split_by_date, training_frame)
 from cohortlift.plans.labels import ENTRY_WINDOW_DAYS
@@ -89,11 +89,19 @@ def evaluate(inputs: Inputs, windows: Windows, settings=uplift.STAGING, *, bins:
     }
 
 
-def hand_out(scores: DataFrame, signup_date: dt.date, path: str, send=None) -> None:
-    """Write a date's batches, and deliver them from there if ``send`` is given."""
+def hand_out(scores: DataFrame, signup_date: dt.date, path: str, send=None,
+             ledger: str | None = None) -> DataFrame | None:
+    """Write a date's batches, and deliver them from there if ``send`` is given.
+
+    With a ``ledger``, ``send`` takes a batch's key as well; only batches that
+    the ledger lacks are sent, and the ledger is returned.
+    """
     export.export_batches(export.payload_batches(scores, str(signup_date)), path)
-    if send is not None:
-        spark = scores.sparkSession
-        schema = "batch_request_num bigint, batch_request_payload array<struct<" \
-                 "external_id: string, uplift_score_bin: int, uplift_score: double>>"
-        export.deliver(spark.read.schema(schema).json(path), send)
+    if send is None:
+        return None
+    schema = "batch_request_num bigint, batch_request_payload array<struct<" \
+             "external_id: string, uplift_score_bin: int, uplift_score: double>>"
+    batches = scores.sparkSession.read.schema(schema).json(path)
+    if ledger is None:
+        return export.deliver(batches, send)
+    return delivery.deliver(batches, send, ledger, str(signup_date))

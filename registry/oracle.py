@@ -726,6 +726,22 @@ SELECT batch_request_num, count(*)::INTEGER AS users,
        string_agg(hs_user_id::VARCHAR, ',' ORDER BY hs_user_id::VARCHAR) AS ids,
        sum(uplift_score_bin)::INTEGER AS bin_sum
 FROM dealt GROUP BY 1"""),
+        "delivered_batches": _with_tail((PSEUDO, SCORES), """
+newest AS (SELECT DISTINCT hs_user_id FROM score_table),
+dealt AS (SELECT row_number() OVER (ORDER BY hs_user_id)
+                    % ceil((SELECT count(*) FROM newest) / 50.0)::BIGINT AS batch_request_num
+          FROM newest)
+SELECT batch_request_num, count(*)::INTEGER AS users FROM dealt GROUP BY 1"""),
+        "score_generations": _with_tail((PSEUDO, SCORES), """
+third AS (SELECT *, hs_user_id % 3 AS t, year(signup_date::DATE) = 1997 AS again FROM score_table),
+again AS (SELECT DISTINCT signup_date FROM third WHERE again AND t = 0),
+kept AS (
+  SELECT signup_date, t, false AS whole FROM third WHERE signup_date NOT IN (SELECT signup_date FROM again)
+  UNION ALL SELECT signup_date, t, true FROM third WHERE again AND t = 0)
+SELECT year(signup_date::DATE)::INTEGER AS year, count(*) AS rows,
+       count(*) FILTER (whole OR t >= 1) AS dated, count(*) FILTER (whole OR t = 2) AS binned,
+       count(DISTINCT signup_date) AS dates
+FROM kept GROUP BY 1"""),
         "classification_report": _with_tail((SUBS, PSEUDO, LABELLED_SCORES), """
 called AS (SELECT label, (score > 0.5)::INTEGER AS said FROM labelled),
 per_class AS (

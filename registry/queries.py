@@ -8,8 +8,9 @@ apart, so windows and horizons are wider here than the library's defaults
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlift.operators import binning, campaigns, features, oversampling
@@ -18,7 +19,7 @@ from cohortlift.operators.numbering import number_rows, use_checkpoint_folder
 from cohortlift.operators.sequences import BY_DATE, with_ordinal
 from cohortlift.operators.skew import heavy_keys
 from cohortlift.plans import (
-    engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
+    delivery, engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
     uplift, winback)
 from cohortlift.sources import tables
 from cohortlift.sources.fixtures import Fixtures
@@ -55,6 +56,12 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where checkpoints go."""
+    use_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 # ---- sources ---------------------------------------------------------------
 
 def user_cohort(data):
@@ -467,6 +474,31 @@ def payload_batches(data):
         F.aggregate(users, F.lit(0), lambda total, u: total + u["uplift_score_bin"]).alias("bin_sum"))
 
 
+def score_generations(data):
+    """Scores appended in three parts, each with more columns, read by name; then one year replaced."""
+    path = _folder(data.spark, "scores")
+    table, third = _score_table(data), F.pmod("hs_user_id", F.lit(3))
+    late = ["run_date", "uplift_score_bin"]
+    for turn in range(3):
+        export.write_scores(table.filter(third == turn).drop(*late[turn:]), path)
+    again = F.year("signup_date") == 1997
+    export.write_scores(table.filter(again & (third == 0)), path, replace_dates=True)
+    stored = data.spark.read.option("mergeSchema", "true").parquet(path)
+    return stored.groupBy(F.year("signup_date").alias("year")).agg(
+        F.count("*").alias("rows"), F.count("run_date").alias("dated"),
+        F.count("uplift_score_bin").alias("binned"), F.countDistinct("signup_date").alias("dates"))
+
+
+def delivered_batches(data):
+    """The ledger after two deliveries of the same batches, of which the second sends nothing."""
+    batches = _stored(export.payload_batches(_score_table(data)))
+    ledger = _folder(data.spark, "ledger")
+    for _ in range(2):
+        delivery.deliver(batches, lambda key, users: None, ledger, "first")
+    keys = delivery.with_keys(batches, "first").select("batch_key", "batch_request_num")
+    return delivery.acknowledged(data.spark, ledger).join(keys, "batch_key").select("batch_request_num", "users")
+
+
 # ---- model and evaluation --------------------------------------------------
 
 def _labelled_scores(data):
@@ -548,7 +580,8 @@ ALL = [
     histogram_return_window, histogram_density_monthly, histogram_return_window_monthly,
     histogram_email_return_delay, tenure_return_pairs_monthly, histogram_shared_edges, score_histogram, kernel_density, box_summary,
     email_delay_mean, tenure_return_pairs, email_delay_steps, scores, tracking_by_bin,
-    high_uplift_signups, latest_score, row_numbers, payload_batches, classification_report,
+    high_uplift_signups, latest_score, row_numbers, payload_batches, score_generations,
+    delivered_batches, classification_report,
     threshold_curve, curve_areas, calibration_table, feature_neighbours, oversampled_training,
     uplift_scores,
 ]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cohortlift.plans import evaluation, export, tracking, uplift
+from cohortlift.plans import delivery, evaluation, export, jobs, tracking, uplift
 from cohortlift.sources import tables
 from conftest import day, rows
 
@@ -65,6 +65,80 @@ def test_export_and_delivery(scores, tmp_path):
     assert sum(int(f.read_text()) for f in tmp_path.glob("sent-*")) == 120
 
 
+def sent_to(folder, fail_after=None):
+    """A receiver that files every call, and after some calls in a task answers no more."""
+    calls = []
+
+    def send(key, users):
+        if fail_after is not None and len(calls) >= fail_after:
+            raise ConnectionError("no answer")
+        calls.append(key)
+        with open(f"{folder}/{key}", "a") as out:
+            out.write(f"{len(users)} ")
+
+    return send
+
+
+@pytest.fixture
+def many_batches(spark, tmp_path):
+    people = spark.range(1000).select(F.struct(
+        F.col("id").cast("string").alias("external_id"), F.lit(3).alias("uplift_score_bin"),
+        F.lit(.5).alias("uplift_score")).alias("user"), (F.col("id") % 24).alias("batch_request_num"))
+    (tmp_path / "sent").mkdir()
+    return people.groupBy("batch_request_num").agg(F.collect_list("user").alias("batch_request_payload"))
+
+
+def test_no_batch_is_acknowledged_twice(spark, many_batches, tmp_path):
+    sent, ledger = tmp_path / "sent", str(tmp_path / "ledger")
+    with pytest.raises(Exception, match="no answer"):
+        delivery.deliver(many_batches.repartition(2), sent_to(sent, 5), ledger)
+    first = {f.name for f in sent.iterdir()}
+    assert 5 <= len(first) < 24 and delivery.acknowledged(spark, ledger).count() == 0
+    assert {f.name for f in (tmp_path / "ledger/notes").iterdir()} == first      # what the receiver has
+    done = delivery.deliver(many_batches.repartition(3), sent_to(sent), ledger)
+    for _ in range(2):      # nothing is left to send
+        again = delivery.deliver(many_batches, sent_to(sent), ledger)
+    calls = {f.name: f.read_text().split() for f in sent.iterdir()}
+    assert len(calls) == 24 and all(len(c) == 1 for c in calls.values())
+    assert sum(int(c[0]) for c in calls.values()) == 1000
+    ledger_rows = again.collect()
+    assert {r["batch_key"]: [str(r["users"])] for r in ledger_rows} == calls and done.count() == 24
+    assert not list((tmp_path / "ledger/notes").iterdir())
+    delivery.deliver(many_batches, sent_to(sent), ledger, label="next week")
+    assert len(list(sent.iterdir())) == 48
+
+
+def test_a_task_that_runs_again_skips_what_is_noted(spark, many_batches, tmp_path):
+    sent, ledger = tmp_path / "sent", str(tmp_path / "ledger")
+    delivery._Folder(ledger).make()
+    rows_ = delivery.with_keys(many_batches).collect()
+    writer = delivery._Writer(ledger, sent_to(sent, 10))
+    with pytest.raises(ConnectionError):
+        writer.write(iter(rows_))
+    messages = [delivery._Writer(ledger, sent_to(sent)).write(iter(rows_)), None, writer.write(iter([]))]
+    writer.commit(messages)
+    assert all(f.read_text().count(" ") == 1 for f in sent.iterdir()) and len(list(sent.iterdir())) == 24
+    assert delivery.acknowledged(spark, ledger).count() == 24
+
+
+def test_hand_out_with_a_ledger(spark, scores, tmp_path):
+    (tmp_path / "sent").mkdir()
+    for _ in range(2):
+        done = jobs.hand_out(scores, day("2022-05-31"), str(tmp_path / "out"), sent_to(tmp_path / "sent"),
+                             str(tmp_path / "ledger"))
+    assert done.count() == 3 and all(f.read_text().count(" ") == 1 for f in (tmp_path / "sent").iterdir())
+
+
+def test_delivery_of_nothing_and_of_changed_batches(spark, many_batches, tmp_path):
+    sent, ledger = tmp_path / "sent", str(tmp_path / "ledger")
+    assert delivery.deliver(many_batches.filter("false"), sent_to(sent), ledger).count() == 0
+    delivery.deliver(many_batches, sent_to(sent), ledger)
+    changed = many_batches.withColumn("batch_request_payload", F.when(
+        F.col("batch_request_num") == 7, F.slice("batch_request_payload", 1, 3)).otherwise(
+        F.reverse("batch_request_payload")))      # another order of the same users is the same batch
+    assert delivery.deliver(changed, sent_to(sent), ledger).count() == 25
+
+
 def test_append_widens_and_reruns_replace(spark, scores, tmp_path):
     path = str(tmp_path / "scores")
     export.write_scores(scores.drop("run_date"), path)
@@ -96,15 +170,64 @@ def test_backfill_of_a_date_without_users_empties_it(spark, scores, tmp_path):
     assert left.filter("signup_date = '2022-05-30'").isEmpty() and left.count() == others
 
 
-def test_scores_go_to_a_table_of_the_catalog(spark, scores, tmp_path):
+@pytest.fixture
+def database(spark, tmp_path):
     spark.sql(f"CREATE DATABASE kept LOCATION '{tmp_path / 'kept'}'")
-    try:
-        for _ in range(2):
-            export.append_to_table(scores, "kept.user_scores")
-        stored = tables.load(spark, "scores", name="kept.user_scores")
-        assert stored.count() == 2 * scores.count() and set(stored.columns) == set(scores.columns)
-    finally:
-        spark.sql("DROP DATABASE kept CASCADE")
+    yield "kept"
+    spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_scores_go_to_a_table_of_the_catalog(spark, scores, database):
+    for _ in range(2):
+        export.append_to_table(scores, "kept.user_scores")
+    stored = tables.load(spark, "scores", name="kept.user_scores")
+    assert stored.count() == 2 * scores.count() and set(stored.columns) == set(scores.columns)
+
+
+def test_a_table_gains_columns(spark, scores, database):
+    first = scores.drop("run_date", "propensity_TN").filter("hs_user_id <= 10")
+    second = scores.drop("propensity_TN").filter("hs_user_id between 11 and 20")
+    third = scores.filter("hs_user_id between 21 and 30").withColumns(
+        {"model.name": F.lit("b"), "parts": F.array(F.lit(1.5))})
+    for part in (first, second, third, first.select(*reversed(first.columns))):
+        export.append_to_table(part, "kept.user_scores")
+    stored = tables.load(spark, "scores", name="kept.user_scores")
+    assert stored.columns[-1] == "signup_date" and set(stored.columns) == set(third.columns)
+    got = {r["g"]: tuple(r)[1:] for r in stored.groupBy(F.expr("(hs_user_id - 1) div 10").alias("g")).agg(
+        F.count("*"), F.count("run_date"), F.count("propensity_TN"), F.count("`model.name`"),
+        F.sum(F.col("parts")[0])).collect()}
+    # Users 7 and 8 have two rows.
+    assert got == {0: (24, 0, 0, 0, None), 1: (10, 10, 0, 0, None), 2: (10, 10, 10, 10, 15.0)}
+    kept = scores.filter("hs_user_id between 11 and 20")
+    assert rows(stored.filter("hs_user_id between 11 and 20").select(*first.columns)) == rows(kept.select(*first.columns))
+
+
+def test_a_changed_type_is_refused(spark, scores, database):
+    export.append_to_table(scores, "kept.user_scores")
+    for changed in ("cast(uplift_score_bin as string)", "cast(uplift_score_bin as bigint)"):
+        with pytest.raises(ValueError, match="uplift_score_bin"):
+            export.append_to_table(scores.withColumns(
+                {"uplift_score_bin": F.expr(changed), "more": F.lit(1)}), "kept.user_scores")
+    stored = spark.table("kept.user_scores")
+    assert stored.count() == scores.count() and "more" not in stored.columns
+
+
+def test_dates_of_a_table_are_replaced(spark, scores, database):
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    export.append_to_table(scores, "kept.user_scores")
+    some = scores.filter("signup_date = '2022-05-30'").withColumn("more", F.lit(1))
+    for _ in range(2):
+        export.append_to_table(some, "kept.user_scores", replace_dates=True)
+    stored = spark.table("kept.user_scores")
+    assert stored.count() == scores.count() and stored.agg(F.sum("more")).first()[0] == 1
+    job = lambda date: scores.filter("hs_user_id < 11 and uplift_score_bin > 1").filter(
+        F.lit(date.day) != 30).withColumn("signup_date", F.lit(str(date)))     # noqa: E731
+    for _ in range(2):
+        export.backfill_table([day("2022-05-30"), day("2022-06-01"), day("2022-05-30")], job, "kept.user_scores")
+    counts = {r[0]: r[1] for r in spark.table("kept.user_scores").groupBy("signup_date").count().collect()}
+    expected = scores.filter("hs_user_id < 11 and uplift_score_bin > 1").count()
+    assert counts == {"2022-05-31": scores.count() - 1, "2022-06-01": expected}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
 
 
 def test_high_uplift_signups(scores):
