@@ -8,17 +8,17 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     PCA, OneHotEncoder, PolynomialExpansion, StandardScaler, StringIndexer,
     VarianceThresholdSelector, VectorAssembler)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from cohortlift.functions.expressions import uplift
 from cohortlift.operators.binning import quantile_bins
 from cohortlift.operators.features import CATEGORIES, feature_columns
+from cohortlift.operators.forests import Trees, flat_trees, scored_by_all, scored_by_own
 from cohortlift.operators.numbering import (
     number_rows, partition_count, use_checkpoint_folder)
 from cohortlift.operators.oversampling import oversample
+from cohortlift.plans.calibration import fit_sigmoids
 from cohortlift.plans.export import SCORE_COLUMNS
 from cohortlift.plans.frames import KEYS, split_by_arm
 
@@ -103,43 +105,43 @@ def _raw_score(model: RandomForestClassificationModel, df: DataFrame, name: str)
         name, vector_to_array("_probability")[1]).drop("_probability")
 
 
-def fit_sigmoid(scored: DataFrame, label: str, positives: int, negatives: int) -> tuple[float, float]:
-    """Slope and intercept of the sigmoid from raw score to probability.
-
-    Targets are pulled in from 0 and 1 by the class sizes. A soft target is
-    two rows, one per class, that share its weight.
-    """
-    target = F.when(F.col(label) == 1, (positives + 1.0) / (positives + 2.0)).otherwise(
-        1.0 / (negatives + 2.0))
-    halves = F.explode(F.array(
-        F.struct(F.lit(1.0).alias("side"), target.alias("weight")),
-        F.struct(F.lit(0.0).alias("side"), (1 - target).alias("weight"))))
-    rows = scored.select(array_to_vector(F.array("_raw")).alias("_point"), halves.alias("h")).select(
-        "_point", "h.side", "h.weight")
-    fitted = LogisticRegression(
-        featuresCol="_point", labelCol="side", weightCol="weight", maxIter=100,
-        tol=1e-9, regParam=0.0).fit(rows)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
-
-
 @dataclass
 class PropensityModel:
-    """Feature preparation and one (forest, slope, intercept) per fold."""
+    """Feature preparation and one (forest, slope, intercept) per fold.
+
+    ``trees`` holds the forests as arrays, unless they are too large to be sent
+    to every task.
+    """
     preparation: PipelineModel
     members: list[tuple[RandomForestClassificationModel, float, float]]
+    trees: Trees | None = None
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """Add the mean of the calibrated fold probabilities."""
         keep = df.columns
         scored = self.preparation.transform(df).select(*keep, FEATURES)
-        calibrated = []
-        for index, (model, slope, intercept) in enumerate(self.members):
-            scored = _raw_score(model, scored, f"_raw{index}")
-            calibrated.append(1 / (1 + F.exp(-(F.col(f"_raw{index}") * slope + intercept))))
+        if self.trees is not None:
+            scored = scored_by_all(scored, vector_to_array(FEATURES), self.trees, "_raws")
+            raws = [F.col("_raws")[index] for index in range(len(self.members))]
+        else:
+            for index, (model, _, _) in enumerate(self.members):
+                scored = _raw_score(model, scored, f"_raw{index}")
+            raws = [F.col(f"_raw{index}") for index in range(len(self.members))]
+        calibrated = [1 / (1 + F.exp(-(raw * slope + intercept)))
+                      for raw, (_, slope, intercept) in zip(raws, self.members)]
         mean = sum(calibrated[1:], calibrated[0]) / len(calibrated)
         return scored.select(*keep, mean.alias(name))
 
 
+def _held_out_scores(dealt: DataFrame, label: str, models: list, trees: Trees | None) -> DataFrame:
+    """Each row's raw score by the forest that has not seen it: _fold, label, _raw."""
+    if trees is not None:
+        return scored_by_own(dealt, vector_to_array(FEATURES), "_fold", trees, "_raw").select("_fold", label, "_raw")
+    parts = [_raw_score(model, dealt.filter(F.col("_fold") == fold), "_raw").select("_fold", label, "_raw")
+             for fold, model in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _in_folds(ready: DataFrame, label: str, folds: int, tasks: int, ids: list[str]) -> DataFrame:
     """Deal rows to folds so that each gets its share of both classes.
 
@@ -157,7 +159,10 @@ def _in_folds(ready: DataFrame, label: str, folds: int, tasks: int, ids: list[st
 
 
 def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PRODUCTION) -> PropensityModel:
-    """Fit per fold: a forest on the other folds, a sigmoid on this one."""
+    """Fit per fold: a forest on the other folds, a sigmoid on this one.
+
+    The sigmoids of all folds are fitted together, a pass per step.
+    """
     use_checkpoint_folder(train.sparkSession)
     columns = feature_columns(train.columns)
     ids = KEYS
@@ -186,15 +191,15 @@ def fit_propensity(train: DataFrame, label: str, settings: ForestSettings = PROD
 
     @inheritable_thread_target(train.sparkSession)
     def fit(fold: int):
-        model = forest(settings, label).fit(dealt.filter(F.col("_fold") != fold))
-        held_out = _raw_score(model, dealt.filter(F.col("_fold") == fold), "_raw")
-        slope, intercept = fit_sigmoid(
-            held_out, label, sizes.get((fold, 1), 0), sizes.get((fold, 0), 0))
-        return model, slope, intercept
+        return forest(settings, label).fit(dealt.filter(F.col("_fold") != fold))
 
     with ThreadPool(min(settings.parallel_folds, settings.folds)) as pool:
-        members = pool.map(fit, range(settings.folds))
-    return PropensityModel(prepared, members)
+        models = pool.map(fit, range(settings.folds))
+    trees = flat_trees(train.sparkSession, models)
+    held_out = _held_out_scores(dealt, label, models, trees).checkpoint()
+    sigmoids = fit_sigmoids(held_out, label, "_raw", ["_fold"])
+    members = [(model, sigmoids[fold,].slope, sigmoids[fold,].intercept) for fold, model in enumerate(models)]
+    return PropensityModel(prepared, members, trees)
 
 
 def fit_both_arms(labelled: DataFrame, settings: ForestSettings = PRODUCTION):

@@ -403,6 +403,63 @@ def _with_tail(chain: tuple[str, ...], tail: str) -> str:
     return "WITH " + ",".join(chain) + "," + tail
 
 
+PAID = """
+paid AS (
+  SELECT hs_user_id, dt AS signup_date,
+         CASE WHEN subscription_id // 2 % 2 = 0 THEN 'T' ELSE 'C' END
+           || CASE WHEN paid_subscription_start_date IS NOT NULL THEN 'R' ELSE 'N' END AS experiment_group,
+         CASE plan_renewal_term_months WHEN 1 THEN 'monthly' WHEN 12 THEN 'annual' ELSE 'other' END
+           AS plan_renewal_term_months_c,
+         subscription_platform, CASE WHEN renewal_count = 0 THEN 'new' ELSE 'returning' END AS renewal_c,
+         free_trial_days, renewal_count, subscription_id * 53 % 97 AS week1_events
+  FROM subs
+)"""
+
+# Sample deviation 1 gives n - 1 as the sum of squares; components keep the total variance.
+_PREPARED = """
+slots AS (
+  SELECT 'plan_renewal_term_months_c=' || plan_renewal_term_months_c AS name FROM paid
+  UNION ALL SELECT 'subscription_platform=' || subscription_platform FROM paid
+  UNION ALL SELECT 'renewal_c=' || renewal_c FROM paid),
+counted AS (SELECT name, count(*)::DOUBLE AS value FROM slots GROUP BY name),
+wide AS (SELECT count(*) + 3 AS d FROM counted)
+SELECT 'slots' AS part, name, value FROM counted
+UNION ALL SELECT 'scaled', name, (SELECT count(*) - 1 FROM paid)::DOUBLE
+FROM (VALUES ('free_trial_days'), ('renewal_count'), ('week1_events')) AS numbers(name)
+UNION ALL SELECT 'components', 'trace', 3.0
+UNION ALL SELECT 'components', 'largest covariance', 0.0
+UNION ALL SELECT 'products', 'width', (d * (d + 3) / 2)::DOUBLE FROM wide
+UNION ALL SELECT 'products', 'rows that add up', count(*)::DOUBLE FROM paid"""
+
+
+def _sigmoids(steps: int = 12) -> str:
+    """Newton's steps from the class sizes, one relation per step."""
+    parts = ["""
+pairs AS (
+  SELECT arm, fold, x, CASE WHEN label = 1 THEN (p + 1) / (p + 2) ELSE 1 / (n + 2) END AS t, p, n
+  FROM (
+    SELECT *, sum(label) OVER (PARTITION BY arm, fold)::DOUBLE AS p,
+           sum(1 - label) OVER (PARTITION BY arm, fold)::DOUBLE AS n
+    FROM (
+      SELECT a.arm, (subscription_id % 4)::INTEGER AS fold, CASE a.arm WHEN 'TR' THEN tr ELSE cr END AS x,
+             (paid_subscription_start_date IS NOT NULL)::INTEGER AS label
+      FROM pseudo JOIN subs USING (subscription_id), (VALUES ('TR'), ('CR')) AS a(arm))))""", """
+s0 AS (SELECT arm, fold, 0.0::DOUBLE AS a, ln((max(p) + 1) / (max(n) + 1)) AS b FROM pairs GROUP BY arm, fold)"""]
+    for k in range(steps):
+        parts.append(f"""
+q{k} AS (SELECT arm, fold, x, t, a, b, 1 / (1 + exp(-(a * x + b))) AS f FROM pairs JOIN s{k} USING (arm, fold)),
+g{k} AS (
+  SELECT arm, fold, a, b, sum((f - t) * x) AS g1, sum(f - t) AS g0, sum(f * (1 - f) * x * x) AS h11,
+         sum(f * (1 - f) * x) AS h10, sum(f * (1 - f)) AS h00 FROM q{k} GROUP BY arm, fold, a, b),
+s{k + 1} AS MATERIALIZED (
+  SELECT arm, fold, a - (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS a,
+         b - (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS b FROM g{k}),""".rstrip(","))
+    return ",".join(parts) + f"""
+SELECT arm, fold, round(a, 6) AS slope, round(b, 6) AS intercept, positives, negatives
+FROM s{steps} JOIN (SELECT arm, fold, max(p)::BIGINT AS positives, max(n)::BIGINT AS negatives
+                    FROM pairs GROUP BY arm, fold) USING (arm, fold)"""
+
+
 def oracle_sql() -> dict[str, str]:
     year_bins = _qcut("days_since_cancel", "treated_year", 8)
     sql = {
@@ -758,6 +815,45 @@ UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM total
 UNION ALL SELECT 'macro avg', sum(p) / 2, sum(r) / 2, sum(f) / 2, sum(support)::BIGINT FROM scored
 UNION ALL SELECT 'weighted avg', sum(p * w), sum(r * w), sum(f * w), sum(support)::BIGINT
 FROM (SELECT *, support / sum(support) OVER ()::DOUBLE AS w FROM scored)"""),
+        "sigmoid_calibration": _with_tail((SUBS, PSEUDO), _sigmoids()),
+        "prepared_features": _with_tail((SUBS, PAID), _PREPARED),
+        "fold_sizes": _with_tail((SUBS, PAID), """
+arms AS (
+  SELECT 'TR' AS arm, (experiment_group = 'TR')::INTEGER AS responded FROM paid WHERE experiment_group LIKE 'T%'
+  UNION ALL
+  SELECT 'CR', (experiment_group = 'CR')::INTEGER FROM paid WHERE experiment_group LIKE 'C%'),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY arm ORDER BY responded) % 8)::INTEGER AS fold FROM arms)
+SELECT arm, fold, responded, count(*) AS count FROM dealt GROUP BY ALL"""),
+        "oversampled_counts": _with_tail((SUBS, PAID), """
+treated AS (SELECT *, (experiment_group = 'TR')::INTEGER AS "experiment_group_TR" FROM paid WHERE experiment_group LIKE 'T%')
+SELECT "experiment_group_TR",
+       (SELECT max(n) FROM (SELECT count(*) AS n FROM treated GROUP BY "experiment_group_TR")) AS rows,
+       count(DISTINCT plan_renewal_term_months_c) AS values_of_plan_renewal_term_months_c,
+       count(DISTINCT subscription_platform) AS values_of_subscription_platform,
+       count(DISTINCT renewal_c) AS values_of_renewal_c,
+       min(free_trial_days)::BIGINT AS low_free_trial_days, max(free_trial_days)::BIGINT AS high_free_trial_days,
+       min(renewal_count)::BIGINT AS low_renewal_count, max(renewal_count)::BIGINT AS high_renewal_count,
+       min(week1_events)::BIGINT AS low_week1_events, max(week1_events)::BIGINT AS high_week1_events
+FROM treated GROUP BY 1"""),
+        "uplift_identities": _with_tail((SUBS, PAID), """
+by_year AS (SELECT strftime(signup_date, '%Y') AS year, count(*) AS users FROM paid GROUP BY 1)
+SELECT year, users, users AS propensities, users AS opposite_tr, users AS opposite_cr, users AS uplifts,
+       users AS binned, DATE '2022-06-01' AS run_date FROM by_year"""),
+        "date_split": _plain("""
+SELECT part, CASE WHEN experiment_group LIKE 'T%' THEN 'treatment' ELSE 'control' END AS arm, experiment_group,
+       count(*) AS users, min(signup_date) AS first, max(signup_date) AS last
+FROM cohort JOIN labels USING (hs_user_id, signup_date), (VALUES ('train'), ('test'), ('final')) AS parts(part)
+WHERE free_trial_days IN (7, 14) AND CASE part
+  WHEN 'train' THEN signup_date <= DATE '2000-06-30' - (365 + 28 + 1)
+  WHEN 'test' THEN signup_date > DATE '2000-06-30' - (365 + 28 + 1)
+  ELSE signup_date <= DATE '2000-06-30' - (365 + 1) END
+GROUP BY ALL""", *LABEL_CHAIN, COHORT),
+        "weeks_2_to_4": _with_tail((EVENTS,), """
+dated AS (SELECT external_user_id AS hs_user_id, date_trunc('month', dt)::DATE AS signup_date, day(dt) AS d FROM ev)
+SELECT hs_user_id, signup_date, count(*) FILTER (d <= 7) AS week1_events,
+       count(*) FILTER (d BETWEEN 8 AND 14) AS week2_events, count(*) FILTER (d BETWEEN 15 AND 21) AS week3_events,
+       count(*) FILTER (d BETWEEN 22 AND 28) AS week4_events, count(*) FILTER (d BETWEEN 8 AND 28) AS week_2to4_events
+FROM dated WHERE d <= 28 GROUP BY 1, 2"""),
         "threshold_curve": _with_tail((SUBS, PSEUDO, LABELLED_SCORES), """
 whole AS (SELECT sum(label) AS p, count(*) - sum(label) AS n FROM labelled),
 steps AS (SELECT t.score AS threshold, sum(l.label)::BIGINT AS tp,

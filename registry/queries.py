@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlift.functions.dates import windows_for
+from cohortlift.functions.expressions import plan_length, subscriber_kind
 from cohortlift.operators import binning, campaigns, features, oversampling
 from cohortlift.operators.intervals import join_running
 from cohortlift.operators.numbering import number_rows, use_checkpoint_folder
 from cohortlift.operators.sequences import BY_DATE, with_ordinal
 from cohortlift.operators.skew import heavy_keys
 from cohortlift.plans import (
-    delivery, engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
+    calibration, delivery, engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
     uplift, winback)
 from cohortlift.sources import tables
 from cohortlift.sources.fixtures import Fixtures
@@ -529,6 +533,135 @@ def calibration_table(data):
         "mean_score", "actual_rate")
 
 
+def sigmoid_calibration(data):
+    """Sigmoids of the outcome over both pseudo-scores, in four folds each."""
+    scored = _labelled_scores(data).select(
+        F.pmod("subscription_id", F.lit(4)).cast("int").alias("fold"), "label",
+        F.explode(F.create_map(F.lit("TR"), "propensity_TR", F.lit("CR"), "propensity_CR")).alias("arm", "score"))
+    fitted = calibration.sigmoid_table(_stored(scored), "label", "score", ["arm", "fold"])
+    return _rounded(fitted, "slope", "intercept")
+
+
+PAID_NUMBERS = ["free_trial_days", "renewal_count", "week1_events"]
+PAID_LABELS = ["experiment_group", "experiment_group_TR", "experiment_group_CR"]
+
+
+def _paid_frame(data):
+    """Every subscription as a labelled user: paid or not, in two arms.
+
+    Larger than the users of the drop-out experiment, so that models can be
+    fitted on every test folder.
+    """
+    key = F.col("subscription_id")
+    paid = F.col("paid_subscription_start_date").isNotNull()
+    treated = F.pmod(F.floor(key / 2), F.lit(2)) == 0
+    group = F.concat(F.when(treated, "T").otherwise("C"), F.when(paid, "R").otherwise("N"))
+    described = data.subscriptions.select(
+        "hs_user_id", F.col("dt").alias("signup_date"), "subscription_id", group.alias("experiment_group"),
+        plan_length("plan_renewal_term_months").alias("plan_renewal_term_months_c"), "subscription_platform",
+        subscriber_kind("renewal_count").alias("renewal_c"), "free_trial_days", "renewal_count",
+        F.pmod(key * 53, F.lit(97)).alias("week1_events"))
+    return described.withColumns({
+        f"experiment_group_{g}": (F.col("experiment_group") == g).cast("int") for g in ("TR", "CR")})
+
+
+def prepared_features(data):
+    """What the feature preparation must keep: slots, scales, variances and products."""
+    frame = _stored(_paid_frame(data))
+    fitted = uplift.preparation(features.feature_columns(frame.columns)).fit(frame)
+    ready = _stored(fitted.transform(frame).select(*[
+        vector_to_array(c).alias(c) for c in
+        (*[f"_{c}_slots" for c in features.CATEGORIES], "_scaled", "_components", "_joined", uplift.FEATURES)]))
+    labels_of = dict(zip(sorted(features.CATEGORIES), fitted.stages[0].labelsArray))
+    slots = {f"{c}={value}": F.sum(F.col(f"_{c}_slots")[k])
+             for c in features.CATEGORIES for k, value in enumerate(labels_of[c])}
+    scaled = {c: F.sum(F.col("_scaled")[k] * F.col("_scaled")[k]) for k, c in enumerate(sorted(PAID_NUMBERS))}
+    part = [F.col("_components")[k] for k in range(len(PAID_NUMBERS))]
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda t, x: t + f(x))
+    s, q = total("_joined", lambda x: x), total("_joined", lambda x: x * x)
+    products = F.abs(total(uplift.FEATURES, lambda x: x) - ((s * s + q) / 2 + s)) < 1e-6
+    measures = {
+        **{("slots", k): v for k, v in slots.items()}, **{("scaled", k): v for k, v in scaled.items()},
+        ("components", "trace"): sum(F.var_samp(c) for c in part),
+        ("components", "largest covariance"): F.greatest(*[
+            F.abs(F.covar_samp(a, b)) for k, a in enumerate(part) for b in part[:k]]),
+        ("products", "width"): F.max(F.size(uplift.FEATURES)),
+        ("products", "rows that add up"): F.count(F.when(products, 1)),
+    }
+    rows = ready.agg(F.array(*[
+        F.struct(F.lit(a).alias("part"), F.lit(b).alias("name"), v.cast("double").alias("value"))
+        for (a, b), v in measures.items()]).alias("rows"))
+    return _rounded(rows.select(F.inline("rows")), "value")
+
+
+def fold_sizes(data):
+    """Users per arm, fold and outcome."""
+    sizes = []
+    for arm, frame in zip(("TR", "CR"), frames.split_by_arm(_paid_frame(data))):
+        label = f"experiment_group_{arm}"
+        ready = frame.select(*frames.KEYS, F.lit(0).alias(uplift.FEATURES), F.col(label).cast("double"))
+        dealt = uplift._in_folds(ready, label, uplift.PRODUCTION.folds, uplift.PRODUCTION.fit_tasks, frames.KEYS)
+        sizes.append(dealt.groupBy(F.lit(arm).alias("arm"), F.col("_fold").alias("fold"),
+                                   F.col(label).cast("int").alias("responded")).count())
+    return sizes[0].unionByName(sizes[1])
+
+
+def oversampled_counts(data):
+    """Classes of the treatment arm after oversampling, and the ranges they stay in."""
+    treatment, _ = frames.split_by_arm(_paid_frame(data))
+    filled = oversampling.oversample(
+        treatment, "experiment_group_TR", PAID_NUMBERS, features.CATEGORIES)
+    return filled.groupBy("experiment_group_TR").agg(
+        F.count("*").alias("rows"), *[F.countDistinct(c).alias(f"values_of_{c}") for c in features.CATEGORIES],
+        *[f(c).cast("bigint").alias(f"{n}_{c}") for c in PAID_NUMBERS for n, f in (("low", F.min), ("high", F.max))])
+
+
+# Small forests: what is checked holds for every size.
+SMALL_FORESTS = uplift.ForestSettings(trees=6, folds=3, max_depth=5)
+
+
+def uplift_identities(data):
+    """How many scored users keep what must hold for every score."""
+    frame = _stored(_paid_frame(data).select(
+        *frames.KEYS, *PAID_LABELS, *features.CATEGORIES, *PAID_NUMBERS))
+    scored = uplift.score_users(frame, *uplift.fit_both_arms(frame, SMALL_FORESTS))
+    binned = uplift.bin_scores(scored, q=5, duplicates="drop")
+    tr, cr = F.col("propensity_TR"), F.col("propensity_CR")
+    near = lambda a, b: F.count(F.when(F.abs(a - b) < 1e-12, 1))
+    return uplift.score_table(binned, RUN_DATE).groupBy(F.substring("signup_date", 1, 4).alias("year")).agg(
+        F.count("*").alias("users"),
+        F.count(F.when(tr.between(0, 1) & cr.between(0, 1), 1)).alias("propensities"),
+        near(F.col("propensity_TN"), 1 - tr).alias("opposite_tr"),
+        near(F.col("propensity_CN"), 1 - cr).alias("opposite_cr"),
+        near(F.col("uplift_score"), 2 * (tr - cr)).alias("uplifts"),
+        F.count("uplift_score_bin").alias("binned"), F.max("run_date").alias("run_date"))
+
+
+SCORING_DATE = dt.date(2000, 6, 30)
+
+
+def date_split(data):
+    """Labelled users per window of a scoring run, arm and outcome."""
+    windows = windows_for(SCORING_DATE, HORIZON)
+    parts = zip(("train", "test", "final"), frames.split_by_date(
+        _training(data), windows.train_end, windows.test_end))
+    counted = [
+        users.groupBy(F.lit(part).alias("part"), F.lit(arm).alias("arm"), "experiment_group").agg(
+            F.count("*").alias("users"), F.min("signup_date").alias("first"), F.max("signup_date").alias("last"))
+        for part, frame in parts for arm, users in zip(("treatment", "control"), frames.split_by_arm(frame))]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def weeks_2_to_4(data):
+    """Campaign events of a user in the first four weeks of each month."""
+    day = F.dayofmonth("dt") - 1
+    daily = data.campaign_events.filter(day < 28).groupBy(
+        F.col("external_user_id").alias("hs_user_id"), F.trunc("dt", "MM").alias("signup_date")).agg(*[
+            F.count(F.when(day == k, 1)).alias(f"day{k}_events") for k in range(28)])
+    weekly = daily.select("*", *[features.week_sum("events", week) for week in range(1, 5)])
+    return weekly.select(*frames.KEYS, *[f"week{w}_events" for w in range(1, 5)], features.weeks_2_to_4("events"))
+
+
 NEIGHBOUR_NUMBERS = ["week1_content_starts", "week1_returns", "renewal_count", "free_trial_days"]
 NEIGHBOUR_APART = 50.0
 
@@ -582,7 +715,8 @@ ALL = [
     email_delay_mean, tenure_return_pairs, email_delay_steps, scores, tracking_by_bin,
     high_uplift_signups, latest_score, row_numbers, payload_batches, score_generations,
     delivered_batches, classification_report,
-    threshold_curve, curve_areas, calibration_table, feature_neighbours, oversampled_training,
+    threshold_curve, curve_areas, calibration_table, sigmoid_calibration, prepared_features, fold_sizes,
+    oversampled_counts, uplift_identities, date_split, weeks_2_to_4, feature_neighbours, oversampled_training,
     uplift_scores,
 ]
 
