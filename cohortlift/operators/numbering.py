@@ -9,6 +9,7 @@ before it, which is one number per chunk.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,20 @@ def use_checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    Unlike a checkpoint this also leaves behind what the planner knows of the
+    columns: a column made from very many others would be rewritten for every
+    subset of them that a later projection renames.
+    """
+    spark = df.sparkSession
+    use_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

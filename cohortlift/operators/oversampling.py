@@ -5,63 +5,50 @@ minority neighbours; its categories are the most frequent ones among those
 neighbours. Two rows that differ in a category are that much further apart:
 half the squared median deviation of the numeric features.
 
-Equal rows are one point with a count, so copies never meet each other. Points
-are cut into small chunks along a space-filling curve. Neighbours in the own
-chunk bound how far the true ones can be; only chunks whose bounding box comes
-closer than that are searched as well, so the neighbours are exact.
+Equal rows are one point with a count, so copies never meet each other. A few
+pivots stand in for the space: a point belongs to its nearest pivot and is
+placed by its distance to it, so small chunks of points are rings around a
+pivot. A chunk keeps the least and greatest distance of its points to every
+pivot. By the triangle inequality these tell which chunks can hold a point
+nearer than the neighbours found in the own chunk; only those are searched, so
+the neighbours are exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+import json
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlift.operators.numbering import (
-    CHUNK, POSITION, in_chunks, running_totals, use_checkpoint_folder)
+    CHUNK, POSITION, in_chunks, partition_count, running_totals, stored)
 
 # Points per chunk; all of a chunk's points are compared with each other.
 CHUNK_POINTS = 256
 # Synthetic rows one task makes at a time from one point.
 ROWS_PER_BLOCK = 100_000
 NEIGHBOURS = 5
-# Features that place a point on the curve; a place has 60 bits. Distances use all.
-CURVE_FEATURES = 60
+# Pivots grow with the root of the number of chunks, up to this.
+MOST_PIVOTS = 64
+# Bounds are loosened by this share, since distances are rounded.
+SLACK = 1e-9
 
 
-def _curve(numbers: list[str], low: dict, high: dict) -> Column:
-    """Place along a curve that keeps near points near: interleaved bits.
+def _squares(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda total, d: total + d)
+
+
+def _differing(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p.eqNullSafe(q), 0.0).otherwise(1.0)),
+                       F.lit(0.0), lambda total, d: total + d)
 
-    Of more than ``CURVE_FEATURES`` features the first ones count. Where points
-    are cut into chunks decides what is searched, not what is found.
-    """
-    numbers = numbers[:CURVE_FEATURES]
-    bits = max(1, min(8, 60 // max(1, len(numbers))))
-    top = (1 << bits) - 1
-    levels = []
-    for name in numbers:
-        span = high[name] - low[name]
-        share = (F.col(name) - F.lit(low[name])) / F.lit(span) if span else F.lit(0.0)
-        levels.append(F.floor(share * top).cast("bigint"))
-    place = F.lit(0).cast("bigint")
-    for bit in reversed(range(bits)):
-        for level in levels:
-            place = place * 2 + F.shiftright(level, bit).bitwiseAND(1)
-    return place
-
-
-def _distance(numbers: list[str], categories: list[str], apart: float) -> Column:
-    """Squared distance between the sides ``a`` and ``b`` of a join."""
-    squares = [(F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}"))
-               for c in numbers]
-    differs = [F.when(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), 0.0).otherwise(apart)
-               for c in categories]
-    return reduce(add, squares + differs)
+
+def _distance(x: Column, c: Column, y: Column, d: Column, apart: float) -> Column:
+    """Squared distance of (numbers, categories) to (numbers, categories)."""
+    return _squares(x, y) + _differing(c, d) * F.lit(float(apart))
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -76,21 +63,47 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _near_chunks(boxes: pd.DataFrame, numbers: list[str]):
-    """Chunks other than the own whose box is closer than the radius."""
-    chunks = boxes[CHUNK].to_numpy()
-    lows = boxes[[f"low_{c}" for c in numbers]].to_numpy(dtype=float)
-    highs = boxes[[f"high_{c}" for c in numbers]].to_numpy(dtype=float)
+def _with_pivots(points: DataFrame, count: int, apart: float) -> DataFrame:
+    """Add ``_to`` (distances to all pivots), ``_cell`` (the nearest one) and ``_away`` (how far it is)."""
+    # Any points will do; hash order draws the same ones again.
+    chosen = points.orderBy(F.xxhash64("_x", "_c"), "_x", "_c").limit(count).select("_x", "_c").collect()
+    pivots = F.from_json(F.lit(json.dumps([{"x": r["_x"], "c": r["_c"]} for r in chosen])),
+                         "array<struct<x: array<double>, c: array<string>>>")
+    to = F.transform(pivots, lambda p: F.sqrt(_distance(F.col("_x"), F.col("_c"), p["x"], p["c"], apart)))
+    return points.withColumn("_to", to).withColumn("_away", F.array_min("_to")).withColumn(
+        "_cell", (F.array_position("_to", F.col("_away")) - 1).cast("int"))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def near(points: pd.DataFrame) -> pd.Series:
-        found = []
-        for own, radius, *place in points.itertuples(index=False):
-            gap = np.maximum(0, np.maximum(lows - place, place - highs))
-            found.append(chunks[((gap * gap).sum(axis=1) < radius) & (chunks != own)])
-        return pd.Series(found)
 
-    return near
+def _candidates(rings: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of different chunks (``asking``, ``_chunk``) where the one may hold neighbours of the other.
+
+    ``rings``: per chunk its cells' pivots and, for every pivot, the range of
+    its points' distances; ``radius`` is the largest search radius inside.
+    Cells are compared first, and chunks only within pairs of cells.
+    """
+    span = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    spans = rings.select(CHUNK, "_cell", "radius", F.zip_with("low", "high", span).alias("span"))
+    cells = rings.groupBy("_cell").agg(
+        F.max("radius").alias("radius"),
+        F.array(*[span(F.min(F.col("low")[j]), F.max(F.col("high")[j])) for j in range(pivots)]).alias("span"))
+
+    def reaching(a: str, b: str) -> Column:
+        """The ranges of ``a``, widened by its radius, meet those of ``b`` at every pivot."""
+        reach = F.col(f"{a}.radius") * (1 + SLACK) + SLACK
+        return F.forall(F.zip_with(F.col(f"{a}.span"), F.col(f"{b}.span"), lambda p, q: (
+            (q["low"] - p["high"] <= reach) & (p["low"] - q["high"] <= reach))), lambda meets: meets)
+
+    everywhere = F.lit(1).alias("_all")
+    near_cells = cells.select("*", everywhere).alias("a").join(
+        F.broadcast(cells.select("*", everywhere).alias("b")),     # MOST_PIVOTS rows at most
+        (F.col("a._all") == F.col("b._all")) & reaching("a", "b")).select(
+        F.col("a._cell").alias("_cell"), F.col("b._cell").alias("_other_cell"))
+    return (
+        spans.join(F.broadcast(near_cells), "_cell").alias("a")    # MOST_PIVOTS squared at most
+        .join(spans.alias("b"), F.col("a._other_cell") == F.col("b._cell"))
+        .filter((F.col(f"a.{CHUNK}") != F.col(f"b.{CHUNK}")) & reaching("a", "b"))
+        .select(F.col(f"a.{CHUNK}").alias("asking"), F.col(f"b.{CHUNK}").alias(CHUNK), F.col("b.span").alias("span"))
+    )
 
 
 def nearest_neighbours(points: DataFrame, numbers: list[str], categories: list[str],
@@ -101,57 +114,63 @@ def nearest_neighbours(points: DataFrame, numbers: list[str], categories: list[s
     Gives the points with an id, and per point rows (``other``, its features,
     ``distance``, ``copies``, ``upto``) covering k neighbours. A point's own
     further copies are its neighbours at distance 0.
+
+    Features travel as one array of numbers and one of categories, so plans do
+    not grow with their number.
     """
-    use_checkpoint_folder(points.sparkSession)
-    points = points.checkpoint()
-    spans = points.agg(
-        F.count("*").alias("points"),
-        *[F.min(c).alias(f"low_{c}") for c in numbers],
-        *[F.max(c).alias(f"high_{c}") for c in numbers]).first()
-    curve = _curve(numbers, {c: spans[f"low_{c}"] for c in numbers},
-                   {c: spans[f"high_{c}"] for c in numbers})
-    parts = max(1, -(-spans["points"] // chunk_points))
-    placed = in_chunks(
-        points.withColumn("_curve", curve), "_curve", *numbers, *categories, parts=parts
-    ).withColumn("point", F.shiftleft(F.col(CHUNK).cast("bigint"), 33) + F.col(POSITION)
-                 ).drop("_curve", POSITION)
-    features = [*numbers, *categories]
-    others = placed.select(
-        F.col("point").alias("other"), CHUNK, *features, "copies").alias("b")
-    distance = _distance(numbers, categories, apart).alias("distance")
+    types = dict(points.dtypes)
+    packed = stored(points.select(
+        *points.columns, F.array(*[F.col(c).cast("double") for c in numbers]).cast("array<double>").alias("_x"),
+        F.array(*[F.col(c).cast("string") for c in categories]).cast("array<string>").alias("_c")))
+    count = packed.count()
+    chunks = max(1, -(-count // chunk_points))
+    pivots = max(1, min(MOST_PIVOTS, count, 2 * math.isqrt(chunks)))
+    parts = max(1, min(chunks, partition_count(points.sparkSession)))
+    # A task holds many chunks: stretches of points that follow each other.
+    chunk = F.col(CHUNK).cast("bigint") * (1 << 32) + F.floor(F.col(POSITION) / chunk_points)
+    ranged = in_chunks(_with_pivots(packed, pivots, apart), "_cell", "_away", "_x", "_c", parts=parts)
+    placed = ranged.withColumn("point", F.shiftleft(F.col(CHUNK).cast("bigint"), 33) + F.col(POSITION)).withColumn(
+        CHUNK, chunk)
+    lean = placed.select("point", CHUNK, "_cell", "_x", "_c", "_to", "copies")
+    others = lean.select(F.col("point").alias("other"), CHUNK, "_x", "_c", "copies").alias("b")
+    distance = _distance(F.col("a._x"), F.col("a._c"), F.col("b._x"), F.col("b._c"), apart).alias("distance")
     # A point is not its own neighbour, but its further copies are.
     left = F.when(F.col("a.point") == F.col("b.other"), F.col("b.copies") - 1).otherwise(
         F.col("b.copies"))
 
-    def pairs(asking: DataFrame, closer_than: Column | None = None) -> DataFrame:
-        meet = F.col(f"a.{CHUNK}") == F.col(f"b.{CHUNK}")
-        if closer_than is not None:
-            meet = meet & (_distance(numbers, categories, apart) < closer_than)
+    def pairs(asking: DataFrame) -> DataFrame:
         return (
-            asking.alias("a").join(others, meet)
-            .select("a.point", "b.other", *[F.col(f"b.{c}").alias(c) for c in features],
-                    distance, left.alias("copies"))
+            asking.alias("a").join(others, F.col(f"a.{CHUNK}") == F.col(f"b.{CHUNK}"))
+            .select("a.point", "b.other", "b._x", "b._c", distance, left.alias("copies"), "a.radius")
             .filter(F.col("copies") > 0)
         )
 
-    own = _nearest(pairs(placed), k)
-    if parts == 1:
-        return placed, own
-    own = own.checkpoint()
+    def unpacked(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        columns = [F.get("_x", F.lit(j)).alias(c) for j, c in enumerate(numbers)]
+        columns += [F.get("_c", F.lit(j)).cast(types[c]).alias(c) for j, c in enumerate(categories)]
+        return (placed.select(*points.columns, "point"),
+                near.select("point", "other", *columns, "distance", "copies", "upto"))
+
+    nowhere = F.lit(None).cast("double").alias("radius")
+    own = _nearest(pairs(lean.select("point", CHUNK, "_x", "_c", nowhere)).drop("radius"), k).checkpoint()
+    if chunks == 1:
+        return unpacked(own)
     reach = own.groupBy("point").agg(F.when(
-        F.max("upto") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("radius"))
-    boxes = placed.groupBy(CHUNK).agg(
-        *[F.min(c).alias(f"low_{c}") for c in numbers],
-        *[F.max(c).alias(f"high_{c}") for c in numbers]).toPandas()   # one row per chunk
-    near = _near_chunks(boxes, numbers)
-    searching = placed.join(reach, "point", "left").withColumn(
-        "radius", F.coalesce("radius", F.lit(float("inf"))))
-    asking = searching.withColumn(
-        "_near", near(F.struct(CHUNK, "radius", *numbers))
-    ).withColumn(CHUNK, F.explode("_near"))
+        F.max("upto") >= k, F.sqrt(F.max("distance"))).otherwise(F.lit(float("inf"))).alias("radius"))
+    searching = lean.drop("copies").join(reach, "point", "left").withColumn(
+        "radius", F.coalesce("radius", F.lit(float("inf")))).checkpoint()
+    rings = searching.groupBy(CHUNK).agg(
+        F.min("_cell").alias("_cell"), F.max("radius").alias("radius"),
+        F.array(*[F.min(F.col("_to")[j]) for j in range(pivots)]).alias("low"),
+        F.array(*[F.max(F.col("_to")[j]) for j in range(pivots)]).alias("high")).checkpoint()
+    reach_of = F.col("radius") * (1 + SLACK) + SLACK
+    reachable = F.forall(F.zip_with("_to", "span", lambda t, s: (
+        (s["low"] - t <= reach_of) & (t - s["high"] <= reach_of))), lambda meets: meets)
+    asking = searching.withColumnRenamed(CHUNK, "asking").drop("_cell").join(
+        _candidates(rings, pivots), "asking").filter(reachable).select("point", CHUNK, "_x", "_c", "radius")
     # Nothing as far as the radius can displace a neighbour already known.
-    further = pairs(asking.select("point", CHUNK, "radius", *features), F.col("a.radius"))
-    return placed, _nearest(own.drop("upto").unionByName(further), k)
+    further = pairs(asking).filter(F.col("distance") < F.col("radius") * F.col("radius") * (1 + SLACK)).drop("radius")
+    return unpacked(_nearest(own.drop("upto").unionByName(further), k))
 
 
 def oversample(df: DataFrame, label: str, numbers: list[str], categories: list[str], *,

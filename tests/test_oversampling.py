@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlift.operators import oversampling
 from cohortlift.operators.oversampling import nearest_neighbours, oversample
 
 NUMBERS, CATEGORIES = ["x", "y"], ["c"]
@@ -60,6 +61,27 @@ def test_neighbours_of_wide_points(spark, wide):
         assert sorted(got[tuple(v)])[:3] == pytest.approx(want)
 
 
+def test_few_pairs_are_compared_where_points_lie_in_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(15, 100)) * 10
+    values = centres[rng.integers(0, 15, 600)] + rng.normal(size=(600, 100))
+    names = [f"n{i}" for i in range(100)]
+    points = spark.createDataFrame([(*map(float, v), "a", 1) for v in values], [*names, "c", "copies"])
+    compared, nearest = [], oversampling._nearest
+
+    def counting(pairs, k):
+        compared.append(pairs.count())
+        return nearest(pairs, k)
+
+    monkeypatch.setattr(oversampling, "_nearest", counting)
+    placed, near = nearest_neighbours(points, names, ["c"], APART, 3, 16)
+    found = near.groupBy("point").agg(F.sort_array(F.collect_list("distance"))[2].alias("d")).join(placed, "point").collect()
+    for r in found[::25]:
+        own = np.array([r[n] for n in names])
+        assert r["d"] == pytest.approx(np.sort(((values - own) ** 2).sum(axis=1))[3])
+    assert len(found) == 600 and sum(compared) < 0.2 * 600 * 600
+
+
 @pytest.fixture(scope="module")
 def lopsided(spark):
     pick = random.Random(8)
