@@ -1,12 +1,13 @@
 """Repeated passages, by winnowing over line hashes.
 
 A text is cut into lines, and long lines at sentence ends. The gram of a line
-is the hash of the shortest run of lines from there with ``GRAM`` words. In
-every window of grams that spans a repeat of ``least`` words the smallest gram
-is selected, so two copies of such a run always select a gram at the same
-place. Equal grams are joined with their first occurrence in the corpus, the
-match is extended both ways line by line, and later runs of ``least`` words or
-more are deleted.
+is the hash of the shortest run of lines from there with ``GRAM`` words. A
+window is the shortest run of lines with ``LEAST`` words; its smallest gram is
+selected, so two copies of a window always select a gram at the same place.
+Only windows whose selected gram stands more than once can be repeats. Each of
+them is joined with the first place of the same window, the match is extended
+both ways line by line, and the later run is deleted: whatever window stands
+earlier in the corpus is gone from its later places, whichever texts share it.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def grams(hashes: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray,
     return out, spans
 
 
-def selected(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> np.ndarray:
-    """Lines whose gram is the smallest of a window spanning ``least`` words.
+def window_minima(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line of the smallest gram) of each window of ``least`` words.
 
     A run with ``least`` words holds, from its first line on, a whole window;
     equal runs hold equal windows and select the same line of it.
@@ -73,13 +74,14 @@ def selected(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> np
     stop = np.searchsorted(ends, ends[:n] + least)     # the window is lines i .. stop - 1
     # Grams that end inside the window: they begin at lines i .. final.
     spanned = np.flatnonzero(spans > 0)
+    nothing = np.zeros(0, np.int64)
     if not len(spanned):
-        return spanned
+        return nothing, nothing
     first = np.flatnonzero(stop <= n)
     final = np.searchsorted(spanned + spans[spanned], stop[first], side="right") - 1
     first, final = first[final >= first], final[final >= first]
     if not len(first):
-        return first
+        return nothing, nothing
     # The smallest of each range from minima over powers of two; ranks settle ties.
     order = np.argsort(found[:len(spanned)], kind="stable")
     rank = np.empty(len(spanned), np.int64)
@@ -91,7 +93,12 @@ def selected(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> np
         at = np.flatnonzero(level == k)
         least_rank[at] = np.minimum(table[first[at]], table[final[at] - (1 << k) + 1])
         table = np.minimum(table[:len(table) - (1 << k)], table[1 << k:]) if len(table) > 1 << k else table
-    return np.unique(order[least_rank])
+    return first, order[least_rank]
+
+
+def selected(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> np.ndarray:
+    """Lines whose gram is the smallest of a window."""
+    return np.unique(window_minima(hashes, words, least, size)[1])
 
 
 def extended(own: np.ndarray, own_at: int, other: np.ndarray, other_at: int) -> tuple[int, int]:
@@ -123,6 +130,27 @@ def _profile(least: int, size: int):
     return work
 
 
+def _windows(least: int, size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, at, owner = [], [], []
+            for k, row in enumerate(batch.select(["places", "hashes", "words"]).to_pylist()):
+                hashes = np.frombuffer(row["hashes"], np.uint64)
+                words = np.frombuffer(row["words"], "<u2").astype(np.int64)
+                first, place = window_minima(hashes, words, least, size)
+                first = first[np.isin(place, row["places"])]
+                found.append(grams(hashes, words, least)[0][first].view(np.int64))
+                at.append(first)
+                owner.append(np.full(len(first), k))
+            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found) if found else [], pa.int64()),
+                 batch.column("id").take(pa.array(owner)), batch.column("key").take(pa.array(owner)),
+                 pa.array(np.concatenate(at) if at else [], pa.int32())],
+                names=["window", "id", "key", "at"])
+    return work
+
+
 def _matched(least: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +184,8 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, size: int = GRAM, id_colu
 
     ``key`` is ``row_key`` of the id and the text. Order in the corpus is id,
     nulls last, then key; what comes first is never deleted on account of
-    what comes later.
+    what comes later. Lines and windows are equal if their 64-bit hashes are;
+    a line's words are counted up to 65,535.
     """
     rows = docs.select(
         F.col(id_column).alias("id"), text_of(text_column).alias("text")
@@ -165,23 +194,28 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, size: int = GRAM, id_colu
     profile = stored(rows.mapInArrow(
         _profile(least, size),
         f"id {kind}, key string, marks array<struct<at:int,gram:bigint>>, hashes binary, words binary"))
-    marks = profile.select("id", "key", F.explode("marks").alias("m")).select(
-        F.col("m.gram").alias("gram"),
-        F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("m.at").alias("at")).alias("place"))
+    marks = profile.select("key", F.explode("marks").alias("m")).select("m.gram", "key", "m.at")
+    repeated = stored(
+        marks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("gram").alias("g")))
+    places = marks.join(repeated, F.col("gram") == F.col("g"), "left_semi").groupBy("key").agg(
+        F.collect_set("at").alias("places"))     # lines of one text
+    # Only texts with a repeated gram are moved. Repeated rows share a key and are one text
+    # here. None of these tables has a bound, so no side is ever broadcast.
+    texts = stored(
+        profile.select("id", "key", "hashes", "words").join(places.hint("merge"), "key")
+        .groupBy("key").agg(*[F.first(c).alias(c) for c in ("id", "hashes", "words", "places")]))
+    windows = stored(texts.select("id", "key", "hashes", "words", "places").mapInArrow(
+        _windows(least, size), f"window bigint, id {kind}, key string, at int")).select("window", F.struct(
+            F.col("id").isNull().alias("none"), "id", "key", "at").alias("place"))
     firsts = stored(
-        marks.groupBy("gram").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1").select(F.col("gram").alias("g"), "first"))
-    pairs = marks.join(firsts, F.col("gram") == F.col("g")).filter("place != first")
+        windows.groupBy("window").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+        .filter("n > 1").select(F.col("window").alias("w"), "first"))
+    pairs = windows.join(firsts, F.col("window") == F.col("w")).filter("place != first")
     matches = stored(
         pairs.groupBy(F.col("place.key").alias("key"), F.col("first.key").alias("first_key"))
         .agg(F.collect_set(F.struct(F.col("place.at").alias("at"), F.col("first.at").alias("first_at")))
              .alias("places")))
-    # Only texts in a match are moved. Repeated rows share a key and are one text
-    # here. None of these tables has a bound, so no side is ever broadcast.
-    involved = matches.select("key").unionByName(matches.select(F.col("first_key").alias("key"))).distinct()
-    texts = stored(
-        profile.select("key", "hashes", "words").join(involved.hint("merge"), "key", "left_semi")
-        .groupBy("key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words")))
+    texts = texts.select("key", "hashes", "words")
     sources = texts.select(F.col("key").alias("first_key"), F.col("hashes").alias("first_hashes"))
     both = matches.join(texts.hint("merge"), "key").join(sources.hint("merge"), "first_key")
     found = both.select("key", "first_key", "places", "hashes", "words", "first_hashes").mapInArrow(

@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, confirm:
         F.col("id").alias(id_column), "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 5, distance: int = 9, confirm: int | None = 14,
+def first_of_each(docs: DataFrame, words: int = 4, distance: int = 4, confirm: int | None = None,
                   id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate class: the smallest id.
 

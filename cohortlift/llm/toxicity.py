@@ -392,9 +392,30 @@ def fitted(toxic: list[str], clean: list[str]) -> Model | None:
     return model
 
 
-def _sampled(rows: DataFrame, most: int) -> list[str]:
-    chosen = rows.orderBy(F.xxhash64("id", "text"), "id").limit(most).select("text")
-    return chosen.toArrow()["text"].to_pylist()
+def _sample(rows: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[str]]:
+    """Texts labelled 1 and 0, at most ``most`` of each, the same ones whatever the partitioning.
+
+    Ids are chosen before any text is read: the labels meet the ids of the
+    documents, and at most twice ``most`` chosen ids are sent to the one pass
+    that fetches their texts.
+    """
+    spark = rows.sparkSession
+    marks = labels.filter(F.col(label).isin(0, 1)).select(
+        F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    marks = marks.filter(F.col("id").isNotNull() & ~held_out("id")).join(
+        rows.select("id").filter("id IS NOT NULL").distinct().hint("merge"), "id", "left_semi")
+    chosen = [row for value in (1, 0) for row in
+              marks.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
+    if not chosen:
+        return [], []
+    wanted = F.broadcast(spark.createDataFrame(chosen, marks.schema))    # 2 * most rows at most
+    texts = rows.join(wanted, "id").select("id", "label", "text").distinct()
+    found = [texts.filter(F.col("label") == value).orderBy(F.xxhash64("id", "text"), "id").limit(most).select(
+        "label", "text") for value in (1, 0)]      # an id may have several texts
+    table = found[0].unionByName(found[1]).toArrow()
+    is_toxic = np.asarray(table["label"]) == 1
+    every = table["text"].to_pylist()
+    return [t for t, y in zip(every, is_toxic) if y], [t for t, y in zip(every, is_toxic) if not y]
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = FIT_DOCS,
@@ -409,10 +430,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
     gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    known = rows.filter(~held_out("id")).join(
-        labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("id"), F.col(label).alias("label")).distinct(),
-        "id")
-    model = fitted(_sampled(known.filter("label = 1"), most), _sampled(known.filter("label = 0"), most))
+    model = fitted(*_sample(rows, labels, label, most))
     sent = rows.sparkSession.sparkContext.broadcast(model)     # landmarks and weights, a few kilobytes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,43 @@ def test_repeated_passages_go(spark):
     assert found[0]["text"] == texts[0] and found[6]["text"] == texts[6]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_no_window_stands_twice(spark, seed):
+    """Every window that stands earlier is gone from later places, and nothing else goes."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 3, 14, 14, 20, 41]))) for _ in range(25)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9))) for _ in range(80)]
+    # The first text shares one line only; the passage is in the two others.
+    one, *rest = [" ".join(f"p{k}x{i}" for i in range(14)) for k in range(3)]
+    texts += [one, "\n".join([one, *rest]), "\n".join(["before", one, *rest, "after"])]
+    found = {r["doc_id"]: r for r in line_dedup.without_repeats(docs(spark, texts)).collect()}
+    earlier, deleted = set(), []
+    split = [line_dedup.cut(t) for t in texts]
+
+    def window(cut, i):
+        total, j = 0, i
+        while j < len(cut) and total < 40:
+            total, j = total + len(cut[j].split()), j + 1
+        return (tuple(line.strip() for line in cut[i:j]), j) if total >= 40 else (None, j)
+
+    for d, cut in enumerate(split):
+        must, left = set(), found[d]["text"].split("\n")
+        for i in range(len(cut)):
+            own, j = window(cut, i)
+            if own is not None:
+                if own in earlier:
+                    must.update(range(i, j))
+                earlier.add(own)
+        deleted.append(must)
+        kept = [line.strip() for k, line in enumerate(cut) if k not in must]
+        rest_of = iter(kept)        # what is left is a part of what may stay, in order
+        assert all(any(x == y for y in rest_of) for x in left if x)
+        for gone in found[d]["removed"]:
+            own = [line.strip() for line in line_dedup.cut(gone)]
+            assert sum(len(x.split()) for x in own) >= 40
+    assert deleted[82] == {1, 2, 3} and found[82]["removed_words"] == 42 and found[81]["removed_words"] == 0
+
+
 def test_selected_lines_match_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(200):
