@@ -32,7 +32,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each class of five-word fingerprints."""
+    """Keep the smallest id of each class of fingerprints: four-word shingles, at most four bits apart."""
     ship(spark)
     return simhash.first_of_each(docs)
 
