@@ -4,12 +4,13 @@ Documents become shape features: how the characters and words are made up and
 how much repeats, never which document or source it is. Each feature is cut at
 its quantiles into steps, and a logistic model over the steps minimises the
 non-negative unbiased risk of positive-unlabelled learning. The class prior is
-estimated from the labelled rows where both labels occur, else from how a
-first model's best scores thin out among the unlabelled.
+estimated without any negative label, from how the best scores of models that
+judge rows they have not seen thin out among the unlabelled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -26,7 +27,8 @@ THRESHOLD = 0.7
 STEPS = np.unique(np.round(np.concatenate(
     [np.linspace(0.1, 0.9, 9), np.linspace(0.01, 0.1, 10), np.linspace(0.9, 0.99, 10), [0.003, 0.997]]), 3))
 EPOCHS = 1000
-SHRINK = 0.97         # of the estimated prior: too large a prior takes junk for text, too small costs little
+ROUNDS = 3            # in which the class prior is estimated anew with a better model
+PRIOR_EPOCHS = 300
 NAMES = ("upper", "punctuation", "exclaimed", "symbols", "digits", "word_length", "distinct", "repeated",
          "commonest", "same_lines", "log_words", "words_a_line", "sentence_ends", "no_letters", "bars")
 
@@ -47,14 +49,14 @@ def features(text: str) -> list[float]:
     upper, lower, points, exclaimed, symbols, digits, bars = counts.tolist()
     seen = max(sum(counts.tolist()), 1.0)
     n = len(words)
-    distinct = set(words)
     lines = [line for line in text.split("\n") if line]
     ended = sum(w[-1] in ".?" for w in words)
     bare = sum(not (w[0].isalpha() or w[-1].isalpha() or w.isalnum()) for w in words)
-    common = max(map(words.count, words[:4])) if n < 5000 else max(map(words.count, words[:2]))
+    each = Counter(words)
+    common = max(each.values())
     return [
         upper / max(upper + lower, 1), points / seen, exclaimed / seen, symbols / seen, digits / seen,
-        len(data) / n, len(distinct) / n ** 0.8, sum(map(eq, words, words[1:])) / n, common / n,
+        len(data) / n, len(each) / n ** 0.8, sum(map(eq, words, words[1:])) / n, common / n,
         1 - len(set(lines)) / max(len(lines), 1), float(np.log(n)), n / max(len(lines), 1), ended / n, bare / n,
         bars / seen]
 
@@ -131,29 +133,40 @@ class Model:
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores of a first model.
+    """The share of positives among the unlabelled, from a model's margins of both.
 
     In the region of the best scores there are hardly any negatives, so the
     unlabelled thin out against the positives by just that share. Of all
     regions, the one with the smallest upper bound of the share counts.
     """
-    cuts = np.quantile(positive, np.linspace(0.1, 0.9, 81))   # regions with enough positives
+    cuts = np.quantile(positive, np.linspace(0.05, 0.9, 86))   # regions with enough positives
     share_p = np.array([(positive >= c).mean() for c in cuts])
     share_u = np.array([(unlabelled >= c).mean() for c in cuts])
     error = np.sqrt(np.log(100) / (2 * len(positive))) + np.sqrt(np.log(100) / (2 * len(unlabelled)))
     best = int(np.argmin((share_u + error) / share_p))
-    return float(np.clip(share_u[best] / share_p[best], 0.05, 0.95))
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
 
 
-def cross_estimated_prior(positive: np.ndarray, web: np.ndarray) -> float:
-    """The prior, each half of the rows judged by a model of the other half."""
-    margins: list[list[np.ndarray]] = [[], []]
-    for half in (0, 1):
-        model = Model(web[half::2])
-        model.fit(positive[half::2], web[half::2], None)
-        for out, rows in zip(margins, (positive, web)):
-            out.append(model.margin(model.places(rows[1 - half::2])))
-    return estimated_prior(*(np.concatenate(m) for m in margins))
+def cross_estimated_prior(positive: np.ndarray, web: np.ndarray, half_of_web: np.ndarray | None = None,
+                          rounds: int = ROUNDS, epochs: int = PRIOR_EPOCHS) -> float:
+    """The prior, each half of the rows judged by a model of the other half.
+
+    The first model tells positives from the web; each later one is fitted with
+    the prior found so far and so parts the classes better. Rows of ``web``
+    that are copies of positives must lie in the positives' halves (even, odd).
+    """
+    if half_of_web is None:
+        half_of_web = np.arange(len(web)) % 2
+    prior: float | None = None
+    for _ in range(rounds + 1):
+        margins: list[list[np.ndarray]] = [[], []]
+        for half in (0, 1):
+            model = Model(web[half_of_web == half])
+            model.fit(positive[half::2], web[half_of_web == half], prior, epochs)
+            for out, rows in zip(margins, (positive[1 - half::2], web[half_of_web != half])):
+                out.append(model.margin(model.places(rows)))
+        prior = estimated_prior(*(np.concatenate(m) for m in margins))
+    return prior
 
 
 def _sampled(rows: DataFrame, most: int) -> np.ndarray:
@@ -167,14 +180,15 @@ def train(rows: DataFrame, labels: DataFrame, most: int = FIT_ROWS, label: str =
     """Fit on featured rows (id, features) and labels (doc_id, ``label``).
 
     Positives are rows labelled 1; all other rows are unlabelled, whatever
-    their label says; only the class prior is counted on both labels. Held-out rows take no part. Both kinds are bounded
-    samples by hash, ``most`` rows each. Without positives there is no model.
+    their label says: labels 0 are not read. Held-out rows take no part. Both
+    kinds are bounded samples by hash, ``most`` rows each. With fewer than two
+    positives or unlabelled rows there is no model.
     """
     open_ = rows.filter(~held_out("id"))
     trusted = labels.filter(F.col(label) == 1).select(F.col("doc_id").alias("id")).distinct()
     positive = _sampled(open_.join(trusted, "id", "left_semi"), most)
     unlabelled = _sampled(open_.join(trusted, "id", "left_anti"), most)
-    if not len(positive) or not len(unlabelled):
+    if len(positive) < 2 or len(unlabelled) < 2:
         return None
     # The unlabelled must look like the web: the trusted rows are part of it.
     total = open_.count()
@@ -183,10 +197,8 @@ def train(rows: DataFrame, labels: DataFrame, most: int = FIT_ROWS, label: str =
     taken = np.resize(np.arange(len(positive)), extra)
     web = np.concatenate([unlabelled, positive[taken]])
     model = Model(web)
-    shares = open_.join(labels.filter(F.col(label).isNotNull()), F.col("id") == F.col("doc_id")).agg(
-        F.avg((F.col(label) == 1).cast("double"))).first()[0]
-    both = shares is not None and 0 < shares < 1
-    model.prior = SHRINK * (shares if both else cross_estimated_prior(positive, web))
+    halves = np.concatenate([np.arange(len(unlabelled)), taken]) % 2
+    model.prior = cross_estimated_prior(positive, web, halves)
     model.fit(positive, web, model.prior)
     return model
 

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cohortlift.llm import (
-    components, decontamination, line_dedup, main_text, packing, simhash, tokens, wavelet)
+    components, decontamination, line_dedup, main_text, packing, quality, simhash, tokens, wavelet)
 from cohortlift.llm.queries import oracle_sql, queries, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -277,6 +277,25 @@ def test_common_lines_match_dynamic_programming():
         assert all(a[i] in rest for i in found)
 
 
+def test_priors_of_mixtures_are_found():
+    texts, labels = duckdb.sql(f"""SELECT list(text), list(quality) FROM '{MORE}/documents.parquet'
+        JOIN '{MORE}/labels.parquet' USING (doc_id) WHERE quality IS NOT NULL""").fetchall()[0]
+    values, rng = np.array([quality.features(t or "") for t in texts]), np.random.default_rng(0)
+    good, bad = (values[np.array(labels) == k] for k in (1, 0))
+    for prior in (0.2, 0.5, 0.8):
+        n = round(3000 * prior)
+        web = np.concatenate([good[::2][rng.integers(0, len(good[::2]), n)], bad[rng.integers(0, len(bad), 3000 - n)]])
+        rng.shuffle(web)
+        assert abs(quality.cross_estimated_prior(good[1::2], web) - prior) <= 0.05
+
+
+def test_features_read_whole_texts():
+    """A word that only the end of a text repeats counts like one at its start."""
+    start = " ".join(["again"] * 3000 + [f"w{i}" for i in range(4000)])
+    end = " ".join([f"w{i}" for i in range(4000)] + ["again"] * 3000)
+    assert quality.features(start) == pytest.approx(quality.features(end))
+
+
 @pytest.mark.parametrize("name, label, least", [("op6_quality", "quality", 0.97), ("op9_toxicity", "toxic", 0.97)])
 def test_held_out_accuracy(spark, name, label, least):
     truth = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{MORE}/labels.parquet'").fetchall())
