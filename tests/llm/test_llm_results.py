@@ -282,11 +282,10 @@ def test_priors_of_mixtures_are_found():
         JOIN '{MORE}/labels.parquet' USING (doc_id) WHERE quality IS NOT NULL""").fetchall()[0]
     values, rng = np.array([quality.features(t or "") for t in texts]), np.random.default_rng(0)
     good, bad = (values[np.array(labels) == k] for k in (1, 0))
-    for prior in (0.2, 0.5, 0.8):
-        n = round(3000 * prior)
-        web = np.concatenate([good[::2][rng.integers(0, len(good[::2]), n)], bad[rng.integers(0, len(bad), 3000 - n)]])
+    for n, m in ((140, 560), (560, 560), (1680, 420)):      # no row twice
+        web = np.concatenate([rng.permutation(good[::2])[:n], rng.permutation(bad)[:m]])
         rng.shuffle(web)
-        assert abs(quality.cross_estimated_prior(good[1::2], web) - prior) <= 0.05
+        assert abs(quality.cross_estimated_prior(good[1::2], web) - n / (n + m)) <= 0.05
 
 
 def test_features_read_whole_texts():
