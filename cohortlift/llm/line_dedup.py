@@ -25,8 +25,12 @@ from cohortlift.llm.shared import row_key, stored, text_of
 
 LEAST = 40    # words of a run that counts as a repeat
 GRAM = 12     # words of a gram, at least
+TOGETHER = 500    # texts whose lines are worked on as one array
 END = re.compile(r"(?:\n|[.!?…](?=[ \t\n]))\s*")
 
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
 
 def cut(text: str) -> list[str]:
     """The lines with whatever separates them; together they are the text."""
@@ -44,48 +48,56 @@ def measured(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             np.fromiter((len(line.split()) for line in lines), np.int64, n))
 
 
-def grams(hashes: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, lines in it) of each line from which ``size`` words follow."""
-    n, ends = len(hashes), np.concatenate([[0], np.cumsum(words)])
-    last = np.searchsorted(ends, ends[:n] + size)      # the gram is lines i .. last - 1
-    whole = last <= n
+def run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """One hash for each run of lines first .. stop - 1, from sums over all lines before."""
+    n = len(hashes)
+    powers, backwards = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+    powers[:1] = backwards[:1] = 1
+    powers, backwards = np.multiply.accumulate(powers), np.multiply.accumulate(backwards)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n], dtype=np.uint64)])
+    out = (sums[stop] - sums[first]) * backwards[first]
+    # The lowest bits of such sums depend on the lowest bits alone.
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
+
+
+def grams(hashes: np.ndarray, words: np.ndarray, size: int, ends: np.ndarray | None = None
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of lines) of the shortest run of ``size`` words from each line; 0 lines where too few follow.
+
+    ``ends``: for lines of several texts, where the text of each line ends.
+    """
+    n, total = len(hashes), np.concatenate([[0], np.cumsum(words)])
+    stop = np.searchsorted(total, total[:n] + size)      # the run is lines i .. stop - 1
+    whole = stop <= (n if ends is None else ends)
+    at = np.flatnonzero(whole)
     out = np.zeros(n, np.uint64)
-    spans = np.where(whole, last - np.arange(n), 0)
-    factor, step = np.uint64(0x9E3779B97F4A7C15), 0
-    while True:
-        on = spans > step
-        if not on.any():
-            break
-        at = np.flatnonzero(on)
-        out[at] = (out[at] ^ hashes[at + step]) * factor
-        out[at] ^= out[at] >> np.uint64(31)
-        step += 1
-    return out, spans
-
-
-def window_minima(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first line, line of the smallest gram) of each window of ``least`` words.
+    out[at] = run_hashes(hashes, at, stop[at])
+    return out, np.where(whole, stop - np.arange(n), 0)
+
+
+def window_minima(hashes: np.ndarray, words: np.ndarray, least: int, size: int,
+                  ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, line of the smallest gram) of each window, and all grams.
 
     A run with ``least`` words holds, from its first line on, a whole window;
     equal runs hold equal windows and select the same line of it.
     """
-    found, spans = grams(hashes, words, size)
-    n, ends = len(hashes), np.concatenate([[0], np.cumsum(words)])
-    stop = np.searchsorted(ends, ends[:n] + least)     # the window is lines i .. stop - 1
+    found, _ = grams(hashes, words, size, ends)
+    n, total = len(hashes), np.concatenate([[0], np.cumsum(words)])
+    stop = np.searchsorted(total, total[:n] + least)     # the window is lines i .. stop - 1
     # Grams that end inside the window: they begin at lines i .. final.
-    spanned = np.flatnonzero(spans > 0)
-    nothing = np.zeros(0, np.int64)
-    if not len(spanned):
-        return nothing, nothing
-    first = np.flatnonzero(stop <= n)
-    final = np.searchsorted(spanned + spans[spanned], stop[first], side="right") - 1
-    first, final = first[final >= first], final[final >= first]
+    first = np.flatnonzero(stop <= (n if ends is None else ends))
+    final = np.searchsorted(np.searchsorted(total, total[:n] + size), stop[first], side="right") - 1
+    inside = final >= first
+    first, final = first[inside], final[inside]
     if not len(first):
-        return nothing, nothing
+        return first, first, first, found
     # The smallest of each range from minima over powers of two; ranks settle ties.
-    order = np.argsort(found[:len(spanned)], kind="stable")
-    rank = np.empty(len(spanned), np.int64)
-    rank[order] = np.arange(len(spanned))
+    order = np.argsort(found, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
     sizes = final - first + 1
     level = np.frexp(sizes)[1] - 1
     least_rank, table = np.empty(len(first), np.int64), rank
@@ -93,12 +105,12 @@ def window_minima(hashes: np.ndarray, words: np.ndarray, least: int, size: int)
         at = np.flatnonzero(level == k)
         least_rank[at] = np.minimum(table[first[at]], table[final[at] - (1 << k) + 1])
         table = np.minimum(table[:len(table) - (1 << k)], table[1 << k:]) if len(table) > 1 << k else table
-    return first, order[least_rank]
+    return first, stop[first], order[least_rank], found
 
 
 def selected(hashes: np.ndarray, words: np.ndarray, least: int, size: int) -> np.ndarray:
     """Lines whose gram is the smallest of a window."""
-    return np.unique(window_minima(hashes, words, least, size)[1])
+    return np.unique(window_minima(hashes, words, least, size)[2])
 
 
 def extended(own: np.ndarray, own_at: int, other: np.ndarray, other_at: int) -> tuple[int, int]:
@@ -111,42 +123,50 @@ def extended(own: np.ndarray, own_at: int, other: np.ndarray, other_at: int) ->
     return own_at - back, own_at + (int(differs[0]) if len(differs) else most)
 
 
+def _ends(lines: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins among the lines of all, and for each line where its text ends."""
+    starts = np.concatenate([[0], np.cumsum(lines)]).astype(np.int64)
+    return starts, np.repeat(starts[1:], lines)
+
+
 def _profile(least: int, size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, hashes, words = [], [], []
-            for text in batch.column("text").to_pylist():
-                h, w = measured(cut(text))
-                at = selected(h, w, least, size)
-                found, _ = grams(h, w, size)
-                marks.append([{"at": int(i), "gram": int(g)} for i, g in zip(at, found[at].view(np.int64))])
-                hashes.append(h.tobytes())
-                words.append(np.minimum(w, 65535).astype("<u2").tobytes())
+        mark = pa.struct([("at", pa.int32()), ("gram", pa.int64())])
+        for batch in (whole.slice(a, TOGETHER) for whole in batches for a in range(0, whole.num_rows, TOGETHER)):
+            cuts = [cut(text) for text in batch.column("text").to_pylist()]
+            hashes, words = measured([line for lines in cuts for line in lines])
+            starts, ends = _ends([len(lines) for lines in cuts])
+            _, _, place, found = window_minima(hashes, words, least, size, ends)
+            at = np.unique(place)
+            owner = np.searchsorted(starts, at, side="right") - 1
+            marks = pa.StructArray.from_arrays(
+                [pa.array((at - starts[owner]).astype(np.int32)), pa.array(found[at].view(np.int64))], fields=list(mark))
+            h, w = hashes.tobytes(), np.minimum(words, 65535).astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("key"),
-                 pa.array(marks, pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))),
-                 pa.array(hashes, pa.binary()), pa.array(words, pa.binary())],
+                 pa.ListArray.from_arrays(np.searchsorted(at, starts).astype(np.int32), marks),
+                 pa.array([h[8 * a:8 * b] for a, b in zip(starts, starts[1:])], pa.binary()),
+                 pa.array([w[2 * a:2 * b] for a, b in zip(starts, starts[1:])], pa.binary())],
                 names=["id", "key", "marks", "hashes", "words"])
     return work
 
 
 def _windows(least: int, size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, at, owner = [], [], []
-            for k, row in enumerate(batch.select(["places", "hashes", "words"]).to_pylist()):
-                hashes = np.frombuffer(row["hashes"], np.uint64)
-                words = np.frombuffer(row["words"], "<u2").astype(np.int64)
-                first, place = window_minima(hashes, words, least, size)
-                first = first[np.isin(place, row["places"])]
-                found.append(grams(hashes, words, least)[0][first].view(np.int64))
-                at.append(first)
-                owner.append(np.full(len(first), k))
-            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        for batch in (whole.slice(a, TOGETHER) for whole in batches for a in range(0, whole.num_rows, TOGETHER)):
+            hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
+            each = batch.column("words").to_pylist()
+            words = np.frombuffer(b"".join(each), "<u2").astype(np.int64)
+            starts, ends = _ends([len(w) // 2 for w in each])
+            first, stop, place, _ = window_minima(hashes, words, least, size, ends)
+            listed = batch.column("places")
+            wanted = np.zeros(len(hashes) + 1, bool)
+            wanted[listed.flatten().to_numpy() + np.repeat(starts[:-1], listed.value_lengths().to_numpy())] = True
+            first, stop = first[wanted[place]], stop[wanted[place]]
+            owner = np.searchsorted(starts, first, side="right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found) if found else [], pa.int64()),
-                 batch.column("id").take(pa.array(owner)), batch.column("key").take(pa.array(owner)),
-                 pa.array(np.concatenate(at) if at else [], pa.int32())],
+                [pa.array(run_hashes(hashes, first, stop).view(np.int64)), batch.column("id").take(pa.array(owner)),
+                 batch.column("key").take(pa.array(owner)), pa.array((first - starts[owner]).astype(np.int32))],
                 names=["window", "id", "key", "at"])
     return work
 
