@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from cohortlift.operators.numbering import CHUNK, POSITION, in_chunks
+
 # Rank error of the sketch that brackets a quantile, as a share of the rows.
 SKETCH_ERROR = 1e-5
+# Grid points that values are dealt to before their density is taken.
+DENSITY_CELLS = 65_536
 
 
 # ---- quantile edges --------------------------------------------------------
@@ -241,6 +245,35 @@ def shared_edge_histogram(df: DataFrame, column: str, bars: int, group: str) ->
         (F.col("count") / rows).alias("probability"))
 
 
+def grouped_quantiles(counted: DataFrame, group: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of every group at once: ``group``, ``rows`` and a column per share.
+
+    ``counted`` has distinct values ``v`` of each group with their ``count``.
+    All values are sorted into range chunks by group and value, so a group may
+    hold any share of them; a chunk needs only the number of rows in its group's
+    earlier chunks. Nothing holds the values of a group together.
+    """
+    chunks = in_chunks(counted.select(group, "v", "count"), group, "v")
+    earlier = Window.partitionBy(group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = chunks.groupBy(CHUNK, group).agg(F.sum("count").alias("_n")).select(    # a row per chunk and group
+        CHUNK, group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(group)).alias("rows"))
+    inside = (
+        Window.partitionBy(CHUNK, group).orderBy(POSITION)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = chunks.withColumn("_inside", F.sum("count").over(inside)).join(sizes, [CHUNK, group]).withColumn(
+        "_upto", F.col("_before") + F.col("_inside"))
+    rank = lambda share: F.floor((F.col("rows") - 1) * F.lit(share))
+    value_at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("v")))
+    found = placed.groupBy(group, "rows").agg(*[
+        value_at(rank(share) + step).alias(f"_{name}_{step}") for name, share in shares.items() for step in (0, 1)])
+    between = lambda name, share: (F.col("rows") - 1) * F.lit(share) - rank(share)
+    low = lambda name: F.col(f"_{name}_0")
+    return found.select(group, "rows", *[
+        (low(name) + F.coalesce((F.col(f"_{name}_1") - low(name)) * between(name, share), F.lit(0.0))).alias(name)
+        for name, share in shares.items()])
+
+
 def box_summary(df: DataFrame, bin_column: str, column: str) -> DataFrame:
     """Quartiles and whiskers per bin.
 
@@ -248,12 +281,9 @@ def box_summary(df: DataFrame, bin_column: str, column: str) -> DataFrame:
     Equal values are counted first, so a bin is a list of distinct values.
     """
     counted = (
-        df.filter(F.col(column).isNotNull())
+        df.filter(F.col(column).isNotNull() & F.col(bin_column).isNotNull())
         .groupBy(bin_column, F.col(column).alias("v")).count())
-    quartile = lambda share: F.percentile("v", share, F.col("count"))
-    boxes = counted.groupBy(bin_column).agg(
-        F.sum("count").alias("rows"), quartile(0.25).alias("q1"),
-        quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
+    boxes = grouped_quantiles(counted, bin_column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return (
         counted.join(boxes, bin_column)
@@ -264,12 +294,16 @@ def box_summary(df: DataFrame, bin_column: str, column: str) -> DataFrame:
     )
 
 
-def kernel_density(df: DataFrame, column: str, group: str, points: int = 200) -> DataFrame:
+def kernel_density(df: DataFrame, column: str, group: str, points: int = 200,
+                   cells: int = DENSITY_CELLS) -> DataFrame:
     """Gaussian kernel density per group on an even grid from min to max.
 
     Bandwidth is the sample deviation times n**(-1/5); a group whose values are
-    all equal has none and is left out. Equal values are one row with a weight;
-    each then adds to every grid point, summed before the shuffle.
+    all equal has none and is left out. Values are first dealt to the two
+    neighbours in a fine even grid, in proportion to their nearness, so the
+    cost does not grow with the number of distinct values. With d the distance
+    of grid points and h the bandwidth, a density is off by 0.05 (d / h)**2 / h
+    at most.
     """
     counted = (
         df.filter(F.col(column).isNotNull())
@@ -281,15 +315,22 @@ def kernel_density(df: DataFrame, column: str, group: str, points: int = 200) ->
     n = F.col("rows")
     spread = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))
     stats = stats.filter(F.col("low") < F.col("high")).withColumn(
-        "bandwidth", spread * F.pow(n, F.lit(-0.2)))
+        "bandwidth", spread * F.pow(n, F.lit(-0.2))).drop("s1", "s2")
+    place = (v - F.col("low")) / (F.col("high") - F.col("low")) * (cells - 1)
+    cell = F.least(F.floor(place), F.lit(cells - 2))
+    sides = F.inline(F.array(
+        F.struct(cell.alias("cell"), (weight * (1 - (place - cell))).alias("share")),
+        F.struct((cell + 1).alias("cell"), (weight * (place - cell)).alias("share"))))
+    binned = counted.join(stats, group).select(*stats.columns, sides).groupBy(*stats.columns, "cell").agg(
+        F.sum("share").alias("share"))      # at most ``cells`` rows a group
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)
-    z = (x - v) / F.col("bandwidth")
+    at = F.col("low") + F.col("cell") * (F.col("high") - F.col("low")) / (cells - 1)
+    z = (x - at) / F.col("bandwidth")
     return (
-        counted.join(stats, group)
-        .select("*", grid)
+        binned.select("*", grid)
         .groupBy(group, "point", x.alias("x"))
-        .agg((F.sum(weight * F.exp(-0.5 * z * z))
+        .agg((F.sum(F.col("share") * F.exp(-0.5 * z * z))
               / F.first(n * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"))
     )
 

@@ -137,3 +137,29 @@ def test_equal_width_edges_need_a_value(spark):
     nothing = spark.createDataFrame([(None,)], "x double")
     with pytest.raises(ValueError, match="no values"):
         binning.equal_width_edges(nothing, "x", 4)
+
+
+def test_box_of_very_many_values_in_one_bin(spark):
+    """A million distinct values in one bin, a few in others, a null bin and null values."""
+    many = spark.range(1_000_000).select(F.lit(1).alias("bin"), (F.col("id") * 3 + 1).cast("double").alias("x"))
+    few = spark.createDataFrame([(2, 5.0), (3, 1.0), (3, 2.0), (3, 2.0), (3, 50.0), (None, 9.0), (2, None)], "bin int, x double")
+    box = binning.box_summary(many.unionByName(few), "bin", "x")
+    assert "percentile" not in box._jdf.queryExecution().toString().lower()
+    got = {r["bin"]: tuple(r)[1:] for r in box.collect()}
+    values = np.arange(1_000_000) * 3.0 + 1
+    assert got[1] == pytest.approx((1_000_000, *np.percentile(values, [25, 50, 75]), 1.0, values[-1]))
+    assert got[2] == (1, 5.0, 5.0, 5.0, 5.0, 5.0)
+    assert got[3] == pytest.approx((4, *np.percentile([1, 2, 2, 50], [25, 50, 75]), 1.0, 2.0)) and len(got) == 3
+
+
+def test_density_stays_within_its_bound(spark):
+    values = np.random.default_rng(4).gamma(2.0, 30.0, 2000)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", 1.0), ("c", None)], "g string, x double")
+    h = values.std(ddof=1) * len(values) ** -0.2
+    for cells in (512, binning.DENSITY_CELLS):
+        found = binning.kernel_density(df, "x", "g", 50, cells).collect()
+        assert {r["g"] for r in found} == {"a"} and len(found) == 50
+        bound = 0.05 * ((values.max() - values.min()) / (cells - 1) / h) ** 2 / h
+        for r in found:
+            exact = np.exp(-0.5 * ((r["x"] - values) / h) ** 2).sum() / (len(values) * h * np.sqrt(2 * np.pi))
+            assert abs(r["density"] - exact) <= bound + 1e-12
