@@ -2,11 +2,13 @@
 
 import os
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -55,6 +57,17 @@ def test_simhash_matches_brute_force(spark):
     assert [r["component_id"] for r in found] == [found[k]["doc_id"] for k in roots]
 
 
+def test_fingerprints_match_brute_force(spark):
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall())
+    for r in queries()["op1_simhash"](spark, SMALL).collect():
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r["doc_id"]] or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in shingles]
+        bits = [2 * sum(h >> b & 1 for h in hashes) > len(hashes) for b in range(64)]
+        assert r["fingerprint"] == f"{sum(1 << b for b, on in enumerate(bits) if on):016x}"
+
+
 @pytest.mark.parametrize("distance, confirm, most", [(4, None, 65536), (4, None, 40), (9, 14, 65536)])
 def test_links_of_a_dense_cloud(spark, distance, confirm, most):
     rng = random.Random(distance + most)
@@ -313,3 +326,20 @@ def test_pipeline_stages(spark):
         assert kept.columns == source.columns and kept.count() <= before.count()
     packed = corpus_pipeline.run(spark, SMALL)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and an empty table go through every stage."""
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    passage = " ".join(f"w{i}" for i in range(60)) + "."
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, passage, "en", "s", 1), (3, passage, "en", "s", 1),
+            (4, passage + " more", "de", None, 2), (None, passage, "en", "s", 3), (None, None, None, None, None),
+            (5, "long words here, " * 20_000, "fr", "s", 4)]
+    for docs_ in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        kept = docs_
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, kept, SMALL).collect()
+            assert len(found) <= kept.count(), name
+            kept = spark.createDataFrame(found, schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
