@@ -63,7 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder: one row per piece of a packed sequence.
+
+    Null texts count as empty. Rows with a null id are never dropped by the
+    classifier or as near duplicates, since nothing tells them apart. Rows that
+    repeat an id share every verdict. A document that is cut down to nothing
+    goes. An empty table gives no pieces. Columns beside id and text are
+    carried along unread.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
