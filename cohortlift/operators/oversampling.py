@@ -83,9 +83,16 @@ def _candidates(rings: DataFrame, pivots: int) -> DataFrame:
     """
     span = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
     spans = rings.select(CHUNK, "_cell", "radius", F.zip_with("low", "high", span).alias("span"))
+    # As few rows as there are pivots.
     cells = rings.groupBy("_cell").agg(
-        F.max("radius").alias("radius"),
-        F.array(*[span(F.min(F.col("low")[j]), F.max(F.col("high")[j])) for j in range(pivots)]).alias("span"))
+        F.max("radius").alias("radius"), F.array(*[F.min(F.col("low")[j]) for j in range(pivots)]).alias("low"),
+        F.array(*[F.max(F.col("high")[j]) for j in range(pivots)]).alias("high")).collect()
+    low, high = (np.array([r[side] for r in cells]) for side in ("low", "high"))
+    reaches = [r["radius"] * (1 + SLACK) + SLACK for r in cells]
+    near_cells = rings.sparkSession.createDataFrame([
+        (a["_cell"], cells[j]["_cell"]) for i, a in enumerate(cells)
+        for j in np.flatnonzero(((low - high[i] <= reaches[i]) & (low[i] - high <= reaches[i])).all(axis=1))
+    ], "_cell int, _other_cell int")
 
     def reaching(a: str, b: str) -> Column:
         """The ranges of ``a``, widened by its radius, meet those of ``b`` at every pivot."""
@@ -93,11 +100,6 @@ def _candidates(rings: DataFrame, pivots: int) -> DataFrame:
         return F.forall(F.zip_with(F.col(f"{a}.span"), F.col(f"{b}.span"), lambda p, q: (
             (q["low"] - p["high"] <= reach) & (p["low"] - q["high"] <= reach))), lambda meets: meets)
 
-    everywhere = F.lit(1).alias("_all")
-    near_cells = cells.select("*", everywhere).alias("a").join(
-        F.broadcast(cells.select("*", everywhere).alias("b")),     # MOST_PIVOTS rows at most
-        (F.col("a._all") == F.col("b._all")) & reaching("a", "b")).select(
-        F.col("a._cell").alias("_cell"), F.col("b._cell").alias("_other_cell"))
     return (
         spans.join(F.broadcast(near_cells), "_cell").alias("a")    # MOST_PIVOTS squared at most
         .join(spans.alias("b"), F.col("a._other_cell") == F.col("b._cell"))
