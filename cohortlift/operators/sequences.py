@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlift.operators.numbering import CHUNK, POSITION, in_chunks
-from cohortlift.operators.skew import is_heavy
+from cohortlift.operators.skew import HEAVY, Heavy, any_heavy, broadcast_checked, mark_heavy
 
 # Subscriptions in the order they were taken out; the id settles ties.
 BY_START = ["dt", "created_timestamp", "updated_timestamp", "subscription_id"]
@@ -24,15 +24,16 @@ def _ascending(order: list[str]) -> list[Column]:
     return [F.col(column).asc_nulls_first() for column in order]
 
 
-def _split_heavy(df: DataFrame, key: str, heavy: list, plain, chunked) -> DataFrame:
-    if not heavy:
+def _split_heavy(df: DataFrame, key: str, heavy: Heavy, plain, chunked) -> DataFrame:
+    if not any_heavy(heavy):
         return plain(df)
-    heavy_row = is_heavy(key, heavy)
-    return plain(df.filter(~heavy_row)).unionByName(chunked(df.filter(heavy_row)))
+    marked = mark_heavy(df, key, heavy)
+    part = lambda condition: marked.filter(condition).drop(HEAVY)
+    return plain(part(~F.col(HEAVY))).unionByName(chunked(part(F.col(HEAVY))))
 
 
 def with_next(df: DataFrame, key: str, order: list[str], nexts: dict[str, str],
-              default=None, heavy: list = ()) -> DataFrame:
+              default=None, heavy: Heavy = ()) -> DataFrame:
     """Add columns taken from the user's following row.
 
     ``nexts`` maps new column to source column. ``default`` stands in where
@@ -57,7 +58,7 @@ def with_next(df: DataFrame, key: str, order: list[str], nexts: dict[str, str],
         inside = Window.partitionBy(key, CHUNK).orderBy(POSITION)
         filled = (
             chunks.withColumn("_following", F.lead(values).over(inside))
-            .join(F.broadcast(heads), [key, CHUNK])
+            .join(broadcast_checked(heads), [key, CHUNK])
             .withColumn("_following", F.coalesce("_following", "_border"))
         )
         return filled.select(*df.columns, *[
@@ -66,11 +67,11 @@ def with_next(df: DataFrame, key: str, order: list[str], nexts: dict[str, str],
             for name in nexts
         ])
 
-    return _split_heavy(df, key, list(heavy), plain, chunked)
+    return _split_heavy(df, key, heavy, plain, chunked)
 
 
 def with_ordinal(df: DataFrame, key: str, order: list[str], name: str = "sub_rank",
-                 heavy: list = ()) -> DataFrame:
+                 heavy: Heavy = ()) -> DataFrame:
     """Number each user's rows 1, 2, ... in the given order."""
 
     def plain(rows: DataFrame) -> DataFrame:
@@ -90,11 +91,11 @@ def with_ordinal(df: DataFrame, key: str, order: list[str], name: str = "sub_ran
         inside = Window.partitionBy(key, CHUNK).orderBy(POSITION)
         return (
             chunks.withColumn("_inside", F.row_number().over(inside))
-            .join(F.broadcast(counts), [key, CHUNK])   # as many rows as above
+            .join(broadcast_checked(counts), [key, CHUNK])   # as many rows as above
             .select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
         )
 
-    return _split_heavy(df, key, list(heavy), plain, chunked)
+    return _split_heavy(df, key, heavy, plain, chunked)
 
 
 def first_per(df: DataFrame, key: str, *order: Column | str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlift.functions.expressions import (
     largest_offer, month_start, plan_length, same_text, subscriber_kind)
 from cohortlift.operators.features import feature_columns, fill_missing, with_week_sums
+from cohortlift.operators.skew import Heavy
 from cohortlift.plans.labels import experiment_labels
 from cohortlift.sources.tables import features_between
 
@@ -63,7 +64,7 @@ def training_frame(events: DataFrame, subscriptions: DataFrame, engagement: Data
                    event_features: DataFrame, begin: dt.date, end: dt.date, *,
                    cohort: str = DROPOUT_COHORT, country: str = "us",
                    subscription_type: str = "b2c", horizon: int = 42,
-                   window_days: int = 42, heavy: list | None = None) -> DataFrame:
+                   window_days: int = 42, heavy: Heavy | None = None) -> DataFrame:
     """Labelled users with categories, weekly features and 0/1 group columns."""
     users = user_cohort(cohort, subscriptions, country, subscription_type, begin, end)
     # Not a feature and differs per row kind, so the trial filter can come first.

@@ -9,7 +9,7 @@ from cohortlift.functions.expressions import days_from, name_like, or_far_future
 from cohortlift.operators.campaigns import WINBACK_NAMES
 from cohortlift.operators.intervals import starts_last_that_day
 from cohortlift.operators.sequences import BY_DATE, with_next
-from cohortlift.operators.skew import broadcast_checked
+from cohortlift.operators.skew import Heavy, broadcast_checked
 from cohortlift.plans.labels import heavy_users
 
 # Measure name and the event it counts, in report order.
@@ -37,7 +37,7 @@ def winback_campaigns(campaigns: DataFrame) -> DataFrame:
     )
 
 
-def subscription_sequence(subscriptions: DataFrame, heavy: list = ()) -> DataFrame:
+def subscription_sequence(subscriptions: DataFrame, heavy: Heavy = ()) -> DataFrame:
     """Subscriptions with the start, paid start and paid end of the next one."""
     return with_next(
         subscriptions.select(
@@ -93,7 +93,7 @@ def _event_days(events: DataFrame, winback: DataFrame) -> DataFrame:
 
 
 def campaign_funnel(events: DataFrame, campaigns: DataFrame, subscriptions: DataFrame,
-                    heavy: list | None = None) -> DataFrame:
+                    heavy: Heavy | None = None) -> DataFrame:
     """Eight event counts and the converted users, per campaign and arm.
 
     Every entry is matched to the subscriptions running on its day, and each

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlift.functions.expressions import days_from, or_far_future, voucher_discount
 from cohortlift.operators.campaigns import CONTROL, DROPOUT_NAMES, dropout_rollup
 from cohortlift.operators.sequences import BY_START, first_per, with_next
-from cohortlift.operators.skew import heavy_keys, join_spread
+from cohortlift.operators.skew import Heavy, heavy_keys, join_spread
 
 # Days after campaign entry within which a subscription counts. A value of its
 # own, apart from the horizon.
@@ -30,12 +30,12 @@ NEXTS = {
 }
 
 
-def heavy_users(subscriptions: DataFrame, given: list | None) -> list:
-    return heavy_keys(subscriptions, "hs_user_id") if given is None else list(given)
+def heavy_users(subscriptions: DataFrame, given: Heavy | None) -> Heavy:
+    return heavy_keys(subscriptions, "hs_user_id") if given is None else given
 
 
 def subscriptions_after_entry(rollup: DataFrame, subscriptions: DataFrame,
-                              window_days: int, heavy: list) -> DataFrame:
+                              window_days: int, heavy: Heavy) -> DataFrame:
     """Each user's subscriptions within the window after entry, nearest first.
 
     Next values look only at rows inside the window, so they are taken after
@@ -58,9 +58,9 @@ def subscriptions_after_entry(rollup: DataFrame, subscriptions: DataFrame,
 
 def nearest_after_entry(rollup: DataFrame, subscriptions: DataFrame,
                         window_days: int = ENTRY_WINDOW_DAYS,
-                        heavy: list = ()) -> DataFrame:
+                        heavy: Heavy = ()) -> DataFrame:
     """One row per user: the subscription closest after campaign entry."""
-    sequenced = subscriptions_after_entry(rollup, subscriptions, window_days, list(heavy))
+    sequenced = subscriptions_after_entry(rollup, subscriptions, window_days, heavy)
     return first_per(
         sequenced, "hs_user_id",
         days_from("canvas_entry_date", "dt"),
@@ -106,7 +106,7 @@ def experiment_labels(events: DataFrame, subscriptions: DataFrame, begin: dt.dat
                       end: dt.date, horizon: int = 42,
                       window_days: int = ENTRY_WINDOW_DAYS, *,
                       name_pattern: str = DROPOUT_NAMES, canvas_id=None,
-                      heavy: list | None = None) -> DataFrame:
+                      heavy: Heavy | None = None) -> DataFrame:
     """CN, TN, CR and TR users of the campaigns entered from begin to end.
 
     The campaign is chosen by name pattern, or by id if one is given.

@@ -10,7 +10,7 @@ from cohortlift.functions.expressions import (
 from cohortlift.operators.campaigns import CONTROL
 from cohortlift.operators.sequences import (
     BY_DATE, BY_PAID_START, BY_START, first_per, with_next, with_ordinal)
-from cohortlift.operators.skew import join_spread
+from cohortlift.operators.skew import Heavy, join_spread
 from cohortlift.plans.labels import heavy_users
 
 MIN_TENURE_DAYS = 28
@@ -19,7 +19,7 @@ RETURN_DAYS = 365
 
 
 def winback_target(rollup: DataFrame, subscriptions: DataFrame,
-                   subscription_type: str = "b2c", heavy: list | None = None) -> DataFrame:
+                   subscription_type: str = "b2c", heavy: Heavy | None = None) -> DataFrame:
     """Entries that fall between a cancellation and the next paid start.
 
     ``rollup`` is per (user, control or treatment). ``target`` is 1 when the
@@ -61,7 +61,7 @@ def winback_target(rollup: DataFrame, subscriptions: DataFrame,
 
 
 def paid_sequence(subscriptions: DataFrame, country: str = "us",
-                  subscription_type: str = "b2c", heavy: list = ()) -> DataFrame:
+                  subscription_type: str = "b2c", heavy: Heavy = ()) -> DataFrame:
     """Subscriptions of one market with next paid start and next voucher.
 
     The next paid start follows the order of paid starts, unpaid rows first;
@@ -79,7 +79,7 @@ def paid_sequence(subscriptions: DataFrame, country: str = "us",
 
 
 def last_lapse(rollup: DataFrame, sequenced: DataFrame, ended_from, ended_to,
-               min_tenure: int = MIN_TENURE_DAYS, heavy: list = ()) -> DataFrame:
+               min_tenure: int = MIN_TENURE_DAYS, heavy: Heavy = ()) -> DataFrame:
     """One row per user: the paid plan that ended closest before an entry."""
     ended = F.col("paid_subscription_end_date")
     # These tests concern the subscription alone and belong before the join.
@@ -97,7 +97,7 @@ def last_lapse(rollup: DataFrame, sequenced: DataFrame, ended_from, ended_to,
 
 def lapsed_users(rollup: DataFrame, subscriptions: DataFrame, ended_from, ended_to,
                  country: str = "us", subscription_type: str = "b2c",
-                 heavy: list | None = None) -> DataFrame:
+                 heavy: Heavy | None = None) -> DataFrame:
     """Last lapse per user with next paid start and voucher, for all reports."""
     heavy = heavy_users(subscriptions, heavy)
     sequenced = paid_sequence(subscriptions, country, subscription_type, heavy)

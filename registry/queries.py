@@ -21,7 +21,7 @@ from cohortlift.operators import binning, campaigns, features, oversampling
 from cohortlift.operators.intervals import join_running
 from cohortlift.operators.numbering import number_rows, use_checkpoint_folder
 from cohortlift.operators.sequences import BY_DATE, with_ordinal
-from cohortlift.operators.skew import heavy_keys
+from cohortlift.operators.skew import HEAVY_ROWS, Heavy, heavy_keys
 from cohortlift.plans import (
     calibration, delivery, engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
     uplift, winback)
@@ -37,15 +37,18 @@ TRAIN_END = dt.date(2000, 6, 30)
 MARKET = {"country": "us", "subscription_type": "b2c"}
 RUN_DATE = dt.date(2022, 6, 1)
 ENTRY_SINCE = dt.date(1996, 1, 1)
+# No user of the test data reaches the library's default; users with this many
+# subscriptions take the way of heavy ones in the queries named after them.
+MANY_ROWS = 8
 
 _heavy: dict = {}
 
 
-def _heavy_users(data: Fixtures) -> list:
+def _heavy_users(data: Fixtures, at_least: int = HEAVY_ROWS) -> Heavy:
     """Heavy users of a folder, looked up once per Spark application."""
-    key = (data.spark.sparkContext.applicationId, data.folder)
+    key = (data.spark.sparkContext.applicationId, data.folder, at_least)
     if key not in _heavy:
-        _heavy[key] = heavy_keys(data.subscriptions, "hs_user_id")
+        _heavy[key] = heavy_keys(data.subscriptions, "hs_user_id", at_least)
     return _heavy[key]
 
 
@@ -135,13 +138,17 @@ def events_by_variation(data):
 
 # ---- sequences and joins ---------------------------------------------------
 
-def forward_interval_nearest(data):
+def forward_interval_nearest(data, at_least=HEAVY_ROWS):
     return labels.nearest_after_entry(
-        _dropout_rollup(data), data.subscriptions, WINDOW, _heavy_users(data)
+        _dropout_rollup(data), data.subscriptions, WINDOW, _heavy_users(data, at_least)
     ).select("hs_user_id", "canvas_variation_name", "canvas_entry_date", "dt", "subscription_id",
              *labels.NEXTS)
 
 
+def forward_interval_nearest_heavy(data):
+    return forward_interval_nearest(data, MANY_ROWS)
+
+
 def _lapsed(data):
     return winback.lapsed_users(_winback_rollup(data), data.subscriptions, *LAPSED,
                                 heavy=_heavy_users(data), **MARKET)
@@ -166,14 +173,18 @@ def validity_interval_join(data):
         "next_paid_subscription_start_date")
 
 
-def next_subscription(data):
-    heavy = _heavy_users(data)
+def next_subscription(data, at_least=HEAVY_ROWS):
+    heavy = _heavy_users(data, at_least)
     sequenced = winback.paid_sequence(data.subscriptions, heavy=heavy, **MARKET)
     return with_ordinal(sequenced, "hs_user_id", BY_DATE, heavy=heavy).select(
         "hs_user_id", "subscription_id", "dt", "voucher_code", "next_voucher_code",
         "paid_subscription_start_date", "next_paid_subscription_start_date", "sub_rank")
 
 
+def next_subscription_heavy(data):
+    return next_subscription(data, MANY_ROWS)
+
+
 # ---- labels ----------------------------------------------------------------
 
 def experiment_labels(data):
@@ -188,10 +199,14 @@ def experiment_labels_by_campaign(data):
         heavy=_heavy_users(data))
 
 
-def winback_target(data):
+def winback_target(data, at_least=HEAVY_ROWS):
     return winback.winback_target(
         campaigns.winback_group_rollup(data.campaign_events), data.subscriptions,
-        heavy=_heavy_users(data))
+        heavy=_heavy_users(data, at_least))
+
+
+def winback_target_heavy(data):
+    return winback_target(data, MANY_ROWS)
 
 
 # ---- win-back reports ------------------------------------------------------
@@ -717,7 +732,7 @@ ALL = [
     delivered_batches, classification_report,
     threshold_curve, curve_areas, calibration_table, sigmoid_calibration, prepared_features, fold_sizes,
     oversampled_counts, uplift_identities, date_split, weeks_2_to_4, feature_neighbours, oversampled_training,
-    uplift_scores,
+    uplift_scores, forward_interval_nearest_heavy, next_subscription_heavy, winback_target_heavy,
 ]
 
 

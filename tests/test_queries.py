@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from cohortlift.sources.fixtures import Fixtures
 from conftest import SMALL, plan_of
 from registry import oracle, queries
 
@@ -65,3 +66,8 @@ def test_entry_has_the_label_columns(spark):
     assert df.columns == [
         "hs_user_id", "signup_date", "experiment_group", "discount_redeemed",
         "num_offers_20", "num_offers_30", "num_offers_40"]
+
+
+def test_some_users_are_heavy_in_the_queries_named_so(spark):
+    heavy = queries._heavy_users(Fixtures(spark, SMALL), queries.MANY_ROWS)
+    assert 0 < heavy.count() < Fixtures(spark, SMALL).subscriptions.select("hs_user_id").distinct().count()

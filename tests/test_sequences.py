@@ -49,6 +49,20 @@ def test_next_against_python(subs):
         (i, c or "") for i, c in expected)
 
 
+@pytest.mark.parametrize("default", [None, "none"])
+def test_heavy_users_in_a_frame(spark, subs, default):
+    """Heavy keys need not come to the driver; repeated, unknown and null ones do no harm."""
+    heavy = spark.createDataFrame([(1,), (3,), (3,), (77,), (None,)], "id long")
+    nexts = {"next_code": "code"}
+    assert rows(with_next(subs, "hs_user_id", ORDER, nexts, default)) == rows(
+        with_next(subs, "hs_user_id", ORDER, nexts, default, heavy=heavy))
+    assert rows(with_ordinal(subs, "hs_user_id", ORDER)) == rows(
+        with_ordinal(subs, "hs_user_id", ORDER, heavy=heavy))
+    few = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "hs_user_id long, variation string")
+    assert rows(join_spread(subs, few, "hs_user_id", "subscription_id", heavy)) == rows(
+        subs.join(few, "hs_user_id"))
+
+
 def test_ordinal_is_the_same_for_heavy_users(subs):
     assert rows(with_ordinal(subs, "hs_user_id", ORDER)) == rows(
         with_ordinal(subs, "hs_user_id", ORDER, heavy=[1, 2]))
@@ -61,11 +75,16 @@ def test_join_spread_is_a_join(spark, subs):
         subs.join(few, "hs_user_id"))
 
 
-def test_heavy_keys_counts_and_bound(subs):
-    assert heavy_keys(subs, "hs_user_id", at_least=300) == [1]
+def test_heavy_keys_counts(subs):
+    assert rows(heavy_keys(subs, "hs_user_id", at_least=300)) == [(1,)]
     assert heavy_keys(subs, "hs_user_id") == []
 
 
+def test_heavy_keys_have_no_cap(spark):
+    pairs = spark.range(5000).select((F.col("id") / 2).cast("long").alias("hs_user_id"))
+    assert heavy_keys(pairs, "hs_user_id", at_least=2).count() == 2500
+
+
 def test_first_per_limits_before_the_shuffle(subs):
     first = first_per(subs, "hs_user_id", F.col("dt").asc_nulls_last(), "subscription_id")
     plan = plan_of(first)
