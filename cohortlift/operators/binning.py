@@ -11,12 +11,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cohortlift.operators.numbering import CHUNK, POSITION, in_chunks
+from cohortlift.operators.order_statistics import order_statistics
 
-# Rank error of the sketch that brackets a quantile, as a share of the rows.
-SKETCH_ERROR = 1e-5
 # Grid points that values are dealt to before their density is taken.
 DENSITY_CELLS = 65_536
 
@@ -32,98 +30,33 @@ def interpolate(low: float, high: float, part: float) -> float:
     return float(low) if part == 0 else low + (high - low) * part
 
 
-def _merge(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    merged: list[tuple[float, float]] = []
-    for low, high in sorted(brackets):
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-        else:
-            merged.append((low, high))
-    return merged
+def quantile_edges_of(df: DataFrame, columns: list[str], q: int,
+                      duplicates: str = "raise") -> dict[str, list[float]]:
+    """Edges of ``q`` quantile bins per column, linearly interpolated between values.
 
-
-def values_at_ranks(values: DataFrame, rows: int, ranks: list[int]) -> dict[int, float]:
-    """Exact order statistics of a one-column frame ``v`` with ``rows`` rows.
-
-    A mergeable sketch brackets every rank; one pass then counts the rows per
-    bracket and per gap between brackets, keeping the values apart only inside
-    brackets. Ranks are found in those few values. Only the counts and the
-    answers reach the driver.
+    Repeated edges raise, or are dropped with ``duplicates="drop"``. All columns
+    are searched together, in a few passes; checkpoint ``df`` if it is costly.
     """
-    pad = 2 * SKETCH_ERROR * rows + 2
-    shares = sorted({
-        min(1.0, max(0.0, (rank + side * pad) / rows)) for rank in ranks for side in (-1, 1)})
-    approx = values.agg(
-        F.percentile_approx("v", shares, int(1 / SKETCH_ERROR)).alias("at"),
-        F.min("v").alias("low"), F.max("v").alias("high")).first()
-    at = dict(zip(shares, approx["at"]))
-    side_value = lambda rank, side: at[min(1.0, max(0.0, (rank + side * pad) / rows))]
-    found = _ranks_within(
-        values, ranks, _merge([(side_value(r, -1), side_value(r, 1)) for r in ranks]))
-    missed = [rank for rank in ranks if rank not in found]
-    if missed:   # outside its bracket: look among all values instead
-        found |= _ranks_within(values, missed, [(approx["low"], approx["high"])])
-    return found
-
-
-def _ranks_within(values: DataFrame, ranks: list[int],
-                  brackets: list[tuple[float, float]]) -> dict[int, float]:
-    # Cells alternate: 0 below the first bracket, 1 inside it, 2 the gap, ...
-    cell = F.lit(0)
-    for low, high in brackets:
-        cell = cell + (F.col("v") >= low).cast("int") + (F.col("v") > high).cast("int")
-    counted = (
-        values.withColumn("cell", cell)
-        .groupBy("cell", F.when(F.col("cell") % 2 == 1, F.col("v")).alias("v"))
-        .count()
-    )
-    sizes = {r["cell"]: r["n"] for r in counted.groupBy("cell").agg(F.sum("count").alias("n")).collect()}
-    wanted, before = [], 0
-    for index in range(2 * len(brackets) + 1):
-        size = sizes.get(index, 0)
-        if index % 2 == 1:
-            wanted += [(index, rank, rank - before) for rank in ranks if before <= rank < before + size]
-        before += size
-    if not wanted:
-        return {}
-    upto = (
-        Window.partitionBy("cell").orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # Inside one bracket: a few hundred-thousandths of the rows, ties counted once.
-    running = counted.filter(F.col("cell") % 2 == 1).withColumn("upto", F.sum("count").over(upto))
-    row = running.agg(*[
-        F.min(F.when((F.col("cell") == index) & (F.col("upto") > inside), F.col("v"))).alias(str(rank))
-        for index, rank, inside in wanted
-    ]).first()
-    return {rank: row[str(rank)] for _, rank, _ in wanted}
-
+    columns = list(dict.fromkeys(columns))
 
-def quantile_edges(df: DataFrame, column: str, q: int, duplicates: str = "raise") -> list[float]:
-    """Edges of ``q`` quantile bins, linearly interpolated between values.
+    def ranks_of(rows: int) -> list[int]:
+        return [min(rank + step, rows - 1) for rank, _ in quantile_ranks(rows, q) for step in (0, 1)]
 
-    Repeated edges raise, or are dropped with ``duplicates="drop"``. The column
-    is read several times; persist or checkpoint ``df`` if it is costly.
-    """
-    values = (
-        df.select(F.col(column).cast("double").alias("v"))
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        rows = values.count()
+    edges_of = {}
+    for column, (rows, value) in zip(columns, order_statistics(df, columns, ranks_of)):
         if rows == 0:
             raise ValueError(f"no values in {column!r} to take quantiles of")
-        positions = quantile_ranks(rows, q)
-        ranks = sorted({min(rank + step, rows - 1) for rank, _ in positions for step in (0, 1)})
-        value = values_at_ranks(values, rows, ranks)
-    finally:
-        values.unpersist()
-    edges = [interpolate(value[r], value[min(r + 1, rows - 1)], part) for r, part in positions]
-    distinct = sorted(set(edges))
-    if len(distinct) < len(edges) and duplicates == "raise":
-        raise ValueError(f"bin edges of {column!r} repeat: {edges}")
-    return distinct if duplicates == "drop" else edges
+        edges = [interpolate(value[r], value[min(r + 1, rows - 1)], part) for r, part in quantile_ranks(rows, q)]
+        distinct = sorted(set(edges))
+        if len(distinct) < len(edges) and duplicates == "raise":
+            raise ValueError(f"bin edges of {column!r} repeat: {edges}")
+        edges_of[column] = distinct if duplicates == "drop" else edges
+    return edges_of
+
+
+def quantile_edges(df: DataFrame, column: str, q: int, duplicates: str = "raise") -> list[float]:
+    """Edges of ``q`` quantile bins of one column, as in ``quantile_edges_of``."""
+    return quantile_edges_of(df, [column], q, duplicates)[column]
 
 
 # ---- equal-width edges -----------------------------------------------------

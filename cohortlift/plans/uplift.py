@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.functions.expressions import uplift
-from cohortlift.operators.binning import quantile_bins
+from cohortlift.operators.binning import assign_bins, quantile_edges_of
 from cohortlift.operators.features import CATEGORIES, feature_columns
 from cohortlift.operators.forests import Trees, flat_trees, scored_by_all, scored_by_own
 from cohortlift.operators.numbering import (
@@ -245,10 +245,9 @@ def score_users(frame: DataFrame, treatment: PropensityModel, control: Propensit
 def bin_scores(scored: DataFrame, columns: list[str] = ("uplift_score",), q: int = 10, *,
                falling: bool = False, duplicates: str = "raise") -> DataFrame:
     """Add ``{column}_bin`` by quantiles, numbered upward unless ``falling``."""
-    for column in columns:
-        scored = quantile_bins(scored, column, q, f"{column}_bin",
-                               falling=falling, duplicates=duplicates)
-    return scored
+    edges = quantile_edges_of(scored, columns, q, duplicates)
+    return scored.withColumns({
+        f"{column}_bin": assign_bins(column, edges[column], falling=falling) for column in edges})
 
 
 def score_table(scored: DataFrame, run_date: dt.date | None = None) -> DataFrame:

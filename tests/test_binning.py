@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlift.operators import binning
+from cohortlift.operators import binning, order_statistics
 from conftest import rows
 
 
@@ -51,19 +51,53 @@ def test_nulls_and_nans_get_no_bin(spark):
     assert got == [1, 1, 2, 2, None, None]
 
 
+def ranked(values, ranks):
+    return {rank: sorted(values)[rank] for rank in ranks}
+
+
 def test_ranks_beyond_the_sketch(spark, monkeypatch):
-    """A sketch that is wrong only costs a second look."""
-    values = frame(spark, [float(i % 50) for i in range(1000)]).select(F.col("x").alias("v"))
-    real = binning._ranks_within
-    calls = []
-
-    def misled(frame_, ranks, brackets):
-        calls.append(brackets)
-        return real(frame_, ranks, [(200.0, 300.0)] if len(calls) == 1 else brackets)
-
-    monkeypatch.setattr(binning, "_ranks_within", misled)
-    assert binning.values_at_ranks(values, 1000, [0, 499, 999]) == {0: 0.0, 499: 24.0, 999: 49.0}
-    assert len(calls) == 2
+    """A sketch that is wrong only costs further rounds."""
+    monkeypatch.setattr(order_statistics, "LISTED", 10)
+    real, calls = order_statistics._proposed, []
+
+    def misled(rows_, brackets):
+        calls.append(len(brackets))
+        return [[(45.0, 48.0)] for _ in brackets] if len(calls) == 1 else real(rows_, brackets)
+
+    monkeypatch.setattr(order_statistics, "_proposed", misled)
+    values = [float(i % 50) for i in range(1000)]
+    (rows_, found), = order_statistics.order_statistics(frame(spark, values), ["x"], lambda n: [0, 499, 999])
+    assert (rows_, found) == (1000, ranked(values, [0, 499, 999]))
+    assert len(calls) > 1
+
+
+def test_columns_together_in_rounds(spark, monkeypatch):
+    """Several columns, ties at every rank, few values listed: exact against sorting, no pass per column."""
+    monkeypatch.setattr(order_statistics, "LISTED", 20)
+    monkeypatch.setattr(order_statistics, "ACCURACY", 50)
+    pick, n = random.Random(17), 6000
+    a = [pick.gauss(0, 1) for _ in range(n)]
+    b = [0.5 if pick.random() < 0.7 else 10 ** pick.uniform(-300, 300) * pick.choice([-1, 1]) for _ in range(n)]
+    c = [None if pick.random() < 0.3 else float(pick.randint(0, 3000)) for _ in range(n)]
+    e = [float("nan")] * n
+    df = spark.createDataFrame(list(zip(a, b, c, e)), "a double, b double, c double, e double").repartition(7)
+    rounds, real = [], order_statistics._narrowed
+    monkeypatch.setattr(order_statistics, "_narrowed", lambda s, k: rounds.append(len(k)) or real(s, k))
+    ranks_of = lambda rows_: [rows_ * k // 10 - (k == 10) for k in range(11)]
+    got = order_statistics.order_statistics(df, ["a", "b", "c", "e"], ranks_of)
+    present = [v for v in c if v is not None]
+    for (rows_, found), values in zip(got, (a, b, present)):
+        assert rows_ == len(values) and found == ranked(values, ranks_of(rows_))
+    assert got[3] == (0, {})
+    assert rounds[0] == 3 and len(rounds) <= 6
+
+
+def test_edges_of_many_columns_are_those_of_each(spark):
+    df = frame(spark, draws(800)).withColumn("y", F.pow("x", 2))
+    both = binning.quantile_edges_of(df, ["x", "y", "x"], 7)
+    assert both == {"x": binning.quantile_edges(df, "x", 7), "y": binning.quantile_edges(df, "y", 7)}
+    with pytest.raises(ValueError):
+        binning.quantile_edges_of(df.withColumn("z", F.lit(None).cast("double")), ["x", "z"], 7)
 
 
 @pytest.mark.parametrize("values", [draws(500), [float(i) for i in range(366)], [4.0] * 5, [0.0, 0.0]])
