@@ -909,4 +909,6 @@ FROM points JOIN nearest USING (id)"""),
     }
     for name in ("forward_interval_nearest", "next_subscription", "winback_target"):
         sql[f"{name}_heavy"] = sql[name]    # the way of heavy users must not change a row
+    for name in ("training_frame", "scoring_frame"):
+        sql[f"{name}_bucketed"] = sql[name]
     return sql

@@ -25,7 +25,7 @@ from cohortlift.operators.skew import HEAVY_ROWS, Heavy, heavy_keys
 from cohortlift.plans import (
     calibration, delivery, engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
     uplift, winback)
-from cohortlift.sources import tables
+from cohortlift.sources import bucketed, tables
 from cohortlift.sources.fixtures import Fixtures
 
 BEGIN, END = dt.date(1990, 1, 1), dt.date(2010, 12, 31)
@@ -40,6 +40,7 @@ ENTRY_SINCE = dt.date(1996, 1, 1)
 # No user of the test data reaches the library's default; users with this many
 # subscriptions take the way of heavy ones in the queries named after them.
 MANY_ROWS = 8
+BUCKETS = 8
 
 _heavy: dict = {}
 
@@ -299,26 +300,47 @@ def median_week1(data):
     return engagement.median_week1(data.subscriptions, data.engagement_features, BEGIN, **MARKET)
 
 
-def _training(data):
+def _training(data, features_from=None):
+    engagement_features, event_features = features_from or (data.engagement_features, data.event_features)
     return frames.training_frame(
-        data.campaign_events, data.subscriptions, data.engagement_features, data.event_features,
+        data.campaign_events, data.subscriptions, engagement_features, event_features,
         BEGIN, END, horizon=HORIZON, window_days=WINDOW, heavy=_heavy_users(data), **MARKET)
 
 
-def _scoring(data):
+def _scoring(data, features_from=None):
+    engagement_features, event_features = features_from or (data.engagement_features, data.event_features)
     return frames.scoring_frame(
-        data.subscriptions, data.engagement_features, data.event_features, BEGIN, END, **MARKET)
+        data.subscriptions, engagement_features, event_features, BEGIN, END, **MARKET)
 
 
-def training_frame(data):
+def _bucketed_features(data):
+    """Both feature tables as bucketed tables of the catalog, loaded by name."""
+    loaded = []
+    for table, df in (("engagement_features", data.engagement_features), ("event_features", data.event_features)):
+        name = f"{table}_{uuid.uuid4().hex}"
+        bucketed.write_bucketed(df, name, BUCKETS, path=_folder(data.spark, name))
+        loaded.append(tables.load(data.spark, table, name=name))
+    return loaded
+
+
+def training_frame(data, features_from=None):
     groups = [f"experiment_group_{group}" for group in frames.GROUPS]
-    part = frames.feature_part(_training(data), ["experiment_group", "discount_redeemed", *groups])
+    part = frames.feature_part(
+        _training(data, features_from), ["experiment_group", "discount_redeemed", *groups])
     return part.withColumn(
         "split", F.when(F.col("signup_date") <= F.lit(TRAIN_END), "train").otherwise("test"))
 
 
-def scoring_frame(data):
-    return frames.feature_part(_scoring(data))
+def scoring_frame(data, features_from=None):
+    return frames.feature_part(_scoring(data, features_from))
+
+
+def training_frame_bucketed(data):
+    return training_frame(data, _bucketed_features(data))
+
+
+def scoring_frame_bucketed(data):
+    return scoring_frame(data, _bucketed_features(data))
 
 
 # ---- bins and distributions ------------------------------------------------
@@ -732,7 +754,7 @@ ALL = [
     delivered_batches, classification_report,
     threshold_curve, curve_areas, calibration_table, sigmoid_calibration, prepared_features, fold_sizes,
     oversampled_counts, uplift_identities, date_split, weeks_2_to_4, feature_neighbours, oversampled_training,
-    uplift_scores, forward_interval_nearest_heavy, next_subscription_heavy, winback_target_heavy,
+    uplift_scores, training_frame_bucketed, scoring_frame_bucketed, forward_interval_nearest_heavy, next_subscription_heavy, winback_target_heavy,
 ]
 
 
