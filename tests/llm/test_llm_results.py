@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -276,7 +277,32 @@ def test_differencing_of_pages_without_an_article(spark):
     assert found[9].startswith("Welcome")     # nothing to compare it with
 
 
-def test_common_lines_match_dynamic_programming():
+def test_common_lines_of_very_long_pages():
+    """100,000 lines out of four a page: a lower bound by matching line for line, and in order."""
+    rng = random.Random(5)
+    own, other = ([rng.randrange(4) for _ in range(100_000)] for _ in range(2))
+    began = time.process_time()
+    found = sorted(main_text.common_lines(own, other))
+    assert time.process_time() - began < 60     # 3 to 5 s; one step per equal pair would take hours
+    rest = iter(other)
+    assert all(own[i] in rest for i in found)
+    assert len(found) == main_text._common_lengths(own, other)[-1] >= sum(x == y for x, y in zip(own, other))
+
+
+def test_differencing_of_very_long_pages(spark):
+    cells = lambda n: "".join(f"<td>{k % 3}</td>" for k in range(n))
+    page = lambda a, n: f"<body><p>Welcome</p><table>{cells(n)}</table><p>{' '.join(a * 40000)}</p></body>"
+    rows = [(1, "https://h.org/a/1", page(["one"], 20_000)), (2, "https://h.org/a/2", page(["two"], 19_999))]
+    found = {r["page_id"]: r["text"] for r in main_text.main_text(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found[2] == " ".join(["two"] * 40000)
+    assert found[1] in {"\n\n".join([cell, " ".join(["one"] * 40000)]) for cell in "012"}
+
+
+@pytest.mark.parametrize("pairs", [main_text.PAIRS_A_LINE, 0])
+def test_common_lines_match_dynamic_programming(pairs, monkeypatch):
+    monkeypatch.setattr(main_text, "PAIRS_A_LINE", pairs)
+    monkeypatch.setattr(main_text, "KEPT_MASKS", 2)
     rng = random.Random(3)
     for _ in range(300):
         a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in range(2))
