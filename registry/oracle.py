@@ -467,6 +467,10 @@ def oracle_sql() -> dict[str, str]:
         "latest_date": _plain(
             "SELECT max(signup_date) AS signup_date FROM engagement", ENGAGEMENT),
         "available_dates": _plain("SELECT DISTINCT signup_date FROM engagement", ENGAGEMENT),
+        "latest_stored_date": _plain(
+            "SELECT max(signup_date) AS signup_date FROM engagement", ENGAGEMENT),
+        "stored_dates": _plain(
+            "SELECT signup_date, count(*) AS rows FROM engagement GROUP BY 1", ENGAGEMENT),
         "engagement_feature_range": _plain(
             "SELECT * FROM engagement WHERE signup_date"
             " BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'", ENGAGEMENT),

@@ -25,7 +25,7 @@ from cohortlift.operators.skew import HEAVY_ROWS, Heavy, heavy_keys
 from cohortlift.plans import (
     calibration, delivery, engagement, evaluation, export, frames, funnel, labels, takerate, tracking,
     uplift, winback)
-from cohortlift.sources import bucketed, tables
+from cohortlift.sources import bucketed, footers, tables
 from cohortlift.sources.fixtures import Fixtures
 
 BEGIN, END = dt.date(1990, 1, 1), dt.date(2010, 12, 31)
@@ -85,6 +85,19 @@ def available_dates(data):
     return tables.available_dates(data.engagement_features)
 
 
+def latest_stored_date(data):
+    path = _folder(data.spark, "engagement")
+    data.engagement_features.write.parquet(path)
+    return footers.latest_stored_date(data.spark, path)
+
+
+def stored_dates(data):
+    """From a folder divided by date."""
+    path = _folder(data.spark, "engagement_by_date")
+    export.write_scores(data.engagement_features, path)
+    return footers.stored_dates(data.spark, path)
+
+
 def engagement_feature_range(data):
     return tables.features_between(data.engagement_features, *FEATURE_RANGE)
 
@@ -754,7 +767,7 @@ ALL = [
     delivered_batches, classification_report,
     threshold_curve, curve_areas, calibration_table, sigmoid_calibration, prepared_features, fold_sizes,
     oversampled_counts, uplift_identities, date_split, weeks_2_to_4, feature_neighbours, oversampled_training,
-    uplift_scores, training_frame_bucketed, scoring_frame_bucketed, forward_interval_nearest_heavy, next_subscription_heavy, winback_target_heavy,
+    uplift_scores, latest_stored_date, stored_dates, training_frame_bucketed, scoring_frame_bucketed, forward_interval_nearest_heavy, next_subscription_heavy, winback_target_heavy,
 ]
 
 
