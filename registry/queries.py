@@ -152,15 +152,16 @@ def events_by_variation(data):
 
 # ---- sequences and joins ---------------------------------------------------
 
-def forward_interval_nearest(data, at_least=HEAVY_ROWS):
+def forward_interval_nearest(data, heavy=None):
     return labels.nearest_after_entry(
-        _dropout_rollup(data), data.subscriptions, WINDOW, _heavy_users(data, at_least)
+        _dropout_rollup(data), data.subscriptions, WINDOW,
+        _heavy_users(data) if heavy is None else heavy
     ).select("hs_user_id", "canvas_variation_name", "canvas_entry_date", "dt", "subscription_id",
              *labels.NEXTS)
 
 
 def forward_interval_nearest_heavy(data):
-    return forward_interval_nearest(data, MANY_ROWS)
+    return forward_interval_nearest(data, _heavy_users(data, MANY_ROWS))
 
 
 def _lapsed(data):
@@ -187,8 +188,8 @@ def validity_interval_join(data):
         "next_paid_subscription_start_date")
 
 
-def next_subscription(data, at_least=HEAVY_ROWS):
-    heavy = _heavy_users(data, at_least)
+def next_subscription(data, heavy=None):
+    heavy = _heavy_users(data) if heavy is None else heavy
     sequenced = winback.paid_sequence(data.subscriptions, heavy=heavy, **MARKET)
     return with_ordinal(sequenced, "hs_user_id", BY_DATE, heavy=heavy).select(
         "hs_user_id", "subscription_id", "dt", "voucher_code", "next_voucher_code",
@@ -196,7 +197,7 @@ def next_subscription(data, at_least=HEAVY_ROWS):
 
 
 def next_subscription_heavy(data):
-    return next_subscription(data, MANY_ROWS)
+    return next_subscription(data, _heavy_users(data, MANY_ROWS))
 
 
 # ---- labels ----------------------------------------------------------------
@@ -213,14 +214,14 @@ def experiment_labels_by_campaign(data):
         heavy=_heavy_users(data))
 
 
-def winback_target(data, at_least=HEAVY_ROWS):
+def winback_target(data, heavy=None):
     return winback.winback_target(
         campaigns.winback_group_rollup(data.campaign_events), data.subscriptions,
-        heavy=_heavy_users(data, at_least))
+        heavy=_heavy_users(data) if heavy is None else heavy)
 
 
 def winback_target_heavy(data):
-    return winback_target(data, MANY_ROWS)
+    return winback_target(data, _heavy_users(data, MANY_ROWS))
 
 
 # ---- win-back reports ------------------------------------------------------
