@@ -3,10 +3,10 @@
 A sentence is a bag of short character windows cut from its words. The kernel
 of two windows sums their common subsequences of three characters, each
 weighted down by the gaps it spans, so an insult with other characters put in
-keeps most of its value. Landmark windows are chosen from labelled sentences;
-a sentence's kernel values with the landmarks, whitened by the landmarks' own
-kernel matrix, are its features, and a linear SVM is trained on them. A
-document is as toxic as its worst sentence.
+keeps most of its value. Landmarks are strings from anywhere in the words of
+labelled texts; a sentence's kernel values with the landmarks, whitened by the
+landmarks' own kernel matrix, are its features, and a linear SVM is trained on
+them. A document is scored by the margins of its sentences alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,21 @@ from pyspark.sql import functions as F
 from cohortlift.llm.quality import held_out
 from cohortlift.llm.shared import text_of
 
-FIT_DOCS = 4_000      # labelled documents of each class to fit on, at most
+FIT_DOCS = 2_000      # labelled documents of each class to fit on, at most
+FIT_SENTENCES = 60_000  # clean sentences to fit on, the hardest ones, at most
 THRESHOLD = 0.3
 LANDMARKS = 40        # windows from toxic sentences, at most
 CLEAN_LANDMARKS = 8  # and common ones from the others
 WIDTH = 8             # characters in a window
-DECAY = 0.7           # per character that a subsequence spans
-LETTERS_SHARED = 0.7  # of a landmark's letters; below that the kernel counts as zero
+DECAY = 0.5           # per character that a subsequence spans
+POWER = 6             # of the normalised kernel: a kernel again, small for chance likeness
+EDGE = " "            # marks where a word begins and ends
 CLEAN_SHARE = 0.25    # how often a landmark may be in clean documents, next to toxic ones
-MOST = 6.0            # of the sum of fourth powers over a sentence's words
-REMEMBERED = 600_000  # words whose values a worker keeps
+SHORTEST = 4          # characters of a landmark
+REMEMBERED = 400_000  # words whose values a worker keeps
 NOTHING, LETTER, UNLIKE = 0, 1, 2   # rows of no word, a single letter, a word like no landmark
+TRIPLES = np.array(list(combinations(range(WIDTH), 3)))   # places of a subsequence
+SPANNED = (DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1)).astype(np.float32)
 
 SENTENCE = re.compile(r"[.!?…\n]+(?=\s|$)|\n")
 EDGES = "\"'`´“”‘’«»()[]{}<>,.;:!?…*_~|#%&$^=+-/\\"
@@ -62,22 +67,26 @@ def words_of(sentence: str) -> list[str]:
     return out
 
 
-def windows(word: str, width: int = WIDTH) -> list[str]:
-    """All stretches of ``width`` characters; a shorter word is one."""
-    return [word] if len(word) <= width else [word[i:i + width] for i in range(len(word) - width + 1)]
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
 
 
-def _codes(strings: list[str]) -> np.ndarray:
-    """Code points, one row per string; no two fillers are alike."""
-    out = np.zeros((len(strings), WIDTH), np.int32)
-    for i, s in enumerate(strings):
-        out[i, :len(s)] = [ord(c) for c in s]
-    return out
-
+def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all stretches of ``WIDTH`` characters of words between their edges, and each word's first.
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    bits = np.where(codes > 0, np.uint64(1) << (codes % 61).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+    A word shorter than that is one stretch, filled up with zeros.
+    """
+    marked = [f"{EDGE}{word}{EDGE}" for word in words]
+    sizes = np.array([len(m) for m in marked], np.int64)
+    flat = np.concatenate([_codes("".join(marked)), np.zeros(WIDTH, np.int32)])
+    counts = np.maximum(sizes - WIDTH + 1, 1)
+    firsts = np.cumsum(counts) - counts
+    begins = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(words)), counts)
+    at = begins[own] + np.arange(len(own)) - firsts[own]
+    out = flat[at[:, None] + np.arange(WIDTH)]
+    out[np.arange(WIDTH)[None, :] >= sizes[own][:, None]] = 0
+    return out, firsts
 
 
 def _carried(reach: np.ndarray) -> np.ndarray:
@@ -102,104 +111,161 @@ def raw_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Landmarks:
+    """Strings to compare with, as a table from subsequences of three characters to their weights.
+
+    The kernel of two strings is the product of their weights, summed over all
+    subsequences, so a string meets every landmark by one look per triple of
+    places. Nothing is left out: a triple that no landmark holds adds zero.
+    """
+
     def __init__(self, strings: list[str]):
         self.strings = strings
-        self.codes = _codes(strings)
-        self.masks = _masks(self.codes)
-        self.need = np.ceil(np.bitwise_count(self.masks) * LETTERS_SHARED).astype(np.int64)
-        self.norms = np.sqrt(raw_kernel(self.codes, self.codes))
-
-    def values(self, strings: list[str]) -> np.ndarray:
-        """Normalised kernel of every string with every landmark."""
-        codes = _codes(strings)
-        masks, out = _masks(codes), np.zeros((len(strings), len(self.strings)), np.float32)
-        shared = np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.need[None, :]
-        norms = np.ones(len(strings), np.float32)
-        some = np.flatnonzero(shared.any(axis=1))
-        for a in range(0, len(some), 2_000):
-            at = some[a:a + 2_000]
-            norms[at] = np.sqrt(raw_kernel(codes[at], codes[at]))
-        row, column = np.nonzero(shared & (norms > 0)[:, None])
-        for a in range(0, len(row), 2_000):
-            r, c = row[a:a + 2_000], column[a:a + 2_000]
-            out[r, c] = raw_kernel(codes[r], self.codes[c]) / (norms[r] * self.norms[c])
+        codes = np.zeros((len(strings), WIDTH), np.int32)
+        for i, string in enumerate(strings):
+            codes[i, :len(string)] = _codes(string)
+        self.codes = codes
+        self.letters = np.unique(codes[codes > 0])
+        size = len(self.letters) + 1
+        first, second, third = self._triples(codes)
+        at, place = np.nonzero((first > 0) & (second > 0) & (third > 0))
+        first, second, third = (x[at, place] for x in (first, second, third))
+        # Two tables: of two characters to the pair's number, of pair and third character to the triple's.
+        self.pairs = np.zeros(size * size, np.int32)
+        pair = np.unique(first * size + second)
+        self.pairs[pair] = np.arange(1, len(pair) + 1)
+        number = self.pairs[first * size + second] * size + third
+        triple = np.unique(number)
+        self.triples = np.zeros((len(pair) + 1) * size, np.int32)
+        self.triples[triple] = np.arange(1, len(triple) + 1)
+        self.weights = np.zeros((len(triple) + 1, len(strings)), np.float32)
+        np.add.at(self.weights, (self.triples[number], at), SPANNED[place])
+        self.weights /= np.maximum(np.sqrt(raw_kernel(codes, codes)), 1e-9)[None, :]
+
+    def _triples(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the characters at the three places: from 1 for those of landmarks, 0 for others."""
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        letters = np.where(self.letters[at] == codes, at + 1, 0)
+        return [letters[:, TRIPLES[:, k]] for k in range(3)]
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """Normalised kernel of every string with every landmark, to the power of ``POWER``."""
+        out = np.zeros((len(codes), len(self.strings)), np.float32)
+        size = len(self.letters) + 1
+        for a in range(0, len(codes), 2_000):
+            part = codes[a:a + 2_000]
+            first, second, third = self._triples(part)
+            found = self.triples[self.pairs[first * size + second] * size + third]
+            row, place = np.nonzero(found)
+            if not len(row):
+                continue
+            weights = self.weights[found[row, place]]
+            weights *= SPANNED[place][:, None]
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            some = row[starts]
+            norms = np.sqrt(raw_kernel(part[some], part[some]))
+            out[a + some] = (np.add.reduceat(weights, starts, axis=0) / norms[:, None]) ** POWER
         return out
 
     def word_values(self, words: list[str]) -> np.ndarray:
         """The largest value over each word's windows."""
-        cut = [windows(w) for w in words]
-        flat = [w for c in cut for w in c]
-        if not flat:
+        if not words:
             return np.zeros((0, len(self.strings)), np.float32)
-        unique = list(dict.fromkeys(flat))
-        slot = {w: i for i, w in enumerate(unique)}
-        values = self.values(unique)[[slot[w] for w in flat]]
-        return np.maximum.reduceat(values, np.cumsum([0, *map(len, cut)])[:-1], axis=0)
+        codes, firsts = windows(words)
+        return np.maximum.reduceat(self.values(codes), firsts, axis=0)
+
+
+def strings_in(word: str) -> set[str]:
+    """Everything a landmark could be: stretches of a word and its edges, from any place."""
+    word = f"{EDGE}{word}{EDGE}"
+    return {word[i:i + k] for k in range(SHORTEST, min(len(word), WIDTH) + 1) for i in range(len(word) - k + 1)}
+
+
+def _holders(texts: list[set[str]], cut: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Numbers of the strings in each text's words."""
+    nothing = np.zeros(0, np.int64)
+    return [np.unique(np.concatenate([nothing, *(cut[w] for w in words if w in cut)])) for words in texts]
 
 
 def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS,
                      common: int = CLEAN_LANDMARKS) -> list[str]:
-    """Windows that tell toxic documents apart, each for documents the others miss.
+    """Strings that tell toxic documents apart, each for documents the others miss.
 
-    Word beginnings and whole words count per document; greedily the one that
-    covers most toxic documents not covered yet and few clean ones. Among
+    Strings from any place in a word count once per document; greedily the one
+    that covers most toxic documents not covered yet and few clean ones. Among
     so many strings some fall on toxic documents by chance alone: a string must
     be in so many of them that not one in a hundred such tables has one like it.
     """
-    def strings(words: set[str]) -> set[str]:
-        return {w[:k] for w in words for k in range(4, min(len(w), WIDTH) + 1)}
-
-    in_clean: Counter[str] = Counter()
-    for words in clean:
-        in_clean.update(strings(words))
-    where: dict[str, list[int]] = {}
-    for i, words in enumerate(toxic):
-        for s in strings(words):
-            where.setdefault(s, []).append(i)
+    fewest = max(3, len(toxic) // 100)
+    # Strings of too few toxic documents get no number: a small table of sums by hash rules most out.
+    sums, numbers, cut = np.zeros(1 << 22, np.int64), {}, {}
+    often = Counter(word for words in toxic for word in words)
+    for word, k in often.items():
+        for s in strings_in(word):
+            sums[hash(s) % len(sums)] += k
+    for word in sorted(often):
+        at = [numbers.setdefault(s, len(numbers)) for s in sorted(strings_in(word))
+              if sums[hash(s) % len(sums)] >= fewest]
+        if at:
+            cut[word] = np.array(at, np.int64)
+    for word in set().union(*clean) - often.keys():
+        at = [numbers[s] for s in strings_in(word) if s in numbers]
+        if at:
+            cut[word] = np.array(at, np.int64)
+    held = _holders(toxic, cut)
+    in_clean = np.zeros(len(numbers), np.int64)
+    for at in _holders(clean, cut):
+        in_clean[at] += 1
+    in_toxic = np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(numbers))
     ratio = max(len(toxic), 1) / max(len(clean), 1)
     share = min(max(len(toxic) / max(len(toxic) + len(clean), 1), 1e-9), 1 - 1e-9)
-    least = math.log(100 * max(len(where), 1))
+    least = math.log(100 * max(int((in_toxic > 0).sum()), 1))
 
     def telling(k: int, m: int) -> bool:
         """k toxic and m clean documents: Chernoff's bound on that happening by chance."""
-        if k < max(3, len(toxic) // 100) or m * ratio > CLEAN_SHARE * k:
+        if k < fewest or m * ratio > CLEAN_SHARE * k:
             return False
         p = k / (k + m)
         gain = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if m else 0.0)
         return (k + m) * gain >= least
 
-    useful = {s: set(at) for s, at in where.items() if telling(len(at), in_clean[s])}
+    names = list(numbers)
+    useful = {i for i in np.flatnonzero(in_toxic >= fewest).tolist() if telling(int(in_toxic[i]), int(in_clean[i]))}
+    left: dict[int, set[int]] = {i: set() for i in useful}
+    for document, at in enumerate(held):
+        for i in at.tolist():
+            if i in useful:
+                left[i].add(document)
     found: list[str] = []
-    left = {s: set(at) for s, at in useful.items()}
     # Each document may be covered three times, so that every insult in use is seen.
     seen = Counter()
     while left and len(found) < most:
-        best = max(left, key=lambda s: (len(left[s]) - 2 * ratio * in_clean[s], len(s), s))
+        best = max(left, key=lambda i: (len(left[i]) - 2 * ratio * in_clean[i], len(names[i]), names[i]))
         if len(left[best]) < max(3, len(toxic) // 200):
             break
-        found.append(best)
-        for i in list(left.pop(best)):
-            seen[i] += 1
-            if seen[i] >= 3:
+        found.append(names[best])
+        for document in list(left.pop(best)):
+            seen[document] += 1
+            if seen[document] >= 3:
                 for at in left.values():
-                    at.discard(i)
-        for s in [s for s in left if s.startswith(best) or best.startswith(s)]:
-            del left[s]
-    plain = [s for s, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if len(s) >= 5]
-    return found + plain[:common]
+                    at.discard(document)
+        for i in [i for i in left if names[i] in names[best] or names[best] in names[i]]:
+            del left[i]
+    plain = [i for i in np.lexsort((np.array(names, object), -in_clean)).tolist()
+             if len(names[i]) > SHORTEST and in_clean[i]] if names else []
+    return found + [names[i] for i in plain[:common]]
 
 
 class Model:
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        k = landmarks.values(landmarks.strings).astype(float)
+        k = landmarks.values(landmarks.codes).astype(float)
         k = (k + k.T) / 2
         np.fill_diagonal(k, 1.0)
         roots, vectors = np.linalg.eigh(k)
         roots = np.maximum(roots, 0.05)
         self.whiten = vectors @ np.diag(roots ** -0.5) @ vectors.T
         self.weights, self.bias = np.zeros(2 * len(landmarks.strings)), 0.0
-        self.curve = np.zeros(len(landmarks.strings) + 3)
+        self.curve = np.zeros(3)
         self.forget()
 
     def forget(self) -> None:
@@ -290,8 +356,7 @@ class Model:
     def sentence_values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values of every sentence, and how many sentences each text has.
 
-        Of its words' values with a landmark, the largest and the sum of fourth powers,
-        in which only close matches count. Sentences without a word are left out. Words
+        Of its words' values with a landmark, the largest and the logarithm of their sum. Sentences without a word are left out. Words
         are those of ``words_of``.
         """
         if len(self.known) > REMEMBERED:
@@ -325,10 +390,8 @@ class Model:
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             to = own[starts]                                  # a sentence may go on in the next stretch
             out[to, :half] = np.maximum(out[to, :half], np.maximum.reduceat(piece, starts, axis=0))
-            np.square(piece, out=piece)
-            np.square(piece, out=piece)
             out[to, half:] += np.add.reduceat(piece, starts, axis=0)
-        np.minimum(out[:, half:], MOST, out=out[:, half:])
+        np.log1p(out[:, half:], out=out[:, half:])
         counts = np.bincount(np.array(owner, np.int64)[told], minlength=len(texts))
         return out[told], counts
 
@@ -336,34 +399,32 @@ class Model:
         return self._white(values) @ self.weights + self.bias
 
     def measures(self, texts: list[str]) -> np.ndarray:
-        """Largest sentence margin, logarithm of the positive ones' sum, and of close matches per landmark.
+        """Largest sentence margin, and the logarithm of the positive ones' sum.
 
-        -1 and zeros for a text without words.
+        -1 and zero for a text without words.
         """
         values, counts = self.sentence_values(texts)
-        margins, half = self.margins(values), len(self.landmarks.strings)
-        out, at = np.zeros((len(texts), half + 2)), 0
+        margins, at = self.margins(values), 0
+        out = np.zeros((len(texts), 2))
         out[:, 0] = -1.0
         for i, n in enumerate(counts.tolist()):
             if n:
                 own = margins[at:at + n]
-                out[i, 0] = max(own.max(), -3.0)
-                out[i, 1] = np.maximum(own, 0).sum()
-                out[i, 2:] = values[at:at + n, half:].sum(axis=0)
+                out[i] = own.max(), math.log1p(np.maximum(own, 0).sum())
             at += n
-        out[:, 1:] = np.log1p(out[:, 1:])
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.measures(texts) @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
-def fitted(toxic: list[str], clean: list[str]) -> Model | None:
+def fitted(toxic: list[str], clean: list[str], sentences: int = FIT_SENTENCES) -> Model | None:
     """A model from labelled texts.
 
     Which sentences of a toxic text are the toxic ones is found in turns:
     first those that hold a landmark, then those that the model itself ranks
-    above its clean sentences, and each text's worst in any case.
+    above its clean sentences, and each text's worst in any case. Of the clean
+    sentences, the ``sentences`` most like a landmark take part.
     """
     if not toxic or not clean:
         return None
@@ -374,7 +435,7 @@ def fitted(toxic: list[str], clean: list[str]) -> Model | None:
     bad, bad_counts = model.sentence_values(toxic)
     good, _ = model.sentence_values(clean)
     half = len(strings)
-    good = good[np.argsort(-good[:, :half].max(axis=1), kind="stable")[:60_000]]   # the hardest clean sentences
+    good = good[np.argsort(-good[:, :half].max(axis=1), kind="stable")[:sentences]]   # the hardest ones
     owner = np.repeat(np.arange(len(toxic)), bad_counts)
     told = len(strings) - min(CLEAN_LANDMARKS, len(strings))
     rank = bad[:, :told].max(axis=1) if told else bad.max(axis=1)
@@ -424,7 +485,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
 
     Fitted on at most ``most`` labelled documents of each class, chosen by
     hash; held-out rows take no part. Null and empty texts have no sentence
-    and get the lowest score of all. A null id is scored like any other and is
+    and are scored as if their only one lay on the clean margin. A null id is scored like any other and is
     not held out. Repeated rows get equal scores. Where a class has no
     labelled row, nothing can be learnt and every score is 0. An empty table
     gives an empty result. Other columns are not read.
