@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cohortlift.llm.quality import held_out
 from cohortlift.llm.shared import text_of
 
-FIT_DOCS = 2_000      # labelled documents of each class to fit on, at most
+FIT_DOCS = 1_000      # labelled documents of each class to fit on, at most
 FIT_SENTENCES = 60_000  # clean sentences to fit on, the hardest ones, at most
 THRESHOLD = 0.3
 LANDMARKS = 40        # windows from toxic sentences, at most
@@ -245,7 +245,7 @@ def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
         found.append(names[best])
         for document in list(left.pop(best)):
             seen[document] += 1
-            if seen[document] >= 3:
+            if seen[document] == 3:
                 for at in left.values():
                     at.discard(document)
         for i in [i for i in left if names[i] in names[best] or names[best] in names[i]]:
