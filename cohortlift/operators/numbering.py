@@ -19,6 +19,8 @@ CHUNK = "_chunk"
 POSITION = "_position"
 # monotonically_increasing_id() keeps the partition above bit 33.
 ROW_BITS = 33
+# Rows of a few hundred bytes that a task sorts, aggregates and puts in windows.
+ROWS_A_TASK = 500_000
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:
@@ -55,6 +57,16 @@ def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, rows_each: int = ROWS_A_TASK) -> int:
+    """As many tasks as leave each ``rows_each`` rows of ``df``, one per shuffle partition at least.
+
+    Adaptive execution joins partitions by their compressed bytes, which say
+    little about what sorting wide rows takes; partitions asked for by number
+    it leaves as they are, so a task's memory stays the same as tables grow.
+    """
+    return max(partition_count(df.sparkSession), -(-df.count() // rows_each))
+
+
 def in_chunks(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
     """Sort ``df`` into range chunks, adding ``_chunk`` and ``_position``.
 

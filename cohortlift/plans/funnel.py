@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cohortlift.functions.expressions import days_from, name_like, or_far_future
 from cohortlift.operators.campaigns import WINBACK_NAMES
 from cohortlift.operators.intervals import starts_last_that_day
+from cohortlift.operators.numbering import tasks_for
 from cohortlift.operators.sequences import BY_DATE, with_next
-from cohortlift.operators.skew import Heavy, broadcast_checked
+from cohortlift.operators.skew import Heavy, any_heavy, broadcast_checked
 from cohortlift.plans.labels import heavy_users
 
 # Measure name and the event it counts, in report order.
@@ -39,11 +40,12 @@ def winback_campaigns(campaigns: DataFrame) -> DataFrame:
 
 def subscription_sequence(subscriptions: DataFrame, heavy: Heavy = ()) -> DataFrame:
     """Subscriptions with the start, paid start and paid end of the next one."""
+    narrow = subscriptions.select(
+        "hs_user_id", "subscription_id", "dt", "free_trial_start_date",
+        "free_trial_end_date", "paid_subscription_start_date",
+        "paid_subscription_end_date")
     return with_next(
-        subscriptions.select(
-            "hs_user_id", "subscription_id", "dt", "free_trial_start_date",
-            "free_trial_end_date", "paid_subscription_start_date",
-            "paid_subscription_end_date"),
+        narrow if any_heavy(heavy) else narrow.repartition(tasks_for(narrow), "hs_user_id"),
         "hs_user_id", BY_DATE,
         {
             "next_subscription_start_date": "dt",
@@ -75,16 +77,21 @@ def _subscription_days(sequenced: DataFrame) -> DataFrame:
     )
 
 
-def _event_days(events: DataFrame, winback: DataFrame) -> DataFrame:
-    """Event counts per (user, campaign, arm, day), combined before the shuffle."""
+def _event_days(events: DataFrame, winback: DataFrame, tasks: int) -> DataFrame:
+    """Event counts per (user, campaign, arm, day).
+
+    Events go to tasks by user, campaign and day, so many events of one user
+    do not meet in one task, and a task counts a bounded number of them.
+    """
     variation = F.lower("canvas_variation_name")
     arm = F.when(variation != "control", "treatment").when(variation == "control", "control")
+    entered = events.filter(F.col("external_user_id").isNotNull()).select(
+        F.col("external_user_id").alias("hs_user_id"), "canvas_id", "canvas_name",
+        arm.alias("arm"), F.col("dt").alias("day"), "event_name")
     return (
-        events.filter(F.col("external_user_id").isNotNull())
+        entered.repartition(tasks, "hs_user_id", "canvas_id", "day")
         .join(winback.select("canvas_id", "created_date"), "canvas_id")
-        .groupBy(
-            F.col("external_user_id").alias("hs_user_id"), "canvas_id", "canvas_name",
-            "created_date", arm.alias("arm"), F.col("dt").alias("day"))
+        .groupBy("hs_user_id", "canvas_id", "canvas_name", "created_date", "arm", "day")
         .agg(*[
             F.count_if(F.col("event_name") == event).alias(measure)
             for measure, event in MEASURES.items()
@@ -106,12 +113,13 @@ def campaign_funnel(events: DataFrame, campaigns: DataFrame, subscriptions: Data
     winback = broadcast_checked(winback_campaigns(campaigns))
     starts = _subscription_days(
         subscription_sequence(subscriptions, heavy_users(subscriptions, heavy)))
-    days = _event_days(events, winback)
+    tasks = tasks_for(events)
+    days = _event_days(events, winback, tasks)
 
     start_state = F.struct("day", "after_next", "on_day", "on_day_next")
     timeline = days.withColumn("_state", F.lit(None)).unionByName(
         starts.select("hs_user_id", "day", start_state.alias("_state")),
-        allowMissingColumns=True)
+        allowMissingColumns=True).repartition(tasks, "hs_user_id")
     so_far = (
         Window.partitionBy("hs_user_id").orderBy("day", F.col("_state").isNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlift.functions.expressions import FAR_FUTURE
 from cohortlift.operators.campaigns import dropout_rollup, winback_group_rollup, winback_rollup
 from cohortlift.operators.intervals import join_running
+from cohortlift.operators.numbering import tasks_for
 from cohortlift.plans.funnel import MEASURES, campaign_funnel, subscription_sequence
 from cohortlift.plans.winback import winback_target
 from conftest import day, rows
@@ -77,6 +78,13 @@ def test_funnel_is_the_fan_out(events, campaigns_table, subs):
     assert got.first()["treatment_canvas_entries"] > 0 and got.first()["control_conversions"] > 0
 
 
+def test_funnel_tasks_grow_with_the_rows(spark, events, campaigns_table, subs):
+    assert tasks_for(spark.range(1000), 10) == 100 and tasks_for(spark.range(5), 10) == 8
+    plan = campaign_funnel(events, campaigns_table, subs, heavy=[])._jdf.queryExecution().executedPlan().toString()
+    # Subscriptions, events and the timeline: none is joined into larger partitions.
+    assert plan.count("REPARTITION_BY_NUM") >= 3
+
+
 def test_winback_target_default_covers_only_a_missing_row(spark):
     rollup = spark.createDataFrame(
         [(1, "control", day("2021-03-01")), (2, "treatment", day("2021-03-01"))],
