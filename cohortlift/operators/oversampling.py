@@ -185,14 +185,14 @@ def oversample(df: DataFrame, label: str, numbers: list[str], categories: list[s
     hashes of the point and the copy, so a repeated task repeats its rows.
     """
     features = [*numbers, *categories]
+    df = stored(df.select(*features, label))     # read four times, made once
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     if len(sizes) != 2:
         raise ValueError(f"{label!r} has {len(sizes)} classes, not two")
     rare = min(sizes, key=sizes.get)
     missing = max(sizes.values()) - sizes[rare]
-    plain = df.select(*features, label)
     if missing == 0:
-        return plain
+        return df
     if sizes[rare] <= k:
         raise ValueError(f"{sizes[rare]} rows with {label} = {rare} for {k} neighbours")
     minority = df.filter(F.col(label) == F.lit(rare)).select(
@@ -240,4 +240,4 @@ def oversample(df: DataFrame, label: str, numbers: list[str], categories: list[s
         for c in numbers
     ]
     synthetic = made.select(*between, *categories, F.lit(rare).cast(types[label]).alias(label))
-    return plain.unionByName(synthetic)
+    return df.unionByName(synthetic)

@@ -132,3 +132,19 @@ def test_refuses_what_it_cannot_do(spark, lopsided):
         oversample(lopsided.filter("label = 0"), "label", NUMBERS, CATEGORIES)
     level = spark.createDataFrame([(1, 1., "a", 0), (2, 1., "a", 1)], "x int, y double, c string, label int")
     assert oversample(level, "label", NUMBERS, CATEGORIES).count() == 2
+
+
+def test_the_frame_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return float(x)
+
+    df = spark.range(300).select(
+        counted("id").alias("x"), (F.col("id") % 7).cast("double").alias("y"),
+        (F.col("id") % 3).cast("string").alias("c"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    filled = oversample(df, "label", ["x", "y"], ["c"])
+    assert {r["label"]: r["count"] for r in filled.groupBy("label").count().collect()} == {0: 240, 1: 240}
+    assert made.value == 300
