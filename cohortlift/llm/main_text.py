@@ -1,10 +1,12 @@
 """Main text of web pages: page structure first, page differencing for the rest.
 
 A page is cut into blocks. Blocks in an element that says what it is (menus,
-footers, forms, comments and the like) go; blocks in a declared article stay.
-On pages that declare no article, what is left is decided by differencing:
-pages of a host are sorted by URL path, each is aligned with its neighbour by
-a longest common subsequence of blocks, and the shared blocks go.
+footers, forms, comments and the like) go, and where an article is declared,
+what lies outside of it. The rest is decided by differencing: the pages of a
+host are sorted by URL path, each is aligned with its nearest neighbour by a
+longest common subsequence of blocks, and the shared blocks go. Inside a
+declared article a shared block goes only if its place and a count over the
+host's pages confirm that it is the site's: articles may well share text.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import html as entities
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.shared import row_key, stored, text_of
+from cohortlift.llm.shared import portions, row_key, stored, text_of
 from cohortlift.operators.numbering import number_rows
 
 # Elements and names with a known meaning on web pages.
@@ -44,7 +47,9 @@ NAMES = frozenset((
     "sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets").split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-CONTENT, OPEN, FURNISHED = 0, 1, 2
+# Of an article: PLACED lies in an element for running text, CONTENT directly in a container.
+CONTENT, OPEN, FURNISHED, PLACED = 0, 1, 2, 3
+RUNNING = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 SAME_PAGE = 0.5   # a neighbour that shares more of a page's open words is a copy of it
 PAIRS_A_LINE = 32   # up to so many equal pairs a line are walked one by one
 KEPT_MASKS = 256    # places of so many frequent lines are kept while two pages are compared
@@ -83,12 +88,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
     held: list[str] = []
+    inside = ""      # the innermost block element, as far as text has shown
 
     def close_block() -> None:
         if held:
             text = BLANK.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append((text, stack[-1][1]))
+                status = stack[-1][1]
+                out.append((text, PLACED if status == CONTENT and inside in RUNNING else status))
             held.clear()
 
     at, end = 0, len(page)
@@ -106,6 +113,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             name = closing[1].lower() if closing else ""
             if name in BLOCKS:
                 close_block()
+                inside = ""
             elif name in NESTED and any(n == name for n, _ in stack) and stack[-1][1] == FURNISHED:
                 close_block()
             if name in NESTED:
@@ -128,6 +136,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         if name in BLOCKS:
             close_block()
+            inside = name
         if name in NESTED and not attributes.endswith("/"):
             status = _status(name, attributes, stack[-1][1])
             if status != stack[-1][1]:
@@ -225,59 +234,89 @@ def common_lines(own: list[int], other: list[int]) -> set[int]:
     return found
 
 
-def _kept(found: list[tuple[str, int]], shared: set[int]) -> list[str]:
-    if any(status == CONTENT for _, status in found):
-        return [text for text, status in found if status == CONTENT]
-    return [text for i, (text, status) in enumerate(found) if status == OPEN and i not in shared]
+def _kept(found: list[tuple[str, int]], gone: set[int]) -> list[str]:
+    """Texts of the declared article, or of a page that declares none, without the blocks that differencing took."""
+    wanted = _wanted([status for _, status in found])
+    return [text for i, (text, status) in enumerate(found) if status in wanted and i not in gone]
 
 
-def _undeclared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block hashes and word counts of pages that declare no article."""
-    for batch in batches:
-        at, lines, words = [], [], []
-        for k, page in enumerate(batch.column("html").to_pylist()):
+def _wanted(states: list[int]) -> tuple[int, ...]:
+    """The kinds of blocks of which a page's text is made."""
+    return (CONTENT, PLACED) if CONTENT in states or PLACED in states else (OPEN,)
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every page's block hashes, statuses, and words of the blocks that may be kept."""
+    for batch in portions(batches, "html"):
+        lines, states, words = [], [], []
+        for page in batch.column("html").to_pylist():
             found = blocks(page)
-            if any(s == CONTENT for _, s in found) or not any(s == OPEN for _, s in found):
-                continue
-            at.append(k)
+            wanted = _wanted([s for _, s in found])
             lines.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in found])
-            words.append([len(t.split()) if s == OPEN else 0 for t, s in found])
-        taken = batch.take(pa.array(at, pa.int64()))
+            states.append([s for _, s in found])
+            words.append([len(t.split()) if s in wanted else 0 for t, s in found])
         yield pa.RecordBatch.from_arrays(
-            [taken.column("key"), taken.column("host"), taken.column("path"),
-             pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))],
-            names=["key", "host", "path", "lines", "words"])
+            [batch.column("key"), batch.column("host"), batch.column("path"), pa.array(lines, pa.list_(pa.int64())),
+             pa.array(states, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))],
+            names=["key", "host", "path", "lines", "states", "words"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, host, place, line, state) of the kept kind of blocks that a page shares with its nearest neighbour.
+
+    Nearest is the one whose path begins alike for longer. A neighbour that
+    shares over half of the words is the same page again and tells nothing, so
+    the other one is asked.
+    """
     for batch in batches:
-        keys, shared = [], []
-        for key, lines, words, other in zip(*(batch.column(c).to_pylist() for c in ("key", "lines", "words", "other"))):
-            found = common_lines(lines, other or [])
-            if found and sum(words[i] for i in found) <= SAME_PAGE * sum(words):
-                keys.append(key)
-                shared.append(sorted(found))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array(shared, pa.list_(pa.int32()))], names=["key", "shared"])
+        out: dict[str, list] = {name: [] for name in ("key", "host", "place", "line", "state")}
+        for row in batch.to_pylist():
+            own, words = row["lines"], row["words"]
+            near = [(len(commonprefix([row["path"], row[f"path_{side}"]])), row[f"lines_{side}"])
+                    for side in ("after", "before") if row[f"lines_{side}"] is not None]
+            for _, other in sorted(near, key=lambda n: -n[0]):
+                found = common_lines(own, other)
+                if sum(words[i] for i in found) > SAME_PAGE * sum(words):
+                    continue
+                for i in sorted(i for i in found if words[i]):
+                    for name, value in zip(out, (row["key"], row["host"], i, own[i], row["states"][i])):
+                        out[name].append(value)
+                break
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
 def shared_blocks(pages: DataFrame) -> DataFrame:
-    """(key, shared): the blocks that undeclared pages share with their neighbour by URL."""
-    narrow = stored(pages.mapInArrow(
-        _undeclared, "key string, host string, path string, lines array<bigint>, words array<int>").distinct())
-    if narrow.isEmpty():
-        return narrow.select("key", F.lit(None).cast("array<int>").alias("shared"))
-    numbered, _ = number_rows(narrow, "host", "path", "key", name="place")
+    """(key, shared): the blocks of each page that differencing takes for the site's.
+
+    Every page is aligned with its neighbour by URL. Shared blocks of a page
+    that declares no article go. Those inside a declared article are checked:
+    one goes if it lies in no paragraph, heading, list item or the like, but
+    directly in a container, and if the host's pages mark the same text as
+    furniture more often than they have it in articles; else it is article
+    text that two pages share, or that an advert quotes.
+    """
+    profiles = stored(pages.mapInArrow(
+        _profiles, "key string, host string, path string, lines array<bigint>, states array<int>, words array<int>"
+    ).filter(F.size("lines") > 0).dropDuplicates(["key"]))
+    numbered, _ = number_rows(profiles, "host", "path", "key", name="place")
     numbered = stored(numbered)
-    after = numbered.select((F.col("place") - 1).alias("place"), F.col("host").alias("host_after"),
-                            F.col("lines").alias("lines_after"))
-    before = numbered.select((F.col("place") + 1).alias("place"), F.col("host").alias("host_before"),
-                             F.col("lines").alias("lines_before"))
-    paired = numbered.join(after, "place", "left").join(before, "place", "left").select(
-        "key", "lines", "words",
-        F.when(F.col("host_after") == F.col("host"), F.col("lines_after"))
-        .when(F.col("host_before") == F.col("host"), F.col("lines_before")).alias("other"))
-    return stored(paired.mapInArrow(_aligned, "key string, shared array<int>"))
+
+    def neighbour(side: str, step: int) -> DataFrame:
+        return numbered.select((F.col("place") + step).alias("place"), "host", F.col("path").alias(f"path_{side}"),
+                               F.col("lines").alias(f"lines_{side}"))
+
+    paired = numbered.join(neighbour("after", -1), ["place", "host"], "left").join(
+        neighbour("before", 1), ["place", "host"], "left")
+    shared = stored(paired.drop("place").mapInArrow(
+        _aligned, "key string, host string, place int, line bigint, state int"))
+    marked = profiles.select("host", F.explode(F.arrays_zip("lines", "states")).alias("b")).groupBy(
+        "host", F.col("b.lines").alias("line")).agg(
+        F.count_if(F.col("b.states") == FURNISHED).alias("furniture"),
+        F.count_if(F.col("b.states").isin(CONTENT, PLACED)).alias("declared")).filter("furniture > declared")
+    confirmed = shared.filter(F.col("state") == CONTENT).join(marked, ["host", "line"], "left_semi")
+    gone = shared.filter(F.col("state") == OPEN).select("key", "place").unionByName(confirmed.select("key", "place"))
+    return gone.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("shared"))   # a page's blocks
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -299,7 +338,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = keyed.select("page_id", "url", "html", "key").join(shared, "key", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "html"):
             texts = ["\n\n".join(_kept(blocks(page), set(gone or ())))
                      for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist())]
             yield pa.RecordBatch.from_arrays(

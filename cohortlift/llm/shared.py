@@ -11,11 +11,17 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_AT_ONCE = 1 << 20   # bytes
+
 _local_folder: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
@@ -92,6 +98,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = TEXT_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows, in order, in batches of at most ``most`` bytes of text, or of one row.
+
+    A batch of Spark's has 10,000 rows, whatever their length; as Python
+    strings all at once they would take several times its memory.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
+
 def row_key(*columns: str) -> Column:
     """A 128-bit key of a row's content, as a string.
 

@@ -369,3 +369,27 @@ def test_pipeline_of_odd_rows(spark):
             kept = spark.createDataFrame(found, schema)
         packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).collect()
         assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_differencing_decides_inside_articles(spark):
+    # Pages 1 and 2 have the site's line in their article, the other pages have it in a menu.
+    def page(text, line, menu=""):
+        return f"<nav>{menu}</nav><article><p>{text}</p><div>{line}</div><p>Both pages say this.</p></article>"
+
+    site, own = "More from our desk", "A word of its own"
+    texts = ["one two three four five six seven eight nine ten", "entirely other words in this article of the host here"]
+    html = [page(texts[0], site), page(texts[1], site), *(page(f"{w} " * 12, own, site) for w in ("three", "four", "five"))]
+    found = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(
+        [(k, f"http://a.org/p{k}", h) for k, h in enumerate(html, 1)], "page_id bigint, url string, html string")).collect()}
+    for k in (1, 2):     # the shared paragraph is article text, the line in a container is the site's
+        assert found[k] == f"{texts[k - 1]}\n\nBoth pages say this."
+    assert found[3] == f"{'three ' * 12}".strip() + f"\n\n{own}\n\nBoth pages say this."
+
+
+def test_a_copy_does_not_end_differencing(spark):
+    page = "<div>Site name and slogan</div><p>{}</p>"
+    bodies = ["a b c d e f g h i j k l"] * 2 + ["m n o p q r s t u v w x"]
+    found = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(
+        [(k, f"http://a.org/{k}", page.format(b)) for k, b in enumerate(bodies, 1)],
+        "page_id bigint, url string, html string")).collect()}
+    assert found[2] == bodies[1] and found[3] == bodies[2]
