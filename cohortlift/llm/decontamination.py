@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.shared import stored, text_of
+from cohortlift.llm.shared import portions, stored, text_of
 
 WORDS = 5
 SHARE = 0.8
@@ -157,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, shar
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, values)
-            for batch in batches:
+            for batch in portions(batches, "text"):
                 at, item, part = [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     for i, containment in items.matches(text, words, share):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.shared import row_key, stored, text_of
+from cohortlift.llm.shared import portions, row_key, stored, text_of
 
 LEAST = 40    # words of a run that counts as a repeat
 GRAM = 12     # words of a gram, at least
@@ -244,7 +244,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, size: int = GRAM, id_colu
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "_text"):
         texts, removed, words = [], [], []
         for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
             if not spans:

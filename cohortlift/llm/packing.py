@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.shared import stored
-from cohortlift.llm.tokens import encoder, in_portions, little_endian, record_batch, rows_to_encode
+from cohortlift.llm.shared import portions, stored
+from cohortlift.llm.tokens import encoder, little_endian, record_batch, rows_to_encode
 
 SEQUENCE = 2048
 BUCKETS = 1024          # of the hashed vector
@@ -74,18 +74,18 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_c
         mixed = (np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         bucket = (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
         sign = np.where(mixed >> np.uint64(63), 1.0, -1.0)
-        vectors = sign[:, None] * project[bucket]     # each id's share of the projection
-        for batch in batches:
-            names = batch.column(0)
-            for start, texts in in_portions(batch.column(1).to_pylist()):
-                held = [np.append(f, enc.kind(end_id)) for f in enc.encode(texts)]
-                places = np.array([vectors[ids].mean(axis=0) for ids in held]).reshape(-1, DIMENSIONS)
-                yield record_batch({
-                    "id": names.slice(start, len(texts)),
-                    "ids": pa.array([ids.tobytes() for ids in held], pa.binary()),
-                    "width": pa.array([ids.itemsize for ids in held], pa.int32()),
-                    "n": pa.array([len(ids) for ids in held], pa.int64()),
-                    **{f"v{k}": pa.array(places[:, k]) for k in range(DIMENSIONS)}})
+        vectors = (sign[:, None] * project[bucket]).T.copy()     # each id's share of the projection
+        for batch in portions(batches, "text"):
+            held = [np.append(f, enc.kind(end_id)) for f in enc.encode(batch.column("text").to_pylist())]
+            lengths = np.fromiter(map(len, held), np.int64, len(held))
+            flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), lengths)
+            places = [np.bincount(row, v[flat], len(held)) / lengths for v in vectors]
+            yield record_batch({
+                "id": batch.column("id"),
+                "ids": pa.array([ids.tobytes() for ids in held], pa.binary()),
+                "width": pa.array([ids.itemsize for ids in held], pa.int32()),
+                "n": pa.array(lengths),
+                **{f"v{k}": pa.array(place) for k, place in enumerate(places)}})
 
     rows = rows_to_encode(docs, id_column, text_column)
     kind = rows.schema["id"].dataType.simpleString()
@@ -118,31 +118,37 @@ def on_curve(rows: DataFrame) -> DataFrame:
         "v0", "v1", "v2", "v3", F.xxhash64("id", "n", "v0")).alias("key"))
 
 
-def _pieces_of(first: int, total: int, length: int, sequence: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence_id, offset) of a document that begins at place ``first``.
+class Sequences:
+    """Where places along the curve lie: full sequences, then the rest cut into powers of two, the largest first."""
 
-    ``total`` ids are packed altogether; what is left after the full sequences
-    is cut into powers of two, the largest first.
-    """
-    out, done = [], 0
-    full = total // sequence
-    tail, cuts, at = total - full * sequence, [], full * sequence
-    for bit in range(sequence.bit_length() - 1, -1, -1):
-        if tail >> bit & 1:
-            cuts.append((at, 1 << bit))
-            at += 1 << bit
-    while done < length:
-        place = first + done
-        if place < full * sequence:
-            number, offset, room = place // sequence, place % sequence, sequence - place % sequence
-        else:
-            k = max(i for i, (a, _) in enumerate(cuts) if a <= place)
-            number, offset = full + k, place - cuts[k][0]
-            room = cuts[k][1] - offset
-        take = min(room, length - done)
-        out.append((done, take, number, offset))
-        done += take
-    return out
+    def __init__(self, total: int, sequence: int):
+        self.total, self.sequence, self.full = total, sequence, total // sequence
+        tail, at = total % sequence, self.full * sequence
+        cuts = []
+        for bit in range(sequence.bit_length() - 1, -1, -1):
+            if tail >> bit & 1:
+                cuts.append(at)
+                at += 1 << bit
+        self.cuts = np.array([*cuts, total], np.int64)    # begin of each of the rest, and the end
+
+    def number(self, place: np.ndarray) -> np.ndarray:
+        rest = np.searchsorted(self.cuts, place, side="right") - 1
+        return np.where(place < self.full * self.sequence, place // self.sequence, self.full + rest)
+
+    def begin(self, number: np.ndarray) -> np.ndarray:
+        rest = np.clip(number - self.full, 0, len(self.cuts) - 1)
+        return np.where(number < self.full, number * self.sequence, self.cuts[rest])
+
+    def pieces(self, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, start, length, sequence_id, offset) of every piece of documents that begin at ``first``."""
+        lowest, highest = self.number(first), self.number(first + lengths - 1)
+        count = highest - lowest + 1
+        source = np.repeat(np.arange(len(first)), count)
+        number = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count) + lowest[source]
+        begin = self.begin(number)
+        a = np.maximum(begin, first[source])
+        b = np.minimum(self.begin(number + 1), (first + lengths)[source])
+        return source, a - first[source], b - a, number, a - begin
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUENCE,
@@ -185,30 +191,31 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQ
         before[number] = running
         running += sums[number]
 
+    places = Sequences(total, sequence)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, place = None, 0
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "n", "width")]
-            names, data = batch.column("id"), batch.column("ids")
-            source, out, ids = [], [], []
-            for k, (g, n, width) in enumerate(zip(*columns)):
-                if g != current:
-                    current, place = g, before[g]
-                own = np.frombuffer(data[k].as_py(), np.uint16 if width == 2 else np.uint32)
-                for piece in _pieces_of(place, total, n, sequence):
-                    out.append((*piece, n))
-                    ids.append(little_endian(own[piece[0]:piece[0] + piece[1]]))
-                    source.append(k)
-                place += n
-            start, length, number, offset, n = zip(*out) if out else ((),) * 5
+        for batch in portions(batches, "ids"):
+            grp, lengths = batch.column("grp").to_numpy(), batch.column("n").to_numpy()
+            begins = np.flatnonzero(np.diff(grp, prepend=grp[0] - 1))     # rows where a group begins
+            first = np.cumsum(lengths) - lengths
+            base = np.array([place if g == current else before[g] for g in grp[begins].tolist()], np.int64)
+            first += np.repeat(base - first[begins], np.diff(begins, append=len(grp)))
+            current, place = grp[-1], first[-1] + lengths[-1]
+            source, start, length, number, offset = places.pieces(first, lengths)
+            kind = np.uint16 if batch.column("width")[0].as_py() == 2 else np.uint32     # one tokenizer, one width
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind).astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(length)]) * 4      # pieces follow each other
             yield record_batch({
-                "id": names.take(pa.array(source, pa.int64())),
-                "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
-                "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(n, pa.int64()),
-                "sequence_id": pa.array(number, pa.int64()), "offset": pa.array(offset, pa.int64())})
+                "id": batch.column("id").take(pa.array(source)),
+                "start": pa.array(start), "length": pa.array(length),
+                "ids": pa.Array.from_buffers(pa.binary(), len(source), [
+                    None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)]),
+                "doc_tokens": pa.array(lengths[source]),
+                "sequence_id": pa.array(number), "offset": pa.array(offset)})
 
     # A row each of bounds and sums comes to the driver per group of 2 million ids.
-    moved = grouped.repartitionByRange(groups, "grp").sortWithinPartitions("grp", "key", "id", "ids")
+    moved = grouped.repartition(groups, "grp").sortWithinPartitions("grp", "key", "id", "ids")
     return moved.mapInArrow(pack, schema).withColumnRenamed("id", id_column)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.shared import stored, text_of
+from cohortlift.llm.shared import portions, stored, text_of
 
 FIT_ROWS = 40_000     # positives, and unlabelled texts, to fit on: at most so many of each
 THRESHOLD = 0.7
@@ -64,7 +64,7 @@ def features(text: str) -> list[float]:
 def featured(rows: DataFrame, keep: list[str], text_column: str) -> DataFrame:
     """``keep`` columns and ``features`` per row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             found = [features(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))],

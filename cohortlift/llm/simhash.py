@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.llm.components import components
-from cohortlift.llm.shared import stored, text_of
+from cohortlift.llm.shared import portions, stored, text_of
 
 BITS = 64
 # A bucket up to this size is one list in one task (16 bytes a member).
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int, id_column: str = "doc_id",
                  text_column: str = "text") -> DataFrame:
     """(id, fp, fp2) per row: the fingerprint, and a second independent one."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             pairs = []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, words)

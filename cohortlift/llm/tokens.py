@@ -12,8 +12,10 @@ after a space, and a line's first word has its line feed in front.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ ODD = re.compile("[\x1c-\x1f]")
 UNUSUAL = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 POINTS = ".,;:!?*%&#$|)"   # after a letter these are a token of their own, or several
 FIRST = "\0"   # marks a text's first word, which has no space in front
-REMEMBERED = 500_000      # pieces a worker keeps, about 100 MB
-TEXTS_AT_ONCE = 2_000_000  # characters
+REMEMBERED = 400_000      # pieces a worker keeps, about 80 MB
+ROW = 256                 # pieces encoded together
 
 _encoders: dict[str, Encoder] = {}
 
@@ -41,21 +43,16 @@ def pieces(text: str) -> list[str] | None:
     A word from a split at spaces stands for " " + word, unless it begins with
     a line feed or with ``FIRST``.
     """
-    if "\0" in text or ODD.search(text):
+    unusual = UNUSUAL.search(text)     # among them are the odd ones
+    if "\0" in text or unusual and ODD.search(text):
         return None
-    single = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                  or text[:1].isspace() or text[-1:].isspace() or UNUSUAL.search(text))
+    single = not (unusual or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+                  or text[:1].isspace() or text[-1:].isspace())
     if single and text:
         return (FIRST + text.replace("\n", " \n")).split(" ")
     return [FIRST + piece for piece in PIECE.findall(text)]
 
 
-def _spelled(word: str) -> str:
-    if word[0] == FIRST:
-        return word[1:]
-    return word if word[0] == "\n" else " " + word
-
-
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of every stretch, one after another."""
     ends = np.cumsum(lengths)
@@ -63,22 +60,21 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-class _Slots(dict):
-    """Piece to slot; an unknown piece gets the next slot and is noted."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        slot = self[piece] = len(self)
-        self.fresh.append(piece)
-        return slot
+def _flat(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of pieces seen before."""
+    """Encodes texts; remembers the ids of pieces seen before.
 
-    def __init__(self, path: str):
+    Of the pieces remembered, those go first that were not met again in a
+    later portion of texts than the one they were learned in.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        # A task has one core; threads of the tokenizer's own would hold
+        # memory and cores that other tasks count on.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
@@ -87,110 +83,111 @@ class Encoder:
         self.bytes_of = np.zeros(size, np.int64)     # byte-level: one character a byte
         for token, number in spelled.items():
             self.bytes_of[number] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.slots = _Slots()
+        self.remembered = remembered
+        self.slots: dict[str, int] = {}      # piece to slot, in the order of slots
         self.ids = np.zeros(1 << 16, self.kind)
         self.used = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
 
     def _room(self, slots: int, ids: int) -> None:
         while self.used + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while slots > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-
-    def _put(self, slots: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self._room(len(self.slots), len(ids))
+            for name in ("starts", "lengths", "again"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
+
+    def _put(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Give the next slots to pieces with these ids."""
+        first = len(self.slots)
+        self._room(first + len(pieces), len(ids))
+        self.slots.update(zip(pieces, range(first, first + len(pieces))))
         self.ids[self.used:self.used + len(ids)] = ids
-        self.starts[slots] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[slots] = lengths
+        self.starts[first:len(self.slots)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:len(self.slots)] = lengths
         self.used += len(ids)
 
-    def _learn(self) -> None:
+    def _trim(self) -> None:
+        """Keep the pieces met again, half of what may be remembered at most."""
+        keep = np.flatnonzero(self.again[:len(self.slots)])[:self.remembered // 2]
+        ids, lengths, names = self._gathered(keep), self.lengths[keep], list(self.slots)
+        names = list(map(names.__getitem__, keep.tolist()))
+        self.slots, self.used = {}, 0
+        self.again[:] = False
+        self._put(names, ids, lengths)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+    def _learn(self, fresh: set[str]) -> None:
         """Encode what is new. A word with points after it is put together from both."""
-        fresh, look = self.slots.fresh, self.slots.__getitem__
-        if not fresh:
-            return
-        whole, pairs, done = [], [], 0
-        while done < len(fresh):     # parts may be new themselves and join the list
-            piece = fresh[done]
-            done += 1
+        whole, pairs, stems, points = set(), [], [], []
+        for piece in fresh:
             stem = piece.rstrip(POINTS)
             if len(stem) == len(piece) or not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
-                whole.append(piece)
+                whole.add(piece)
             else:
-                pairs += (self.slots[piece], look(stem), look(FIRST + piece[len(stem):]))
-        fresh.clear()
-        slots = np.fromiter(map(look, whole), np.int64, len(whole))
-        spelled = list(map(_spelled, whole))
-        ids, lengths = self._encoded(spelled)
-        self._put(slots, ids, lengths)
+                pairs.append(piece)
+                stems.append(stem)
+                points.append(FIRST + piece[len(stem):])
+        whole.update(part for part in (*stems, *points) if part not in self.slots)
+        self._encode_new(whole)
         if pairs:
-            joined = np.array(pairs, np.int64).reshape(-1, 3)
-            parts = joined[:, 1:].ravel()
-            self._put(joined[:, 0], self._gathered(parts), self.lengths[parts].reshape(-1, 2).sum(axis=1))
+            parts = np.stack([self._places(stems), self._places(points)], axis=1)
+            self._put(pairs, self._gathered(parts.ravel()), self.lengths[parts].sum(axis=1))
 
-    def _encoded(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each piece); pieces after a space are encoded in rows.
+    def _encode_new(self, pieces: set[str]) -> None:
+        """Pieces that follow a space or begin a line are encoded in rows.
 
-        Joined pieces keep their ids, as the tokenizer cuts before such a
+        Joined pieces keep their ids, as the tokenizer cuts before such white
         space anyway; lengths in bytes tell which ids belong to which piece.
         """
-        rows, row, loose = [], [], []
-        for i, piece in enumerate(spelled):
-            if piece[0] == " " and len(piece) > 1 and not (piece[1].isspace() or piece[-1].isspace()):
-                row.append(i)
-                if len(row) == 256:
-                    rows.append(row)
-                    row = []
-            else:
-                loose.append(i)
-        if row:
-            rows.append(row)
-        texts = ["".join([spelled[i] for i in r]) for r in rows] + [spelled[i] for i in loose]
-        found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.zeros(len(spelled), np.int64)
-        order, parts = [], []
-        for r, ids in zip(rows, found):
-            ends = np.cumsum(self.bytes_of[ids])
-            sizes = np.cumsum([len(spelled[i].encode()) for i in r])
-            stops = np.searchsorted(ends, sizes) + 1
-            lengths[r] = np.diff(stops, prepend=0)
-            order += r
-            parts.append(ids)
-        for i, ids in zip(loose, found[len(rows):]):
-            lengths[i] = len(ids)
-            order.append(i)
-            parts.append(ids)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        # From the order of encoding to the order of the pieces.
-        order = np.array(order, np.int64)
-        own = lengths[order]
-        starts = np.empty(len(spelled), np.int64)
-        starts[order] = np.cumsum(own) - own
-        return flat[_ragged(starts, lengths)].astype(self.kind), lengths
+        spaced, lined, loose = [], [], []
+        for piece in pieces:
+            (loose if piece[0] == FIRST else lined if piece[0] == "\n" else spaced).append(piece)
+        for group, mark in ((spaced, " "), (lined, "\n")):
+            if not group:
+                continue
+            before = " " if mark == " " else ""
+            rows = [before + before.join(group[k:k + ROW]) for k in range(0, len(group), ROW)]
+            ids = _flat(self._encoded(rows), self.kind)
+            text = np.frombuffer("".join(rows).encode(), np.uint8)
+            ends = np.append(np.flatnonzero(text == ord(mark))[1:], len(text))
+            stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            self._put(group, ids, np.diff(stops, prepend=0))
+        found = self._encoded([piece[1:] for piece in loose])
+        self._put(loose, _flat(found, self.kind), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _gathered(self, slots: np.ndarray) -> np.ndarray:
         return self.ids[_ragged(self.starts[slots], self.lengths[slots])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        if len(self.slots) > REMEMBERED:
-            self.forget()
-        look = self.slots.__getitem__
-        cut = map(pieces, texts)
-        places = [None if c is None else np.fromiter(map(look, c), np.int64, len(c)) for c in cut]
-        self._learn()
-        out = []
-        for text, slots in zip(texts, places):
-            if slots is None:
+        if len(self.slots) > self.remembered:
+            self._trim()
+        known = len(self.slots)
+        cut = [pieces(text) for text in texts]
+        words = list(chain.from_iterable(c for c in cut if c))
+        slots = np.fromiter(map(self.slots.get, words, repeat(known)), np.int64, len(words))
+        self.again[slots[slots < known]] = True
+        unknown = np.flatnonzero(slots == known)
+        if len(unknown):
+            fresh = list(map(words.__getitem__, unknown.tolist()))
+            self._learn(set(fresh))
+            slots[unknown] = self._places(fresh)
+        ids, ends = self._gathered(slots), np.concatenate([[0], np.cumsum(self.lengths[slots])])
+        out, at = [], 0
+        for text, c in zip(texts, cut):
+            if c is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind))
                 continue
-            out.append(self._gathered(slots))
+            out.append(ids[ends[at]:ends[at + len(c)]])
+            at += len(c)
         return out
 
 
@@ -201,18 +198,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(first position, texts) of a few million characters each."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > TEXTS_AT_ONCE:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def little_endian(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 

@@ -8,13 +8,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cohortlift.llm import (
-    components, decontamination, line_dedup, main_text, packing, quality, simhash, tokens, wavelet)
+    components, decontamination, line_dedup, main_text, packing, quality, shared, simhash, tokens, wavelet)
 from cohortlift.llm.queries import oracle_sql, queries, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -393,3 +394,37 @@ def test_a_copy_does_not_end_differencing(spark):
         [(k, f"http://a.org/{k}", page.format(b)) for k, b in enumerate(bodies, 1)],
         "page_id bigint, url string, html string")).collect()}
     assert found[2] == bodies[1] and found[3] == bodies[2]
+
+
+def test_forgetting_keeps_ids_and_what_is_met_again():
+    own, whole = tokens.Encoder(tokenizer_path(), remembered=60), Tokenizer.from_file(tokenizer_path())
+    whole.encode_special_tokens = True
+    rng = random.Random(8)
+    for turn in range(20):
+        texts = [f"the house\nstands. {rng.random()}, " + " ".join(rng.choice("abc,.") * rng.randint(1, 9) for _ in range(9))
+                 for _ in range(5)]
+        for text, ids in zip(texts, own.encode(texts)):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        assert not turn or {"house", "\nstands."} <= own.slots.keys()
+
+
+def test_portions_hold_little_text():
+    texts = ["a" * 30, "", "b" * 90, None, "c" * 20, "d" * 25]
+    cut = [b.column("text").to_pylist() for b in shared.portions(
+        iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}).slice(0, 0),
+              pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]), "text", 50)]
+    assert cut == [texts[:2], [texts[2], None], texts[4:]]
+
+
+def test_pieces_fill_sequences():
+    rng = random.Random(2)
+    for total_docs in (1, 3, 20):
+        lengths = np.array([rng.randint(1, 40) for _ in range(total_docs)])
+        first, total = np.cumsum(lengths) - lengths, int(lengths.sum())
+        source, start, length, number, offset = packing.Sequences(total, 16).pieces(first, lengths)
+        held = [(n, o + k) for n, o, m in zip(number.tolist(), offset.tolist(), length.tolist()) for k in range(m)]
+        sizes = [16] * (total // 16) + [1 << b for b in (3, 2, 1, 0) if total >> b & 1]
+        assert held == [(n, o) for n, size in enumerate(sizes) for o in range(size)]
+        assert [k for k, m in zip(source.tolist(), length.tolist()) for _ in range(m)] == np.repeat(
+            np.arange(total_docs), lengths).tolist()
+        assert (start[np.flatnonzero(np.diff(source, prepend=-1))] == 0).all()
