@@ -413,7 +413,7 @@ def test_portions_hold_little_text():
     cut = [b.column("text").to_pylist() for b in shared.portions(
         iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}).slice(0, 0),
               pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]), "text", 50)]
-    assert cut == [texts[:2], [texts[2], None], texts[4:]]
+    assert cut == [texts[:2], [texts[2]], texts[3:]]
 
 
 def test_pieces_fill_sequences():
