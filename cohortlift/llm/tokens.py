@@ -6,8 +6,9 @@ once per worker and its ids are looked up afterwards. The ids are those of
 encoding the text whole.
 
 Most texts have single spaces and line feeds between words and nothing else.
-These are split at spaces, which is much faster; a word then stands for itself
-after a space, and a line's first word has its line feed in front.
+These are split at spaces by Arrow, which is much faster; a word then stands
+for itself after a space, and a line's first word has its line feed in front.
+Python sees each different word of a portion once.
 """
 
 from __future__ import annotations
@@ -19,47 +20,80 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from cohortlift.llm.shared import text_of
 
 PIECE = re.compile(r"\s*\S+|\s+")
 # White space to Python but not to the tokenizer: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
-UNUSUAL = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPACES = "\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# What a text split at spaces does not have, for Arrow: other spaces, two in a row, one at either end.
+NOT_SINGLE = f"[\0{SPACES}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 POINTS = ".,;:!?*%&#$|)"   # after a letter these are a token of their own, or several
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"   # letters to every Unicode version
 FIRST = "\0"   # marks a text's first word, which has no space in front
-REMEMBERED = 400_000      # pieces a worker keeps, about 80 MB
+REMEMBERED = 600_000      # pieces a worker keeps, about 100 MB
 ROW = 256                 # pieces encoded together
+AT_ONCE = 4 << 20         # bytes of text to encode at once: the more, the fewer times a word is looked up
 
 _encoders: dict[str, Encoder] = {}
 
 
 def pieces(text: str) -> list[str] | None:
-    """Words as described above; None if the text must be encoded whole.
+    """Words and the white space before them, of any text; None if it must be encoded whole.
 
-    A word from a split at spaces stands for " " + word, unless it begins with
-    a line feed or with ``FIRST``.
+    All are marked ``FIRST``, as they have their white space with them.
     """
-    unusual = UNUSUAL.search(text)     # among them are the odd ones
-    if "\0" in text or unusual and ODD.search(text):
+    if "\0" in text or ODD.search(text):
         return None
-    single = not (unusual or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                  or text[:1].isspace() or text[-1:].isspace())
-    if single and text:
-        return (FIRST + text.replace("\n", " \n")).split(" ")
     return [FIRST + piece for piece in PIECE.findall(text)]
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of all texts, where each text's words begin, and how many it has; -1 if it must be encoded whole.
+
+    A word from a split at spaces stands for " " + word, unless it begins with
+    a line feed or with ``FIRST``.
+    """
+    texts = texts.cast(pa.large_string())
+    other = pc.match_substring_regex(texts, NOT_SINGLE).to_numpy(zero_copy_only=False)
+    plain = texts.filter(pa.array(~other)) if other.any() else texts
+    lists = pc.split_pattern(pc.binary_join_element_wise(
+        pa.scalar(FIRST, pa.large_string()), pc.replace_substring(plain, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
+    words, counts = lists.flatten(), np.zeros(len(texts), np.int64)
+    counts[~other] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    begins = np.zeros(len(texts), np.int64)
+    begins[~other] = np.cumsum(counts[~other]) - counts[~other]
+    if other.any():
+        cut = [pieces(text) for text in texts.filter(pa.array(other)).to_pylist()]
+        sizes = np.array([-1 if c is None else len(c) for c in cut], np.int64)
+        counts[other], real = sizes, np.maximum(sizes, 0)
+        begins[other] = len(words) + np.cumsum(real) - real
+        words = pa.concat_arrays([words, pa.array(chain.from_iterable(c for c in cut if c), pa.large_string())])
+    return words, begins, counts
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of every stretch, one after another."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def _spelled() -> dict[int, str]:
+    """How a byte-level vocabulary spells each byte: visible characters stand for themselves."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [byte for byte in range(256) if byte not in seen]
+    return {byte: chr(byte) for byte in seen} | {byte: chr(256 + k) for k, byte in enumerate(rest)}
+
+
+SPELLED = _spelled()
+
+
 def _flat(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
@@ -90,6 +124,11 @@ class Encoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.again = np.zeros(1 << 16, bool)
+        self._put([""], self.ids[:0], np.zeros(1, np.int64))     # slot 0: what a piece without points has for them
+        # For runs of words of letters, spelled as in the vocabulary: the same model, but no search for words.
+        self.by_space = Tokenizer.from_file(path)
+        self.by_space.encode_special_tokens = True
+        self.by_space.pre_tokenizer = pre_tokenizers.Split(SPELLED[ord(" ")], "merged_with_next")
 
     def _room(self, slots: int, ids: int) -> None:
         while self.used + ids > len(self.ids):
@@ -111,6 +150,7 @@ class Encoder:
 
     def _trim(self) -> None:
         """Keep the pieces met again, half of what may be remembered at most."""
+        self.again[0] = True
         keep = np.flatnonzero(self.again[:len(self.slots)])[:self.remembered // 2]
         ids, lengths, names = self._gathered(keep), self.lengths[keep], list(self.slots)
         names = list(map(names.__getitem__, keep.tolist()))
@@ -121,73 +161,79 @@ class Encoder:
     def _places(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Encode what is new. A word with points after it is put together from both."""
-        whole, pairs, stems, points = set(), [], [], []
-        for piece in fresh:
-            stem = piece.rstrip(POINTS)
-            if len(stem) == len(piece) or not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
-                whole.add(piece)
-            else:
-                pairs.append(piece)
-                stems.append(stem)
-                points.append(FIRST + piece[len(stem):])
-        whole.update(part for part in (*stems, *points) if part not in self.slots)
-        self._encode_new(whole)
-        if pairs:
-            parts = np.stack([self._places(stems), self._places(points)], axis=1)
-            self._put(pairs, self._gathered(parts.ravel()), self.lengths[parts].sum(axis=1))
-
-    def _encode_new(self, pieces: set[str]) -> None:
+    def _encode_new(self, pieces: list[str]) -> None:
         """Pieces that follow a space or begin a line are encoded in rows.
 
         Joined pieces keep their ids, as the tokenizer cuts before such white
         space anyway; lengths in bytes tell which ids belong to which piece.
         """
-        spaced, lined, loose = [], [], []
-        for piece in pieces:
-            (loose if piece[0] == FIRST else lined if piece[0] == "\n" else spaced).append(piece)
-        for group, mark in ((spaced, " "), (lined, "\n")):
+        bare = pc.match_substring_regex(pa.array(pieces, pa.large_string()), f"^[{LETTER}]+$")
+        letters, spaced, lined, loose = [], [], [], []
+        for piece, plain in zip(pieces, bare.to_numpy(zero_copy_only=False).tolist()):
+            (letters if plain else loose if piece[0] == FIRST else lined if piece[0] == "\n" else spaced).append(piece)
+        for group, mark in ((letters, " "), (spaced, " "), (lined, "\n")):
             if not group:
                 continue
             before = " " if mark == " " else ""
             rows = [before + before.join(group[k:k + ROW]) for k in range(0, len(group), ROW)]
-            ids = _flat(self._encoded(rows), self.kind)
+            if group is letters:
+                spelled = [row.encode().decode("latin-1").translate(SPELLED) for row in rows]
+                ids = _flat(self._encoded(spelled, self.by_space), self.kind)
+            else:
+                ids = _flat(self._encoded(rows, self.tokenizer), self.kind)
             text = np.frombuffer("".join(rows).encode(), np.uint8)
             ends = np.append(np.flatnonzero(text == ord(mark))[1:], len(text))
             stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             self._put(group, ids, np.diff(stops, prepend=0))
-        found = self._encoded([piece[1:] for piece in loose])
+        found = self._encoded([piece[1:] for piece in loose], self.tokenizer)
         self._put(loose, _flat(found, self.kind), np.fromiter(map(len, found), np.int64, len(found)))
 
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str], tokenizer: Tokenizer) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _gathered(self, slots: np.ndarray) -> np.ndarray:
-        return self.ids[_ragged(self.starts[slots], self.lengths[slots])]
+        return self.ids[ragged(self.starts[slots], self.lengths[slots])]
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """Two slots for each word: its stem's and that of the points after it. What is new is learned."""
+        stems = pc.utf8_rtrim(words, POINTS)
+        pointed = pc.and_(pc.not_equal(stems, words), pc.match_substring_regex(stems, f"[{LETTER}]$"))
+        pointed = pc.and_not(pointed, pc.starts_with(words, "\n"))     # beginnings of lines are few, and kept whole
+        at = np.flatnonzero(pointed.to_numpy(zero_copy_only=False))
+        # to_numpy and tolist make strings faster than to_pylist
+        names = pc.if_else(pointed, stems, words).to_numpy(zero_copy_only=False).tolist()
+        whole = words.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        names += [FIRST + word[len(names[k]):] for k, word in zip(at.tolist(), whole)]
+        known = len(self.slots)
+        found = np.fromiter(map(self.slots.get, names, repeat(known)), np.int64, len(names))
+        self.again[found[found < known]] = True
+        unknown = np.flatnonzero(found == known)
+        if len(unknown):
+            fresh = list(map(names.__getitem__, unknown.tolist()))
+            self._encode_new(list(dict.fromkeys(fresh)))
+            found[unknown] = self._places(fresh)
+        out = np.zeros((len(words), 2), np.int64)
+        out[:, 0], out[at, 1] = found[:len(words)], found[len(words):]
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """The ids of every text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
         if len(self.slots) > self.remembered:
             self._trim()
-        known = len(self.slots)
-        cut = [pieces(text) for text in texts]
-        words = list(chain.from_iterable(c for c in cut if c))
-        slots = np.fromiter(map(self.slots.get, words, repeat(known)), np.int64, len(words))
-        self.again[slots[slots < known]] = True
-        unknown = np.flatnonzero(slots == known)
-        if len(unknown):
-            fresh = list(map(words.__getitem__, unknown.tolist()))
-            self._learn(set(fresh))
-            slots[unknown] = self._places(fresh)
-        ids, ends = self._gathered(slots), np.concatenate([[0], np.cumsum(self.lengths[slots])])
-        out, at = [], 0
-        for text, c in zip(texts, cut):
-            if c is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind))
-                continue
-            out.append(ids[ends[at]:ends[at + len(c)]])
-            at += len(c)
+        words, begins, counts = split(texts)
+        coded = words.dictionary_encode()
+        slots = self._slots(coded.dictionary)
+        # The different words' ids, the points' after the stem's, then those of all words.
+        lengths, ids = self.lengths[slots].sum(axis=1), self._gathered(slots.ravel())
+        each = coded.indices.to_numpy()
+        ids = ids[ragged((np.cumsum(lengths) - lengths)[each], lengths[each])]
+        ends = np.concatenate([[0], np.cumsum(lengths[each])])
+        out = [ids[a:b] for a, b in zip(ends[begins].tolist(), ends[begins + np.maximum(counts, 0)].tolist())]
+        for k in np.flatnonzero(counts < 0).tolist():
+            whole = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False)
+            out[k] = np.array(whole.ids, self.kind)
         return out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortlift.llm.files import make_folder, read_range, write_file
 from cohortlift.llm.shared import portions, shared_folder, shards_for, stored
-from cohortlift.llm.tokens import encoder, little_endian, record_batch, rows_to_encode
+from cohortlift.llm.tokens import AT_ONCE, encoder, little_endian, record_batch, rows_to_encode
 
 MAGIC = b"WVLTIDS1"
 BLOCK = 1 << 16
@@ -219,8 +219,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_column: str =
                 ("part", pa.int32()), ("number", pa.int32()), ("uri", pa.string()),
                 ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-        for batch in portions(batches, "text"):
-            for name, found in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+        for batch in portions(batches, "text", AT_ONCE):
+            for name, found in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text"))):
                 held.append(np.append(found, enc.kind(end_id)))
                 names.append(name)
                 size += len(held[-1])

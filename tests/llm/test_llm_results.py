@@ -428,3 +428,20 @@ def test_pieces_fill_sequences():
         assert [k for k, m in zip(source.tolist(), length.tolist()) for _ in range(m)] == np.repeat(
             np.arange(total_docs), lengths).tolist()
         assert (start[np.flatnonzero(np.diff(source, prepend=-1))] == 0).all()
+
+
+def test_words_are_learned_apart_from_their_points_and_asked_for_once(monkeypatch):
+    """Texts of every kind at once; words that come often cost one look-up, however many points follow."""
+    own, whole = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    whole.encode_special_tokens = True
+    texts = ["Home garden, garden. garden!! été, été. \u01c0\u01c0, \u0251b, x1. 7, 7", " garden,\tété", "", "a\x1d b",
+             "garden\ngarden, été", "e\u0301te\u0301, \u0120garden \u010a.", None] * 50
+    texts = [text or "" for text in texts]
+    asked = []
+    slots = own._slots
+    monkeypatch.setattr(own, "_slots", lambda words: asked.extend(words.to_pylist()) or slots(words))
+    for kind in (list, pa.array):
+        for text, ids in zip(texts, own.encode(kind(texts))):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(asked) == 2 * len(set(asked))
+    assert {"garden", "été"} <= own.slots.keys() and not {"garden,", "garden.", "garden!!", "été,"} & own.slots.keys()
