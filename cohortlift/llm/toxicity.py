@@ -15,7 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortlift.llm.quality import held_out
 from cohortlift.llm.shared import text_of
+from cohortlift.llm.tokens import ragged
 
 FIT_DOCS = 2_000      # labelled documents of each class to fit on, at most
 FIT_SENTENCES = 60_000  # clean sentences to fit on, the hardest ones, at most
@@ -36,9 +37,12 @@ POWER = 6             # of the normalised kernel: a kernel again, small for chan
 EDGE = " "            # marks where a word begins and ends
 CLEAN_SHARE = 0.25    # how often a landmark may be in clean documents, next to toxic ones
 SHORTEST = 4          # characters of a landmark
+AT_ONCE = 200         # documents
 REMEMBERED = 600_000  # words whose values a worker keeps
-NOTHING, LETTER, UNLIKE = 0, 1, 2   # rows of no word, a single letter, a word like no landmark
+NOTHING, LETTER, WORDS = 0, 1, 2    # rows of no word, a single letter, and of words from there on
 TRIPLES = np.array(list(combinations(range(WIDTH), 3)))   # places of a subsequence
+PAIRS = np.array(list(combinations(range(WIDTH), 2)))
+PAIR_OF = np.array([PAIRS.tolist().index([a, b]) for a, b, _ in TRIPLES.tolist()])    # of a triple's first two places
 SPANNED = (DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1)).astype(np.float32)
 
 SENTENCE = re.compile(r"[.!?…\n]+(?=\s|$)|\n")
@@ -137,33 +141,59 @@ class Landmarks:
         triple = np.unique(number)
         self.triples = np.zeros((len(pair) + 1) * size, np.int32)
         self.triples[triple] = np.arange(1, len(triple) + 1)
-        self.weights = np.zeros((len(triple) + 1, len(strings)), np.float32)
-        np.add.at(self.weights, (self.triples[number], at), SPANNED[place])
-        self.weights /= np.maximum(np.sqrt(raw_kernel(codes, codes)), 1e-9)[None, :]
+        weights = np.zeros((len(triple) + 1, len(strings)), np.float32)
+        np.add.at(weights, (self.triples[number], at), SPANNED[place])
+        weights /= np.maximum(np.sqrt(raw_kernel(codes, codes)), 1e-9)[None, :]
+        # Of a triple's weights most are zero: its landmarks and their weights, one triple after another.
+        holds, self.which = np.nonzero(weights)
+        self.weights = weights[holds, self.which]
+        self.held = np.bincount(holds, minlength=len(weights))
+        self.begins = np.cumsum(self.held) - self.held
+        self.norms: dict[int, np.float32] = {}
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the characters: from 1 for those of landmarks, 0 for others."""
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0).astype(np.int32)
 
     def _triples(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Numbers of the characters at the three places: from 1 for those of landmarks, 0 for others."""
-        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-        letters = np.where(self.letters[at] == codes, at + 1, 0)
+        """Numbers of the characters at the three places."""
+        letters = self._letters(codes)
         return [letters[:, TRIPLES[:, k]] for k in range(3)]
 
+    def _norms(self, codes: np.ndarray) -> np.ndarray:
+        """Each string's kernel with itself, its root: that depends only on which of its characters are alike."""
+        alike = (codes[:, :, None] == codes[:, None, :]).argmax(axis=2)
+        alike[codes == 0] = WIDTH
+        pattern, first, own = np.unique(alike @ (WIDTH + 1) ** np.arange(WIDTH), return_index=True, return_inverse=True)
+        pattern = pattern.tolist()
+        new = [k for k, p in enumerate(pattern) if p not in self.norms]
+        if new:
+            some = codes[first[new]]
+            self.norms.update(zip([pattern[k] for k in new], np.sqrt(raw_kernel(some, some))))
+        return np.array([self.norms[p] for p in pattern], np.float32)[own]
+
     def values(self, codes: np.ndarray) -> np.ndarray:
         """Normalised kernel of every string with every landmark, to the power of ``POWER``."""
-        out = np.zeros((len(codes), len(self.strings)), np.float32)
+        width = len(self.strings)
+        out = np.zeros((len(codes), width), np.float32)
         size = len(self.letters) + 1
         for a in range(0, len(codes), 2_000):
             part = codes[a:a + 2_000]
-            first, second, third = self._triples(part)
-            found = self.triples[self.pairs[first * size + second] * size + third]
+            letters = self._letters(part)
+            pairs = self.pairs[letters[:, PAIRS[:, 0]] * size + letters[:, PAIRS[:, 1]]] * size
+            found = self.triples[pairs[:, PAIR_OF] + letters[:, TRIPLES[:, 2]]]
             row, place = np.nonzero(found)
             if not len(row):
                 continue
-            weights = self.weights[found[row, place]]
-            weights *= SPANNED[place][:, None]
-            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            some = row[starts]
-            norms = np.sqrt(raw_kernel(part[some], part[some]))
-            out[a + some] = (np.add.reduceat(weights, starts, axis=0) / norms[:, None]) ** POWER
+            triple = found[row, place]
+            held = self.held[triple]
+            entry, row = ragged(self.begins[triple], held), np.repeat(row, held)
+            sums = out[a:a + len(part)].reshape(-1)
+            np.add.at(sums, row * width + self.which[entry], self.weights[entry] * np.repeat(SPANNED[place], held))
+            at = np.flatnonzero(sums)
+            some, own = np.unique(at // width, return_inverse=True)
+            sums[at] = (sums[at] / self._norms(part[some])[own]) ** POWER
         return out
 
     def word_values(self, words: list[str]) -> np.ndarray:
@@ -271,11 +301,43 @@ class Model:
     def forget(self) -> None:
         self.known: dict[str, int] = {}      # tokens as written: their row of the table
         self.rows: dict[str, int] = {}       # bare words: their row
-        self.table = np.zeros((UNLIKE + 1, len(self.landmarks.strings)), np.float16)
-        self.used = UNLIKE + 1               # rows of the table in use
+        # Of a row's values most are zero: its landmarks and their values, one row after another.
+        self.used, self.entries = WORDS, 0   # rows and entries in use
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)     # rows met again in a later portion than they were learned in
+        self.which, self.value = np.zeros(1 << 18, np.uint8), np.zeros(1 << 18, np.float16)
+
+    def _put(self, sizes: np.ndarray, which: np.ndarray, value: np.ndarray) -> None:
+        """Give the next rows these entries."""
+        rows, entries = self.used + len(sizes), self.entries + len(value)
+        for end, names in ((rows, ("starts", "sizes", "again")), (entries, ("which", "value"))):
+            for name in names:
+                held = getattr(self, name)
+                if end > len(held):
+                    setattr(self, name, np.concatenate([held, np.zeros(max(end, len(held)), held.dtype)]))
+        self.starts[self.used:rows] = self.entries + np.cumsum(sizes) - sizes
+        self.sizes[self.used:rows] = sizes
+        self.which[self.entries:entries], self.value[self.entries:entries] = which, value
+        self.used, self.entries = rows, entries
+
+    def _trim(self) -> None:
+        """Keep the words met again, as long as they fill half of what may be remembered at most."""
+        keep = WORDS + np.flatnonzero(self.again[WORDS:self.used])[:REMEMBERED // 2]
+        to = np.full(self.used, -1, np.int64)
+        to[:WORDS], to[keep] = np.arange(WORDS), WORDS + np.arange(len(keep))
+        known, rows = ({word: k for word, k in zip(held, to[np.fromiter(held.values(), np.int64, len(held))].tolist())
+                        if k >= 0} for held in (self.known, self.rows))
+        entry, sizes = ragged(self.starts[keep], self.sizes[keep]), self.sizes[keep]
+        which, value = self.which[entry], self.value[entry]
+        self.forget()
+        if len(known) <= REMEMBERED // 2:
+            self.known = known
+        self.rows = rows
+        self._put(sizes, which, value)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows", "table", "used")}
+        held = ("known", "rows", "used", "entries", "starts", "sizes", "again", "which", "value")
+        return {k: v for k, v in self.__dict__.items() if k not in held}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -334,24 +396,24 @@ class Model:
 
     def _learn(self, tokens: list[str]) -> None:
         """Remember the rows of tokens not met before, and the values of new words."""
-        bare = {token: token.translate(_BARE) for token in tokens if token not in self.known}
-        fresh = list(dict.fromkeys(w for w in bare.values() if self._row(w) < 0))
+        bare = [token if token.isalnum() else token.translate(_BARE) for token in tokens]
+        fresh = list(dict.fromkeys(w for w in bare if self._row(w) < 0))
         if fresh:
-            values = self.landmarks.word_values(fresh)
-            like = values.any(axis=1)
-            at, values = self.used + np.cumsum(like) - 1, values[like]
-            self.rows.update(zip(fresh, np.where(like, at, UNLIKE).tolist()))
-            end = self.used + len(values)
-            if end > len(self.table):
-                more = np.zeros((max(end, 2 * len(self.table), 50_000), values.shape[1]), np.float16)
-                more[:self.used] = self.table[:self.used]
-                self.table = more
-            self.table[self.used:end], self.used = values, end
-        self.known.update((token, self._row(word)) for token, word in bare.items())
+            values = self.landmarks.word_values(fresh).astype(np.float16)
+            row, which = np.nonzero(values)
+            self.rows.update(zip(fresh, range(self.used, self.used + len(fresh))))
+            self._put(np.bincount(row, minlength=len(fresh)), which, values[row, which])
+        self.known.update(zip(tokens, map(self._row, bare)))
 
     def _found(self, tokens: list[str]) -> np.ndarray:
-        self._learn(tokens)
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        row = np.fromiter(map(self.known.get, tokens, repeat(-1)), np.int64, len(tokens))
+        unknown = np.flatnonzero(row < 0)
+        self.again[row[row >= 0]] = True
+        if len(unknown):
+            fresh = list(map(tokens.__getitem__, unknown.tolist()))
+            self._learn(list(dict.fromkeys(fresh)))
+            row[unknown] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        return row
 
     def sentence_values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values of every sentence, and how many sentences each text has.
@@ -360,7 +422,7 @@ class Model:
         are those of ``words_of``.
         """
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self._trim()
         half = len(self.landmarks.strings)
         owner, tokens, sizes = [], [], []
         for i, text in enumerate(texts):
@@ -381,16 +443,16 @@ class Model:
         if spelled:
             row[[a for a, _ in spelled]] = self._found([word for _, word in spelled])
         told = np.zeros(len(sizes), bool)
-        told[place[row >= UNLIKE]] = True
+        told[place[row >= WORDS]] = True
         out = np.zeros((len(sizes), len(self.weights)), np.float32)
-        at = np.flatnonzero(row > UNLIKE)                     # other words' values are all zero
+        flat, at = out.reshape(-1), np.flatnonzero(self.sizes[row])    # other words' values are all zero
         for a in range(0, len(at), 100_000):                  # a stretch of words at a time
             part = at[a:a + 100_000]
-            piece, own = self.table[row[part]].astype(np.float32), place[part]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            to = own[starts]                                  # a sentence may go on in the next stretch
-            out[to, :half] = np.maximum(out[to, :half], np.maximum.reduceat(piece, starts, axis=0))
-            out[to, half:] += np.add.reduceat(piece, starts, axis=0)
+            held = self.sizes[row[part]]
+            entry = ragged(self.starts[row[part]], held)
+            to, value = np.repeat(place[part] * (2 * half), held) + self.which[entry], self.value[entry].astype(np.float32)
+            np.maximum.at(flat, to, value)
+            np.add.at(flat, to + half, value)
         np.log1p(out[:, half:], out=out[:, half:])
         counts = np.bincount(np.array(owner, np.int64)[told], minlength=len(texts))
         return out[told], counts
@@ -432,10 +494,13 @@ def fitted(toxic: list[str], clean: list[str], sentences: int = FIT_SENTENCES) -
     if not strings:
         return None
     model = Model(Landmarks(strings))
-    bad, bad_counts = model.sentence_values(toxic)
-    good, _ = model.sentence_values(clean)
     half = len(strings)
-    good = good[np.argsort(-good[:, :half].max(axis=1), kind="stable")[:sentences]]   # the hardest ones
+    found = [model.sentence_values(toxic[a:a + AT_ONCE]) for a in range(0, len(toxic), AT_ONCE)]
+    bad, bad_counts = (np.concatenate(part) for part in zip(*found))
+    good = np.zeros((0, 2 * half), np.float32)
+    for a in range(0, len(clean), AT_ONCE):
+        good = np.concatenate([good, model.sentence_values(clean[a:a + AT_ONCE])[0]])
+        good = good[np.argsort(-good[:, :half].max(axis=1), kind="stable")[:sentences]]   # the hardest ones
     owner = np.repeat(np.arange(len(toxic)), bad_counts)
     told = len(strings) - min(CLEAN_LANDMARKS, len(strings))
     rank = bad[:, :told].max(axis=1) if told else bad.max(axis=1)
@@ -447,7 +512,8 @@ def fitted(toxic: list[str], clean: list[str], sentences: int = FIT_SENTENCES) -
         values = np.concatenate([bad[is_bad], good]).astype(float)
         model.fit(values, np.arange(len(values)) < is_bad.sum())
         rank = model.margins(bad)
-    measures = np.concatenate([model.measures(toxic), model.measures(clean)])
+    measures = np.concatenate([model.measures(texts[a:a + AT_ONCE]) for texts in (toxic, clean)
+                               for a in range(0, len(texts), AT_ONCE)])
     model.calibrate(measures, np.arange(len(measures)) < len(toxic))
     model.forget()
     return model
@@ -497,8 +563,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
                 texts = part.column("text").to_pylist()
                 score = own.score(texts) if own else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays(

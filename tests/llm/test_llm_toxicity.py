@@ -61,3 +61,24 @@ def test_margins_alone_decide_a_score():
     margins = np.split(model.margins(values), np.cumsum(counts)[:-1])
     measures = [[m.max(), np.log1p(np.maximum(m, 0).sum())] if len(m) else [-1, 0] for m in margins]
     assert np.allclose(scores, 1 / (1 + np.exp(-(np.array(measures) @ model.curve[:-1] + model.curve[-1]))))
+
+
+def test_words_met_again_stay_known_and_values_do_not_change(monkeypatch):
+    """A worker that makes room keeps the words in use; sentences have the values of their words."""
+    rng = random.Random(7)
+    words = ["garden", "river", "stone", "zorkquat", "letter", "zork-quats", "x", "1st", "(river)"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    model = toxicity.fitted([text(5) + " zorkquat" for _ in range(60)], ["garden river stone letter" for _ in range(200)])
+    monkeypatch.setattr(toxicity, "REMEMBERED", 100)
+    asked = []
+    values = model.landmarks.word_values
+    monkeypatch.setattr(model.landmarks, "word_values", lambda w: asked.extend(w) or values(w))
+    for turn in range(12):
+        fresh = [" ".join("".join(rng.choices("abkqrtuz", k=7)) for _ in range(3)) for _ in range(9)]
+        texts = [f"{text(8)} {f}" for f in fresh]
+        found, counts = model.sentence_values(texts)
+        assert counts.tolist() == [1] * len(texts) and len(model.rows) < 200
+        for t, row in zip(texts, found):
+            own = values(toxicity.words_of(t)).astype(np.float16).astype(np.float32)
+            assert row == pytest.approx(np.concatenate([own.max(axis=0), np.log1p(own.sum(axis=0))]), abs=1e-5)
+    assert Counter(asked)["garden"] == Counter(asked)["zorkquat"] == 1
