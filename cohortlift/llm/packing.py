@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.llm.shared import portions, stored
-from cohortlift.llm.tokens import encoder, little_endian, record_batch, rows_to_encode
+from cohortlift.llm.tokens import AT_ONCE, encoder, little_endian, record_batch, rows_to_encode
 
 SEQUENCE = 2048
 BUCKETS = 1024          # of the hashed vector
@@ -75,8 +75,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_c
         bucket = (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
         sign = np.where(mixed >> np.uint64(63), 1.0, -1.0)
         vectors = (sign[:, None] * project[bucket]).T.copy()     # each id's share of the projection
-        for batch in portions(batches, "text"):
-            held = [np.append(f, enc.kind(end_id)) for f in enc.encode(batch.column("text").to_pylist())]
+        for batch in portions(batches, "text", AT_ONCE):
+            held = [np.append(f, enc.kind(end_id)) for f in enc.encode(batch.column("text"))]
             lengths = np.fromiter(map(len, held), np.int64, len(held))
             flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), lengths)
             places = [np.bincount(row, v[flat], len(held)) / lengths for v in vectors]
