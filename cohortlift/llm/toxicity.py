@@ -446,8 +446,8 @@ class Model:
         told[place[row >= WORDS]] = True
         out = np.zeros((len(sizes), len(self.weights)), np.float32)
         flat, at = out.reshape(-1), np.flatnonzero(self.sizes[row])    # other words' values are all zero
-        for a in range(0, len(at), 100_000):                  # a stretch of words at a time
-            part = at[a:a + 100_000]
+        for a in range(0, len(at), 10_000):                   # a stretch of words at a time
+            part = at[a:a + 10_000]
             held = self.sizes[row[part]]
             entry = ragged(self.starts[row[part]], held)
             to, value = np.repeat(place[part] * (2 * half), held) + self.which[entry], self.value[entry].astype(np.float32)
