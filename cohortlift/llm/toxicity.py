@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,6 +39,7 @@ EDGE = " "            # marks where a word begins and ends
 CLEAN_SHARE = 0.25    # how often a landmark may be in clean documents, next to toxic ones
 SHORTEST = 4          # characters of a landmark
 AT_ONCE = 200         # documents
+NEW_AT_ONCE = 5_000   # words whose values are computed together
 REMEMBERED = 600_000  # words whose values a worker keeps
 NOTHING, LETTER, WORDS = 0, 1, 2    # rows of no word, a single letter, and of words from there on
 TRIPLES = np.array(list(combinations(range(WIDTH), 3)))   # places of a subsequence
@@ -210,13 +212,7 @@ def strings_in(word: str) -> set[str]:
     return {word[i:i + k] for k in range(SHORTEST, min(len(word), WIDTH) + 1) for i in range(len(word) - k + 1)}
 
 
-def _holders(texts: list[set[str]], cut: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Numbers of the strings in each text's words."""
-    nothing = np.zeros(0, np.int64)
-    return [np.unique(np.concatenate([nothing, *(cut[w] for w in words if w in cut)])) for words in texts]
-
-
-def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS,
+def chosen_landmarks(toxic: Iterable[set[str]], clean: Iterable[set[str]], most: int = LANDMARKS,
                      common: int = CLEAN_LANDMARKS) -> list[str]:
     """Strings that tell toxic documents apart, each for documents the others miss.
 
@@ -224,28 +220,38 @@ def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     that covers most toxic documents not covered yet and few clean ones. Among
     so many strings some fall on toxic documents by chance alone: a string must
     be in so many of them that not one in a hundred such tables has one like it.
+    Each different word is held once, a document as its words' numbers.
     """
+    words: dict[str, int] = {}      # those of toxic documents come first
+    toxic, clean = ([np.array([words.setdefault(w, len(words)) for w in text], np.int32) for text in texts]
+                    for texts in (toxic, clean))
     fewest = max(3, len(toxic) // 100)
     # Strings of too few toxic documents get no number: a small table of sums by hash rules most out.
-    sums, numbers, cut = np.zeros(1 << 22, np.int64), {}, {}
-    often = Counter(word for words in toxic for word in words)
-    for word, k in often.items():
-        for s in strings_in(word):
+    sums, numbers = np.zeros(1 << 22, np.int32), {}
+    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *toxic]), minlength=len(words)).tolist()
+    for word, k in zip(words, often):
+        for s in strings_in(word) if k else ():
             sums[hash(s) % len(sums)] += k
-    for word in sorted(often):
-        at = [numbers.setdefault(s, len(numbers)) for s in sorted(strings_in(word))
-              if sums[hash(s) % len(sums)] >= fewest]
-        if at:
-            cut[word] = np.array(at, np.int64)
-    for word in set().union(*clean) - often.keys():
-        at = [numbers[s] for s in strings_in(word) if s in numbers]
-        if at:
-            cut[word] = np.array(at, np.int64)
-    held = _holders(toxic, cut)
-    in_clean = np.zeros(len(numbers), np.int64)
-    for at in _holders(clean, cut):
-        in_clean[at] += 1
-    in_toxic = np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(numbers))
+    # The numbers of the first word's strings, of the second's and so on, and where they end.
+    cut, ends = array("i"), array("q", [0])
+    for word, k in zip(words, often):
+        if k:
+            cut.extend(numbers.setdefault(s, len(numbers)) for s in strings_in(word)
+                       if sums[hash(s) % len(sums)] >= fewest)
+        else:
+            cut.extend(numbers[s] for s in strings_in(word) if s in numbers)
+        ends.append(len(cut))
+    del words, often, sums
+    cut, ends = np.array(cut, np.int32), np.array(ends, np.int64)
+
+    def holds(text: np.ndarray) -> np.ndarray:
+        """Numbers of the strings in a text's words."""
+        return np.unique(cut[ragged(ends[text], ends[text + 1] - ends[text])])
+
+    in_toxic, in_clean = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    for count, texts in ((in_toxic, toxic), (in_clean, clean)):
+        for text in texts:
+            count[holds(text)] += 1
     ratio = max(len(toxic), 1) / max(len(clean), 1)
     share = min(max(len(toxic) / max(len(toxic) + len(clean), 1), 1e-9), 1 - 1e-9)
     least = math.log(100 * max(int((in_toxic > 0).sum()), 1))
@@ -261,10 +267,12 @@ def chosen_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     names = list(numbers)
     useful = {i for i in np.flatnonzero(in_toxic >= fewest).tolist() if telling(int(in_toxic[i]), int(in_clean[i]))}
     left: dict[int, set[int]] = {i: set() for i in useful}
-    for document, at in enumerate(held):
-        for i in at.tolist():
-            if i in useful:
-                left[i].add(document)
+    wanted = np.zeros(len(numbers), bool)
+    wanted[list(useful)] = True
+    for document, text in enumerate(toxic):
+        at = holds(text)
+        for i in at[wanted[at]].tolist():
+            left[i].add(document)
     found: list[str] = []
     # Each document may be covered three times, so that every insult in use is seen.
     seen = Counter()
@@ -343,29 +351,40 @@ class Model:
         self.__dict__.update(state)
         self.forget()
 
-    def _white(self, values: np.ndarray) -> np.ndarray:
-        half = values.shape[1] // 2
-        return np.hstack([values[:, :half] @ self.whiten, values[:, half:] @ self.whiten])
-
-    def fit(self, values: np.ndarray, truth: np.ndarray, rounds: int = 30, decay: float = 1e-3) -> None:
+    def fit(self, toxic: list[np.ndarray], clean: list[np.ndarray], rounds: int = 30, decay: float = 1e-3) -> None:
         """A linear SVM with squared hinge on the whitened values; classes weigh alike.
 
-        Newton steps over the rows inside the margin reach the one optimum.
+        Newton steps over the rows inside the margin reach the one optimum. The
+        rows come in portions and are never held whitened: margins and sums are
+        taken of the values as they are, one portion at a time, and the
+        whitening is applied to weights and sums.
         """
-        x = np.hstack([self._white(values), np.ones((len(values), 1))])
-        y = np.where(truth, 1.0, -1.0)
-        weight = np.where(truth, 0.5 / max(truth.sum(), 1), 0.5 / max((~truth).sum(), 1))
-        keep = np.full(x.shape[1], decay)
+        half = len(self.whiten)
+        white = np.eye(2 * half + 1)
+        white[:half, :half] = white[half:-1, half:-1] = self.whiten
+        sides = [(side, y, 0.5 / max(sum(map(len, side)), 1)) for side, y in ((toxic, 1.0), (clean, -1.0))]
+        keep = np.full(len(white), decay)
         keep[-1] = 1e-9          # the bias is free
-        w = np.zeros(x.shape[1])
+        w = np.zeros(len(white))
+
+        def use(v: np.ndarray) -> None:
+            self.weights, self.bias = white[:-1, :-1] @ v[:-1], float(v[-1])
 
         def loss(v: np.ndarray) -> float:
-            return float((weight * np.maximum(1 - y * (x @ v), 0) ** 2).sum() + (keep * v * v).sum())
+            use(v)
+            return sum(weight * float((np.maximum(1 - y * self.margins(part), 0) ** 2).sum())
+                       for side, y, weight in sides for part in side) + float((keep * v * v).sum())
 
         for _ in range(rounds):
-            inside = y * (x @ w) < 1
-            near = x[inside] * weight[inside][:, None]
-            best = np.linalg.solve(near.T @ x[inside] + np.diag(keep), near.T @ y[inside])
+            use(w)
+            square, pull = np.zeros((len(w), len(w))), np.zeros(len(w))
+            for side, y, weight in sides:
+                for part in side:
+                    near = part[y * self.margins(part) < 1]
+                    near = np.hstack([near, np.ones((len(near), 1))])
+                    square += weight * (near.T @ near)
+                    pull += weight * y * near.sum(axis=0)
+            best = np.linalg.solve(white.T @ square @ white + np.diag(keep), white.T @ pull)
             step, now = 1.0, loss(w)
             while step > 1e-4 and loss(w + step * (best - w)) > now:
                 step /= 2
@@ -373,7 +392,7 @@ class Model:
             w = w + moved
             if np.abs(moved).max() < 1e-6:
                 break
-        self.weights, self.bias = w[:-1], float(w[-1])
+        use(w)
 
     def calibrate(self, inputs: np.ndarray, truth: np.ndarray, decay: float = 0.5) -> None:
         """A logistic curve over documents' measures (Platt's targets), by Newton steps."""
@@ -398,11 +417,12 @@ class Model:
         """Remember the rows of tokens not met before, and the values of new words."""
         bare = [token if token.isalnum() else token.translate(_BARE) for token in tokens]
         fresh = list(dict.fromkeys(w for w in bare if self._row(w) < 0))
-        if fresh:
-            values = self.landmarks.word_values(fresh).astype(np.float16)
+        for a in range(0, len(fresh), NEW_AT_ONCE):
+            some = fresh[a:a + NEW_AT_ONCE]
+            values = self.landmarks.word_values(some).astype(np.float16)
             row, which = np.nonzero(values)
-            self.rows.update(zip(fresh, range(self.used, self.used + len(fresh))))
-            self._put(np.bincount(row, minlength=len(fresh)), which, values[row, which])
+            self.rows.update(zip(some, range(self.used, self.used + len(some))))
+            self._put(np.bincount(row, minlength=len(some)), which, values[row, which])
         self.known.update(zip(tokens, map(self._row, bare)))
 
     def _found(self, tokens: list[str]) -> np.ndarray:
@@ -458,7 +478,7 @@ class Model:
         return out[told], counts
 
     def margins(self, values: np.ndarray) -> np.ndarray:
-        return self._white(values) @ self.weights + self.bias
+        return values.astype(float) @ self.weights + self.bias     # weights have the whitening in them
 
     def measures(self, texts: list[str]) -> np.ndarray:
         """Largest sentence margin, and the logarithm of the positive ones' sum.
@@ -480,38 +500,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.measures(texts) @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
+def _keep_hardest(parts: list[np.ndarray], half: int, most: int) -> None:
+    """Leave the ``most`` rows that are most like a landmark, those met first among equal ones."""
+    likeness = np.concatenate([part[:, :half].max(axis=1) for part in parts])
+    keep = np.zeros(len(likeness), bool)
+    keep[np.argsort(-likeness, kind="stable")[:most]] = True
+    at = 0
+    for i, part in enumerate(parts):
+        parts[i] = part[keep[at:at + len(part)]]
+        at += len(part)
+
+
 def fitted(toxic: list[str], clean: list[str], sentences: int = FIT_SENTENCES) -> Model | None:
     """A model from labelled texts.
 
     Which sentences of a toxic text are the toxic ones is found in turns:
     first those that hold a landmark, then those that the model itself ranks
     above its clean sentences, and each text's worst in any case. Of the clean
-    sentences, the ``sentences`` most like a landmark take part.
+    sentences, the ``sentences`` most like a landmark take part. Sentences'
+    values stay in portions of ``AT_ONCE`` texts and are held once.
     """
     if not toxic or not clean:
         return None
-    strings = chosen_landmarks([set(words_of(t)) for t in toxic], [set(words_of(t)) for t in clean])
+    strings = chosen_landmarks(*((set(words_of(t)) for t in texts) for texts in (toxic, clean)))
     if not strings:
         return None
     model = Model(Landmarks(strings))
     half = len(strings)
-    found = [model.sentence_values(toxic[a:a + AT_ONCE]) for a in range(0, len(toxic), AT_ONCE)]
-    bad, bad_counts = (np.concatenate(part) for part in zip(*found))
-    good = np.zeros((0, 2 * half), np.float32)
+    bad, counts = map(list, zip(*(model.sentence_values(toxic[a:a + AT_ONCE]) for a in range(0, len(toxic), AT_ONCE))))
+    good: list[np.ndarray] = []
     for a in range(0, len(clean), AT_ONCE):
-        good = np.concatenate([good, model.sentence_values(clean[a:a + AT_ONCE])[0]])
-        good = good[np.argsort(-good[:, :half].max(axis=1), kind="stable")[:sentences]]   # the hardest ones
-    owner = np.repeat(np.arange(len(toxic)), bad_counts)
+        good.append(model.sentence_values(clean[a:a + AT_ONCE])[0])
+        if sum(map(len, good)) > sentences:
+            _keep_hardest(good, half, sentences)
+    owner = np.repeat(np.arange(len(toxic)), np.concatenate(counts))
+    borders = np.cumsum([len(part) for part in bad])[:-1]
     told = len(strings) - min(CLEAN_LANDMARKS, len(strings))
-    rank = bad[:, :told].max(axis=1) if told else bad.max(axis=1)
+    rank = np.concatenate([part[:, :told or 2 * half].max(axis=1) for part in bad])
     for turn in range(3):
         level = 0.95 if turn == 0 else 0.0
         top = np.full(len(toxic), -np.inf)
         np.maximum.at(top, owner, rank)
         is_bad = (rank >= level) | (rank >= top[owner])
-        values = np.concatenate([bad[is_bad], good]).astype(float)
-        model.fit(values, np.arange(len(values)) < is_bad.sum())
-        rank = model.margins(bad)
+        model.fit([part[own] for part, own in zip(bad, np.split(is_bad, borders))], good)
+        rank = np.concatenate([model.margins(part) for part in bad])
+    del bad, good
     measures = np.concatenate([model.measures(texts[a:a + AT_ONCE]) for texts in (toxic, clean)
                                for a in range(0, len(texts), AT_ONCE)])
     model.calibrate(measures, np.arange(len(measures)) < len(toxic))

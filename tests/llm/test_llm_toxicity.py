@@ -1,6 +1,7 @@
 """The string kernel, its landmarks and what decides a score, against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -82,3 +83,47 @@ def test_words_met_again_stay_known_and_values_do_not_change(monkeypatch):
             own = values(toxicity.words_of(t)).astype(np.float16).astype(np.float32)
             assert row == pytest.approx(np.concatenate([own.max(axis=0), np.log1p(own.sum(axis=0))]), abs=1e-5)
     assert Counter(asked)["garden"] == Counter(asked)["zorkquat"] == 1
+
+
+def test_a_fit_holds_its_sentences_once():
+    """32,000 sentences: their values take 12 MB as they are, and no copy of them all is made beside them."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 10))) for _ in range(3_000)]
+    text = lambda extra: ". ".join([" ".join(rng.choices(words, k=3)) for _ in range(39)] + [extra])
+    toxic, clean = [text(rng.choice(words) + " zorkquat") for _ in range(400)], [text("river stone") for _ in range(400)]
+    tracemalloc.start()
+    try:
+        model = toxicity.fitted(toxic, clean)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40e6       # 66 MB when copies were made
+    scores = model.score(toxic[:50] + clean[:50])
+    assert scores[:50].min() >= 0.3 > scores[50:].max()
+
+
+def test_hardest_sentences_and_portions_give_the_same_fit(monkeypatch):
+    """However texts are cut into portions: the sentences most like a landmark, the first of equal ones, one optimum."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abkqrtuz", k=6)) for _ in range(60)]
+    text = lambda extra: ". ".join(" ".join(rng.choices(words, k=4) + e) for e in ([], extra, []))
+    toxic, clean = [text(["zorkquat"]) for _ in range(90)], [text(["zorquin"] * (i % 3 == 0)) for i in range(150)]
+    models = []
+    for size in (7, 1_000):
+        monkeypatch.setattr(toxicity, "AT_ONCE", size)
+        models.append(toxicity.fitted(toxic, clean, sentences=100))
+    assert models[0].weights == pytest.approx(models[1].weights, abs=1e-8)
+    assert models[0].score(toxic + clean) == pytest.approx(models[1].score(toxic + clean), abs=1e-8)
+
+    # the optimum of the loss over whitened values, all rows at once
+    model = models[1]
+    bad, good = (model.sentence_values(texts)[0].astype(float) for texts in (toxic, clean))
+    model.fit([bad[:50], bad[50:]], [good])
+    half = len(model.whiten)
+    white = np.kron(np.eye(2), model.whiten)
+    x, y = np.concatenate([bad, good]) @ white, np.repeat([1.0, -1.0], [len(bad), len(good)])
+    weight = np.repeat([0.5 / len(bad), 0.5 / len(good)], [len(bad), len(good)])
+    own = np.linalg.solve(white, model.weights)
+    short = weight * y * np.maximum(1 - y * (x @ own + model.bias), 0)
+    assert len(own) == 2 * half and short @ x == pytest.approx(1e-3 * own, abs=1e-6)
+    assert short.sum() == pytest.approx(0, abs=1e-6)
